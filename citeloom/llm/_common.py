@@ -83,7 +83,7 @@ def arrow_map(df: DataFrame, inputs: Sequence[str], outputs: str, make: Callable
     read = list(dict.fromkeys([*kept, *inputs]))
     df = df.select(*[F.col(f"`{c}`") for c in read])
     schema = StructType([df.schema[c] for c in kept] + list(added))
-    arrow = to_arrow_schema(schema, timezone="UTC")
+    arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
