@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, token_counts
+from . import bpe, chat, mixing, token_counts
 
 QUERIES = {
+    "op1_mix_sources": mixing.op1_mix_sources,
     "op2_bpe": bpe.op2_bpe,
     "op6_token_counts": token_counts.op6_token_counts,
+    "op9_perspective_chat": chat.op9_perspective_chat,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op9_perspective_chat": chat.OP9_SQL}
