@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, langid, mixing, quality, token_counts
+from . import bpe, chat, langid, media, mixing, quality, secret_scan, token_counts
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op2_bpe": bpe.op2_bpe,
     "op3_quality": quality.op3_quality,
+    "op4_media_chunks": media.op4_media_chunks,
+    "op5_secrets": secret_scan.op5_secrets,
     "op6_token_counts": token_counts.op6_token_counts,
     "op8_language": langid.op8_language,
     "op9_perspective_chat": chat.op9_perspective_chat,
