@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, langid, media, mixing, quality, secret_scan, token_counts
+from . import bpe, chat, langid, media, mixing, quality, secret_scan, token_counts, topk
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_token_counts": token_counts.op6_token_counts,
     "op8_language": langid.op8_language,
     "op9_perspective_chat": chat.op9_perspective_chat,
+    "op10_topk_products": topk.op10_topk_products,
 }
 
-ORACLE_SQL: dict[str, str] = {"op9_perspective_chat": chat.OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op9_perspective_chat": chat.OP9_SQL, "op10_topk_products": topk.OP10_SQL}
