@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, langid, media, mixing, quality, secret_scan, token_counts, topk
+from . import bpe, chat, langid, media, mixing, neardup, quality, secret_scan, token_counts, topk
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_media_chunks": media.op4_media_chunks,
     "op5_secrets": secret_scan.op5_secrets,
     "op6_token_counts": token_counts.op6_token_counts,
+    "op7_near_duplicates": neardup.op7_near_duplicates,
     "op8_language": langid.op8_language,
     "op9_perspective_chat": chat.op9_perspective_chat,
     "op10_topk_products": topk.op10_topk_products,
