@@ -12,7 +12,7 @@ over all of them. The draw of each move is a hash of the seed and the ids: rerun
 
 Size: number of [^\\x20\\x09-\\x0D]+ in the text. Null or empty texts have size 0 and are taken 0 words. A null source is a
 source of its own, last in order. Repeated rows are drawn each on its own. A source without words has target 0. An empty
-table gives an empty result. Columns of the input pass through mix() unless they have an output's name.
+table gives an empty result. mix() carries no other columns; mix_rows() carries all.
 The table of sources goes through the driver; it may hold max_sources at most, and more raise an error.
 """
 
@@ -22,7 +22,7 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._common import WORD, materialize, ship, table
@@ -52,6 +52,10 @@ def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = WEIGHTS,
     return out
 
 
+def _tag(id_col: str, text_col: str, seed: int) -> Column:
+    return F.xxhash64(F.col(id_col).cast("string"), F.col(text_col), F.lit(seed))
+
+
 def _draw(seed: int, *what) -> float:
     return int.from_bytes(hashlib.blake2b(repr((seed, *what)).encode(), digest_size=7).digest(), "big") / 2.0**56
 
@@ -123,7 +127,7 @@ def _settle(seed: int, level: int, last: bool):
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, most: float = 3.0, seed: int = 0, block_rows: int = 2000, max_sources: int = 100_000) -> DataFrame:
-    """One row per document: id_col, source, size, source_size, target, copies and taken (words)."""
+    """One row per document: id_col, source, size, tag (of id and text), source_size, target, copies and taken (words)."""
     spark = docs.sparkSession
     ship(spark)
     sized = materialize(
@@ -131,7 +135,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
             F.col(id_col).alias("id"),
             F.col(source_col).cast("string").alias("source"),
             F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            F.xxhash64(F.col(id_col).cast("string"), F.col(text_col), F.lit(seed)).alias("tag"),
+            _tag(id_col, text_col, seed).alias("tag"),
         ),
         "mix-sizes",
     )
@@ -175,11 +179,27 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     for d in done[1:]:
         chosen = chosen.unionByName(d)
     kind = sized.schema["id"].dataType.simpleString()
-    chosen = chosen.select(F.from_json("id", f"id {kind}")["id"].alias(id_col), "source", "size", "pi")
+    chosen = chosen.select(F.from_json("id", f"id {kind}")["id"].alias(id_col), "source", "size", "pi", "tag")
     out = chosen.join(F.broadcast(plan), chosen["source"].eqNullSafe(plan["source"])).select(chosen["*"], "source_size", "target")
     copies = F.when(F.col("size") > 0, F.floor(ratio) + F.round("pi").cast("long")).otherwise(F.lit(0)).cast("long")
     return out.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size")).drop("pi")
 
 
+def mix_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0, **how) -> DataFrame:
+    """The rows of docs, each as often as the mix takes it, with all their columns. Of equal rows (id and text) the first take one copy more where copies do not divide."""
+    taken = mix(docs, id_col, text_col, source_col, seed=seed, **how)
+    plan = materialize(taken.groupBy(F.col("tag").alias("_mix_tag")).agg(F.sum("copies").alias("_mix_all"), F.count("*").alias("_mix_rows")), "mix-plan")
+    tagged = docs.withColumn("_mix_tag", _tag(id_col, text_col, seed)).join(plan, "_mix_tag")
+    times = F.floor(F.col("_mix_all") / F.col("_mix_rows"))
+    single = tagged.where(F.col("_mix_rows") == 1).withColumn("_mix_n", F.col("_mix_all"))
+    several = tagged.where(F.col("_mix_rows") > 1)
+    if not plan.where(F.col("_mix_rows") > 1).isEmpty():
+        order = Window.partitionBy("_mix_tag").orderBy("_mix_tag")
+        rank = F.row_number().over(order)
+        several = several.withColumn("_mix_n", (times + (rank <= F.pmod("_mix_all", "_mix_rows")).cast("long")).cast("long"))
+        single = single.unionByName(several)
+    return single.where(F.col("_mix_n") > 0).withColumn("_mix_n", F.explode(F.sequence(F.lit(1), F.col("_mix_n")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")

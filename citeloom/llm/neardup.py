@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._common import arrow_map, materialize, release_shuffles, ship, table
@@ -285,5 +285,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(id_col, "n_shingles", "set_key", component.alias("component_id"), F.coalesce(component == F.col(id_col), F.lit(True)).alias("kept"))
 
 
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, **how) -> DataFrame:
+    """The rows of docs without near duplicates: one of each component stays, that of its smallest id; of its repeated rows, one. All columns stay. Rows with a null id or an empty set stay."""
+    found = materialize(near_duplicates(docs, id_col, text_col, words, **how), "decisions")
+    key = arrow_map(docs, [text_col], "_set_key binary", lambda: (lambda s: lambda texts: [[set_key(s(t)) for t in texts]])(Shingler(words)))
+    gone = found.where(~F.col("kept")).select(F.col(id_col).alias("_gone_id"), F.col("set_key").alias("_gone_key")).distinct()
+    rest = key.join(gone, (key[id_col] == gone["_gone_id"]) & (key["_set_key"] == gone["_gone_key"]), "left_anti")
+    again = found.where(F.col("kept") & F.col(id_col).isNotNull() & (F.col("n_shingles") > 0)).groupBy(F.col(id_col).alias("_again_id")).count().where(F.col("count") > 1).select("_again_id")
+    if not again.isEmpty():
+        same = rest[id_col] == again["_again_id"]
+        one = Window.partitionBy(id_col).orderBy("_set_key", text_col)
+        repeated = rest.join(again, same, "left_semi").withColumn("_one", F.row_number().over(one)).where("_one = 1").drop("_one")
+        rest = rest.join(again, same, "left_anti").unionByName(repeated)
+    return rest.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=4).select("doc_id", "n_shingles", "component_id", "kept")
