@@ -36,4 +36,7 @@ def from_int8(q: Column, s: Column) -> Column:
 
 def blend(parts: list[tuple[float, Column]]) -> Column:
     """Vectors one after the other, each times the square root of its share."""
-    return F.concat(*[F.transform(v, lambda x, w=w: x.cast("double") * F.lit(w**0.5)) for w, v in parts])
+    def times(share: float):
+        return lambda x: x.cast("double") * F.lit(share**0.5)
+
+    return F.concat(*[F.transform(v, times(w)) for w, v in parts])
