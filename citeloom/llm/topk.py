@@ -63,6 +63,8 @@ class Best:
 
     def take(self, q: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
         """Merge scored pairs."""
+        if not len(q):
+            return
         order = np.lexsort((ids, -scores, q))
         q, ids, scores = q[order], ids[order], scores[order]
         edges = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]])) if len(q) else []
