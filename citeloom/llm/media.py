@@ -62,7 +62,7 @@ def gear_hashes(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def chunk_ends(data: bytes, least: int = 512, bits: int = 11, most: int = 16384) -> list[int]:
+def chunk_ends(data: bytes, least: int = 1024, bits: int = 12, most: int = 32768) -> list[int]:
     """Where chunks end. least is above the hash's reach of 32 bytes, so the hash needs no restart at a cut."""
     n = len(data)
     if n <= least:
@@ -96,15 +96,15 @@ def feature(grey: np.ndarray) -> str:
     return f"{grey.shape[0]}:{mean:.4f}:{int(bits, 2):016x}"
 
 
-def _dictionary(docs: DataFrame, text_col: str, rows: int = 400, width: int = 8192) -> bytes:
+def _dictionary(docs: DataFrame, text_col: str, rows: int = 1600, width: int = 8192) -> bytes:
     """A compression dictionary from the first characters of the rows texts of lowest hash. It shapes stored bytes only, no result."""
     import zstandard
 
     got = docs.where(F.length(text_col) > 0).select(F.substring(text_col, 1, width).alias("t"), F.xxhash64(text_col).alias("h")).orderBy("h", "t").limit(rows).collect()
     parts = [p for r in got for p in [r["t"].encode("utf-8", "surrogatepass")[i : i + 2048] for i in range(0, len(r["t"]), 2048)]]
-    if sum(map(len, parts)) < 1 << 18:
+    if sum(map(len, parts)) < 1 << 20:
         return b""
-    return zstandard.train_dictionary(1 << 16, parts).as_bytes()
+    return zstandard.train_dictionary(1 << 18, parts).as_bytes()
 
 
 class Store:
@@ -118,7 +118,7 @@ def _coder(dictionary: bytes, read: bool):
     import zstandard
 
     d = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
-    return zstandard.ZstdDecompressor(dict_data=d) if read else zstandard.ZstdCompressor(level=6, dict_data=d, write_dict_id=False, write_checksum=False)
+    return zstandard.ZstdDecompressor(dict_data=d) if read else zstandard.ZstdCompressor(level=12, dict_data=d, write_dict_id=False, write_checksum=False)
 
 
 def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: DataFrame | None = None) -> Store:
@@ -180,11 +180,11 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known
 
 
 def restore(kept: Store, made: str, read, hot_refs: int = 2000, hot_bytes: int = 1 << 26) -> DataFrame:
-    """One row per distinct medium: media_sha256 and the columns made, which read(medium) gives; each medium is verified first."""
+    """One row per distinct medium: media (the first 16 bytes of its hash) and the columns made, which read(medium) gives; each medium is verified first."""
     spark = kept.manifests.sparkSession
     chunks, dictionary = spark.table(kept.chunks), kept.dictionary
-    media = kept.manifests.groupBy("media_sha256").agg(F.first("digests").alias("digests"))
-    refs = media.select("media_sha256", F.posexplode("digests").alias("pos", "digest"))
+    media = kept.manifests.groupBy(F.substring("media_sha256", 1, 16).alias("media")).agg(F.first("digests").alias("digests"))
+    refs = media.select("media", F.posexplode("digests").alias("pos", "digest"))
     hot = refs.groupBy("digest").count().where(F.col("count") > hot_refs).select("digest")
     hot = materialize(hot.join(chunks, "digest"), "media-hot")
     much = hot.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("data")), F.lit(0)).alias("b")).first()
@@ -195,9 +195,9 @@ def restore(kept: Store, made: str, read, hot_refs: int = 2000, hot_bytes: int =
     else:
         salts = 64
         found = refs.join(hot.select("digest"), "digest", "left_anti").join(chunks, "digest").unionByName(
-            refs.withColumn("salt", F.pmod(F.xxhash64("media_sha256"), F.lit(salts))).join(hot.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("long")), ["digest", "salt"]).drop("salt")
+            refs.withColumn("salt", F.pmod(F.xxhash64("media"), F.lit(salts))).join(hot.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("long")), ["digest", "salt"]).drop("salt")
         )
-    schema = _parse_datatype_string(f"media_sha256 binary, {made}")
+    schema = _parse_datatype_string(f"media binary, {made}")
     arrow = to_arrow_schema(schema)
     names = arrow.names
 
@@ -207,7 +207,7 @@ def restore(kept: Store, made: str, read, hot_refs: int = 2000, hot_bytes: int =
 
         def flush():
             medium = b"".join(parts)
-            if hashlib.sha256(medium).digest() != key:
+            if hashlib.sha256(medium).digest()[:16] != key:
                 raise ValueError("a medium differs from what was stored")
             rows.append((key, *read(medium)))
 
@@ -229,7 +229,7 @@ def restore(kept: Store, made: str, read, hot_refs: int = 2000, hot_bytes: int =
             flush()
         yield from out()
 
-    in_order = found.select("media_sha256", "data", "pos").repartition(kept.buckets, "media_sha256").sortWithinPartitions("media_sha256", "pos").select("media_sha256", "data")
+    in_order = found.select("media", "data", "pos").repartition(kept.buckets, "media").sortWithinPartitions("media", "pos").select("media", "data")
     return in_order.mapInArrow(assemble, schema)
 
 
@@ -242,5 +242,5 @@ def op4_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
         return hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), feature(grey), len(payload)
 
     back = materialize(restore(kept, "payload_sha256 string, tail_crc32 long, feature string, payload_bytes long", read), "media-read")
-    out = kept.manifests.select("doc_id", "n_bytes", "media_bytes", "media_sha256").join(back, "media_sha256")
+    out = kept.manifests.select("doc_id", "n_bytes", "media_bytes", "media_sha256", F.substring("media_sha256", 1, 16).alias("media")).join(back, "media")
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", F.lower(F.hex("media_sha256")).alias("media_sha256"), "feature")
