@@ -205,7 +205,7 @@ def communities(edges: DataFrame, least_weight: float = 1, resolution: float = 1
         raise ValueError(f"more than {max_edges} edges after thinning; raise least_weight")
     kind = edges.schema["a"].dataType.simpleString()
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
         found = _local_moving(rows.sort_values(["a", "b"]), resolution, seed)
         return pd.DataFrame({"node": list(found), "label": list(found.values())})
 
