@@ -8,9 +8,9 @@
    hot_list classes hold come last, so a passage that many documents share makes no long list; only classes made almost
    wholly of such values are listed under them. Classes with few such values list their first 16 or 32 others, where the
    chance that no common value is among them stays below 1e-9 at similarity 0.8.
-3. In each list a hub (the smallest set) is compared with the members of other components; linked members join its
-   component and need no more comparisons within the list. The hub then leaves it. Lists of small_list members or fewer
-   are ended by comparing what is left across components; longer ones go on with another hub. No list is cut.
+3. In each list a hub (the smallest set) is compared with the other members. Lists whose members are not of one component
+   then go on without it: those of small_list members or fewer compare what is left across components; longer ones, families
+   of edited copies, are linked in blocks of bounded size by exact counts. No list is cut.
 4. A pair whose union sketch puts its similarity 0.25 or more below the threshold (five standard deviations at k = 96) is
    dropped; the others are verified on their full sets, and only these link.
 
@@ -231,38 +231,84 @@ def linked_classes(docs: DataFrame, reps: DataFrame, text_col: str, words: int,
         return None
     sets = full_sets(docs, active.select("key").distinct(), text_col, words)
     release_shuffles(spark)
-    links = label = None
-    tested: DataFrame | None = None
-    turn = 0
-    while True:
-        if label is not None:
-            now = active.join(label, "key", "left").withColumn("root", F.coalesce("root", "key")).select("v", "key", "n", "root")
-        else:
-            now = active.withColumn("root", F.col("key"))
-        order = F.struct("n", "key", "root") if turn == 0 else F.struct(F.xxhash64("v", "key").alias("n"), F.col("key"), F.col("root"))
-        state = now.groupBy("v").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high"), F.min(order).alias("hub")).where(F.col("low") != F.col("high"))
-        now = materialize(now.join(state.select("v", "size", F.col("hub.key").alias("hub"), F.col("hub.root").alias("hub_root")), "v"), "lists")
-        if now.isEmpty():
-            return label
-        whole = (F.col("size") <= small_list) & F.lit(turn > 0)
-        star = now.where(~whole & (F.col("root") != F.col("hub_root"))).select(F.col("hub").alias("a"), F.col("key").alias("b"))
-        pairs = star
-        if turn > 0:
-            left, right = now.where(whole).select("v", F.col("key").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra")), now.where(whole).select("v", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-            rest = left.join(right, "v").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent))  # small_list members at most
-            pairs = star.union(rest.select("a", "b"))
-        pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("lists"))
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialize(pairs.select("a", "b"), "pairs")
-        new = materialize(verified(pairs, sets, percent, k), "links")
-        tested = pairs if tested is None else tested.union(pairs)
-        if not new.isEmpty():
-            links = new if links is None else links.union(new)
-            label = components(links)
-        active = now.where(~whole & (F.col("key") != F.col("hub"))).select("v", "key", "n")
-        release_shuffles(spark)
-        turn += 1
+    hub = F.min(F.struct("n", "key")).alias("hub")
+    state = active.groupBy("v").agg(hub)
+    now = active.join(state.select("v", F.col("hub.key").alias("hub")), "v")
+    pairs = materialize(now.where("key <> hub").select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct(), "pairs")
+    links = materialize(verified(pairs, sets, percent, k), "links")
+    label = components(links) if not links.isEmpty() else None
+    release_shuffles(spark)
+    rest = now.where("key <> hub").select("v", "key", "n")
+    if label is not None:
+        rest = rest.join(label, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    else:
+        rest = rest.withColumn("root", F.col("key"))
+    state = rest.groupBy("v").agg(F.count("*").alias("size"), F.sum("n").alias("weight"), F.min("root").alias("low"), F.max("root").alias("high"))
+    rest = materialize(rest.join(state.where("low <> high").select("v", "size", "weight"), "v"), "lists")
+    if rest.isEmpty():
+        return label
+    small = rest.where(F.col("size") <= small_list)
+    left, right = small.select("v", F.col("key").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra")), small.select("v", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
+    across = left.join(right, "v").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent))  # small_list members at most
+    more = across.groupBy("a", "b").agg(F.count("*").alias("lists")).select("a", "b").join(pairs, ["a", "b"], "left_anti")
+    found = links.unionByName(materialize(verified(materialize(more, "pairs"), sets, percent, k), "links"))
+    large = rest.where(F.col("size") > small_list)
+    if not large.isEmpty():
+        found = found.unionByName(materialize(linked_in_blocks(large, sets, percent), "links"))
+    return components(found) if not found.isEmpty() else None
+
+
+def linked_in_blocks(lists: DataFrame, sets: DataFrame, percent: int, block_rows: int = 4096, block_hashes: int = 3_000_000) -> DataFrame:
+    """Links that join what is similar within long lists: (a, b) of each member and its component's first.
+
+    A list is cut into blocks of bounded rows and hashes; every pair of blocks is one group, which counts the common
+    hashes of all its pairs exactly by products of matrices and gives one link a member, not the pairs.
+    """
+    blocks = F.greatest(F.ceil(F.col("size") / F.lit(block_rows)), F.ceil(F.col("weight") / F.lit(block_hashes))).cast("int")
+    own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
+    cut = lists.withColumn("blocks", blocks).withColumn("own", own)
+    cut = cut.select("v", "key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "own")
+    cut = cut.select("v", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    rows = cut.join(sets, "key").select("v", "i", "j", "key", "set")
+
+    def link(group: pa.Table) -> pa.Table:
+        keys = group.column("key").to_pylist()
+        roots = similar_components([np.frombuffer(s.as_py(), np.uint64) for s in group.column("set")], percent)
+        at = np.flatnonzero(roots != np.arange(len(roots)))
+        return pa.table({"a": pa.array([keys[r] for r in roots[at]], pa.binary()), "b": pa.array([keys[i] for i in at], pa.binary())})
+
+    return rows.groupBy("v", "i", "j").applyInArrow(link, "a binary, b binary").distinct()
+
+
+def similar_components(sets: list[np.ndarray], percent: int, step: int = 512) -> np.ndarray:
+    """For each set the smallest index of its component under similarity of percent or more."""
+    count = len(sets)
+    sizes = np.array([len(s) for s in sets], np.int64)
+    rows = np.repeat(np.arange(count), sizes)
+    _, column, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    wide = df > max(4, count // 4)
+    place = np.cumsum(wide) - 1
+    dense = np.zeros((count, int(wide.sum())), np.float32)
+    dense[rows[wide[column]], place[column[wide[column]]]] = 1
+    thin = ~wide[column] & (df[column] > 1)
+    order = np.argsort(column[thin], kind="stable")
+    owners = rows[thin][order]  # members of each rarer hash, one after the other
+    begin = np.concatenate([[0], np.cumsum(np.where(~wide & (df > 1), df, 0))])
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    label = np.arange(count)
+    for at in range(0, count, step):
+        common = dense[at : at + step] @ dense.T
+        for r in range(len(common)):
+            i = at + r
+            c = column[starts[i] : starts[i + 1]]
+            c = c[~wide[c] & (df[c] > 1)]
+            both = common[r].astype(np.int64)
+            if len(c):
+                both += np.bincount(np.concatenate([owners[begin[x] : begin[x + 1]] for x in c]), minlength=count)
+            near = np.unique(label[100 * both >= percent * (sizes + sizes[i] - both)])
+            if len(near) > 1:
+                label[np.isin(label, near)] = near[0]
+    return label
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, k: int = SKETCH, hot_list: int = 64, small_list: int = 64, max_hot: int = 1_000_000) -> DataFrame:
