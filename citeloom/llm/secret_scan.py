@@ -265,7 +265,8 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[secret]", keep
             at = max(at, j)
         return "".join([*out, text[at:]])
 
-    return arrow_map(docs, [text_col], f"`{text_col}` string", lambda: lambda texts: [[clean(t) for t in texts]], keep)
+    out = arrow_map(docs, [text_col], f"`{text_col}` string", lambda: lambda texts: [[clean(t) for t in texts]], keep)
+    return out.select(*[f"`{c}`" for c in docs.columns if c in out.columns])
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
