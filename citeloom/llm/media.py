@@ -96,11 +96,15 @@ def feature(grey: np.ndarray) -> str:
     return f"{grey.shape[0]}:{mean:.4f}:{int(bits, 2):016x}"
 
 
-def _dictionary(docs: DataFrame, text_col: str, rows: int = 1600, width: int = 8192) -> bytes:
-    """A compression dictionary from the first characters of the rows texts of lowest hash. It shapes stored bytes only, no result."""
+def _dictionary(docs: DataFrame, text_col: str, count: int, rows: int = 1600, width: int = 8192) -> bytes:
+    """A compression dictionary from the first characters of about rows texts, chosen by hash. It shapes stored bytes only, no result."""
     import zstandard
 
-    got = docs.where(F.length(text_col) > 0).select(F.substring(text_col, 1, width).alias("t"), F.xxhash64(text_col).alias("h")).orderBy("h", "t").limit(rows).collect()
+    full = 1 << 30
+    share = min(full, 2 * rows * full // max(1, count))
+    chosen = docs.where((F.length(text_col) > 0) & (F.pmod(F.xxhash64(text_col), F.lit(full)) < share)).limit(4 * rows)
+    got = chosen.select(F.substring(text_col, 1, width).alias("t")).collect()  # 4 * rows * width characters at most
+    got = sorted(got, key=lambda r: hashlib.blake2b(r["t"].encode("utf-8", "surrogatepass"), digest_size=8).digest())[:rows]
     parts = [p for r in got for p in [r["t"].encode("utf-8", "surrogatepass")[i : i + 2048] for i in range(0, len(r["t"]), 2048)]]
     if sum(map(len, parts)) < 1 << 20:
         return b""
@@ -138,7 +142,7 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known
         return work
 
     manifests = materialize(arrow_map(docs, [text_col], "n_bytes long, media_bytes long, media_sha256 binary, digests array<binary>", manifest, [id_col]), "media-manifests")
-    dictionary = spark.sparkContext.broadcast(_dictionary(docs, text_col))
+    dictionary = spark.sparkContext.broadcast(_dictionary(docs, text_col, manifests.count()))
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
