@@ -156,7 +156,14 @@ def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", max_wo
 
     def top(counts: DataFrame, key: str, least: int, most: int) -> dict[str, np.ndarray]:
         wide = counts.groupBy(key).agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-        best = wide.where(F.col("total") >= least).orderBy(F.desc("total"), key).limit(most)
+        kept = materialize(wide.where(F.col("total") >= least).withColumn("bin", F.floor(F.log2("total") * 16)), f"lang-{key}")
+        cut, seen = 0, 0
+        for r in kept.groupBy("bin").count().orderBy(F.desc("bin")).collect():  # a row for each sixteenth of an octave
+            seen += r["count"]
+            if seen > most:
+                cut = r["bin"] + 1
+                break
+        best = kept.where(F.col("bin") >= cut)  # most rows at most: the bin that would pass it is left out whole
         got = best.select(key, *[F.coalesce(F.col("by")[g], F.lit(0)).alias(f"c{i}") for i, g in enumerate(langs)]).toPandas()
         if got.empty:
             return {}
