@@ -150,7 +150,15 @@ def top_products(vectors: DataFrame, query: Column, k: int = 5, id_col: str = "v
     ship(spark)
     every = materialize(integer_vectors(vectors, id_col, vector_col, scale).transform(lambda d: d.repartitionByRange(F.desc("norm"), "id").sortWithinPartitions(F.desc("norm"), "id")), "topk-by-length")
     asked = integer_vectors(vectors.where(query), id_col, vector_col, scale).groupBy("id").agg(F.min("v").alias("v"))
-    seeds = every.orderBy(F.desc("norm"), "id").limit(seed_rows).collect()  # seed_rows at most
+    octave = F.floor(F.log2(F.greatest("norm", F.lit(1e-9))) * 8)
+    cut, seen = None, 0
+    for r in every.groupBy(octave.alias("bin")).count().orderBy(F.desc("bin")).collect():  # a row for each eighth of an octave
+        cut, seen = r["bin"], seen + r["count"]
+        if seen >= seed_rows:
+            break
+    full = 1 << 30
+    longest = every.where((octave >= F.lit(cut if cut is not None else 0)) & (F.pmod(F.xxhash64("id"), F.lit(full)) < min(full, seed_rows * full // max(1, seen))))
+    seeds = sorted(longest.limit(2 * seed_rows).collect(), key=lambda r: (-r["norm"], r["id"]))  # any rows give valid bounds; 2 * seed_rows at most
     lead = spark.sparkContext.broadcast((np.array([r["id"] for r in seeds], np.int64), [list(r["v"]) for r in seeds], np.array([r["norm"] for r in seeds])))
 
     def first_bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
