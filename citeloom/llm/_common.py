@@ -18,6 +18,8 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 WORD = r"[^\x20\x09-\x0D]+"
 _SHIPPED: set[str] = set()
 _OWN_SHARED: dict[str, str] = {}
+#: Batches between Spark and Python while a table is written: small, so that rows of whole sets and texts stay within memory.
+_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(1 << 24)}
 
 
 def ship(spark: SparkSession) -> None:
@@ -48,11 +50,18 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{folder.rstrip('/')}/citeloom/{app}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: it survives lost executors and cuts lineage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    kept = {k: spark.conf.get(k, None) for k in _BATCHES}
+    try:
+        for k, v in _BATCHES.items():
+            spark.conf.set(k, v)
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        for k, v in kept.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -125,48 +125,58 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return label
 
 
-def full_sets(docs: DataFrame, wanted: DataFrame, text_col: str, words: int, bits: int = 24) -> DataFrame:
-    """key and set (sorted hashes) of the classes of wanted.
+def _class_key(set_key_col: str, id_col: str):
+    """A class by its set and by the hash of its smallest id: 24 bytes, so that of all copies only one document has it."""
+    return F.concat(F.col(set_key_col), F.unhex(F.lpad(F.hex(_id_hash(id_col)), 16, "0")))
 
-    A bit table of fixed size, made from the wanted keys, goes to the readers of the texts, so that hardly any other set is written.
+
+def _id_hash(id_col: str):
+    return F.xxhash64(F.col(id_col).cast("string"))
+
+
+def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int, bits: int = 25) -> DataFrame:
+    """key and set (sorted hashes) of the classes of wanted, read from the one document that bears a class's key.
+
+    A bit table of fixed size, made from the wanted keys, goes to the readers of the texts, so that hardly any other set is
+    written; what it lets through besides finds no partner in the joins. No shuffle.
     """
     spark = docs.sparkSession
-    bit = F.conv(F.hex(F.substring("key", 1, 4)), 16, 10).cast("long").bitwiseAND(F.lit((1 << bits) - 1))
-    rows = wanted.select(bit.alias("bit")).groupBy(F.shiftright("bit", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 31 as int))")).alias("set")).toArrow()
+    mask = (1 << bits) - 1
+
+    def bit(i: int, j: int):
+        four = lambda at: F.conv(F.hex(F.substring("key", at, 4)), 16, 10).cast("long")
+        return four(i).bitwiseXOR(four(j)).bitwiseAND(F.lit(mask))
+
+    both = wanted.select(F.explode(F.array(bit(1, 17), bit(5, 21))).alias("bit"))
+    rows = both.groupBy(F.shiftright("bit", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 31 as int))")).alias("set")).toArrow()
     bitmap = np.zeros(1 << bits - 5, np.uint32)
     bitmap[rows.column("word").to_numpy()] = rows.column("set").to_numpy().astype(np.uint32)
     sent = spark.sparkContext.broadcast(bitmap)  # 2^bits bits
-    mask = (1 << bits) - 1
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, table_, seen = Shingler(words), sent.value, set()
+
+        def listed_in(key: bytes) -> bool:
+            p, q, r, s = (int.from_bytes(key[i : i + 4], "big") for i in (0, 16, 4, 20))
+            return all(table_[i >> 5] >> np.uint32(i & 31) & 1 for i in ((p ^ q) & mask, (r ^ s) & mask))
+
         for batch in batches:
             keys, sets, size = [], [], 0
-            for t in batch.column(0).to_pylist():
+            for h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 s = shingle(t)
-                key = set_key(s)
-                i = int.from_bytes(key[:4], "big") & mask
-                if len(s) and table_[i >> 5] >> np.uint32(i & 31) & 1 and key not in seen:
+                key = set_key(s) + h.to_bytes(8, "big", signed=True)
+                if len(s) and listed_in(key) and key not in seen:
                     seen.add(key)
                     keys.append(key)
                     sets.append(s.tobytes())
                     size += len(sets[-1])
-                if size > 1 << 23:
+                if size > 1 << 22:
                     yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], names=["key", "set"])
                     keys, sets, size = [], [], 0
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], names=["key", "set"])
 
-    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
-        for b in batches:
-            pick = [i for i, key in enumerate(b.column(0).to_pylist()) if key not in seen and not seen.add(key)]
-            if pick:
-                yield b.take(pa.array(pick))
-
-    found = docs.select(text_col).mapInArrow(read, "key binary, set binary")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return materialize(found.repartition(parts, "key").mapInArrow(once, "key binary, set binary"), "sets")
+    return materialize(docs.select(_id_hash(id_col).alias("h"), text_col).mapInArrow(read, "key binary, set binary"), "sets", "uncompressed")
 
 
 def similarity_at_least(x: np.ndarray, y: np.ndarray, percent: int, k: int) -> bool:
@@ -198,7 +208,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int, k: int, spread: in
     return joined.mapInArrow(check, "a binary, b binary")
 
 
-def linked_classes(docs: DataFrame, reps: DataFrame, text_col: str, words: int, percent: int, k: int, hot_list: int, small_list: int, max_hot: int) -> DataFrame | None:
+def linked_classes(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, words: int, percent: int, k: int, hot_list: int, small_list: int, max_hot: int) -> DataFrame | None:
     """key and root of the classes that have a link to another one; None if none has. reps: key, n, sketch."""
     spark = docs.sparkSession
 
@@ -229,7 +239,7 @@ def linked_classes(docs: DataFrame, reps: DataFrame, text_col: str, words: int,
     active = materialize(lists.join(many, "v"), "lists")
     if active.isEmpty():
         return None
-    sets = full_sets(docs, active.select("key").distinct(), text_col, words)
+    sets = full_sets(docs, active.select("key").distinct(), id_col, text_col, words)
     release_shuffles(spark)
     hub = F.min(F.struct("n", "key")).alias("hub")
     state = active.groupBy("v").agg(hub)
@@ -258,7 +268,7 @@ def linked_classes(docs: DataFrame, reps: DataFrame, text_col: str, words: int,
     return components(found) if not found.isEmpty() else None
 
 
-def linked_in_blocks(lists: DataFrame, sets: DataFrame, percent: int, block_rows: int = 4096, block_hashes: int = 3_000_000) -> DataFrame:
+def linked_in_blocks(lists: DataFrame, sets: DataFrame, percent: int, block_rows: int = 4096, block_hashes: int = 1_000_000) -> DataFrame:
     """Links that join what is similar within long lists: (a, b) of each member and its component's first.
 
     A list is cut into blocks of bounded rows and hashes; every pair of blocks is one group, which counts the common
@@ -315,18 +325,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per row of docs: id_col, n_shingles, set_key, component_id (smallest id of the component) and kept (id = component_id)."""
     ship(docs.sparkSession)
     signed = materialize(signatures(docs, text_col, words, k, [id_col]), "signatures")
-    grouped = signed.where((F.col("n_shingles") > 0) & F.col(id_col).isNotNull()).groupBy(F.col("set_key").alias("key"))
-    reps = materialize(grouped.agg(F.min(id_col).alias("least"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "classes")
+    grouped = signed.where((F.col("n_shingles") > 0) & F.col(id_col).isNotNull()).groupBy("set_key")
+    reps = materialize(grouped.agg(F.min(id_col).alias("least"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")).withColumn("key", _class_key("set_key", "least")), "classes")
     release_shuffles(docs.sparkSession)
-    label = linked_classes(docs.where(F.col(id_col).isNotNull()), reps, text_col, words, percent, k, hot_list, small_list, max_hot)
-    least = reps.select("key", "least")
+    label = linked_classes(docs.where(F.col(id_col).isNotNull()), reps, id_col, text_col, words, percent, k, hot_list, small_list, max_hot)
+    least = reps.select("key", "set_key", "least")
     if label is not None:
         roots = least.join(label, "key")
         top = roots.groupBy("root").agg(F.min("least").alias("top"))
-        least = least.join(roots.join(top, "root").select("key", "top"), "key", "left").select("key", F.coalesce("top", "least").alias("least"))
-    least = materialize(least, "classes-least")
+        least = least.join(roots.join(top, "root").select("key", "top"), "key", "left").select("set_key", F.coalesce("top", "least").alias("least"))
+    least = materialize(least.select("set_key", "least"), "classes-least")
     rows = signed.select(id_col, "n_shingles", "set_key")
-    out = rows.join(least.withColumnRenamed("key", "set_key"), "set_key", "left")
+    out = rows.join(least, "set_key", "left")
     component = F.when(F.col(id_col).isNotNull(), F.coalesce("least", id_col))
     return out.select(id_col, "n_shingles", "set_key", component.alias("component_id"), F.coalesce(component == F.col(id_col), F.lit(True)).alias("kept"))
 
