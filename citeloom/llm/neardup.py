@@ -179,21 +179,35 @@ def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, wo
     return materialize(docs.select(_id_hash(id_col).alias("h"), text_col).mapInArrow(read, "key binary, set binary"), "sets", "uncompressed")
 
 
-def similarity_at_least(x: np.ndarray, y: np.ndarray, percent: int, k: int) -> bool:
-    """Estimate on the union's sketch first, then count on the full sets."""
-    if min(len(x), len(y)) * 100 < percent * max(len(x), len(y)):
-        return False
-    if len(x) > 2 * k and len(y) > 2 * k:
-        union = np.union1d(x[:k], y[:k])[:k]
-        shared = np.intersect1d(np.intersect1d(x[:k], union, assume_unique=True), y[:k], assume_unique=True)
-        if len(shared) / k < percent / 100 - 0.25:
-            return False
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Exactly, on full sets."""
     both = len(np.intersect1d(x, y, assume_unique=True))
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
+def estimate(x: np.ndarray, y: np.ndarray, k: int) -> float:
+    """The share of the union's sketch that both sketches hold."""
+    union = np.union1d(x, y)[:k]
+    return np.isin(np.intersect1d(x, y, assume_unique=True), union).sum() / len(union)
+
+
+def likely(pairs: DataFrame, sets: DataFrame, percent: int, k: int) -> DataFrame:
+    """The pairs (a, b) whose estimate is not 0.25 or more below the threshold. Only sketches, the heads of the sets, move."""
+    heads = sets.select(F.col("key"), F.substring("set", 1, 8 * k).alias("head"))
+    both = pairs.join(heads.select(F.col("key").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("key").alias("b"), F.col("head").alias("y")), "b")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = [estimate(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), k) > percent / 100 - 0.25 for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return both.select("a", "b", "x", "y").mapInArrow(check, "a binary, b binary").distinct()
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int, k: int, spread: int = 1000) -> DataFrame:
-    """The pairs (a, b) that are similar. A hub a of many pairs is spread: its set goes to one key for each spread pairs."""
+    """The pairs (a, b) that are similar: estimated, then counted on the full sets. A hub a of many pairs is spread: its set goes to one key for each spread pairs."""
+    pairs = materialize(likely(pairs, sets, percent, k), "likely")
+    release_shuffles(pairs.sparkSession)
     ways = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(spread)).cast("int").alias("ways"))
     left = ways.join(sets.withColumnRenamed("key", "a"), "a").select("a", F.col("set").alias("set_a"), F.explode(F.sequence(F.lit(0), F.col("ways") - 1)).alias("way"))
     right = pairs.join(ways, "a").withColumn("way", F.pmod(F.xxhash64("b"), F.col("ways")).cast("int")).join(sets.select(F.col("key").alias("b"), F.col("set").alias("set_b")), "b")
@@ -202,7 +216,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int, k: int, spread: in
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = batch.column(2), batch.column(3)
-            good = [similarity_at_least(np.frombuffer(x[i].as_py(), np.uint64), np.frombuffer(y[i].as_py(), np.uint64), percent, k) for i in range(batch.num_rows)]
+            good = [similar(np.frombuffer(x[i].as_py(), np.uint64), np.frombuffer(y[i].as_py(), np.uint64), percent) for i in range(batch.num_rows)]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return joined.mapInArrow(check, "a binary, b binary")
@@ -236,15 +250,18 @@ def linked_classes(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str,
 
     lists = reps.select("key", "n", "sketch").mapInArrow(index, "v long, key binary, n long")
     many = lists.groupBy("v").count().where(F.col("count") > 1).select("v")
-    active = materialize(lists.join(many, "v"), "lists")
+    by_size = Window.partitionBy("v").orderBy("n", "key")
+    near = (F.lag("n").over(by_size) * 100 >= F.col("n") * percent) | (F.col("n") * 100 >= F.lead("n").over(by_size) * percent)
+    # a member is of use only where the next smaller or larger set is near enough in size
+    active = materialize(lists.join(many, "v").withColumn("near", F.coalesce(near, F.lit(False))).where("near").drop("near"), "lists")
     if active.isEmpty():
         return None
     sets = full_sets(docs, active.select("key").distinct(), id_col, text_col, words)
     release_shuffles(spark)
     hub = F.min(F.struct("n", "key")).alias("hub")
     state = active.groupBy("v").agg(hub)
-    now = active.join(state.select("v", F.col("hub.key").alias("hub")), "v")
-    pairs = materialize(now.where("key <> hub").select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct(), "pairs")
+    now = active.join(state.select("v", F.col("hub.key").alias("hub"), F.col("hub.n").alias("hub_n")), "v")
+    pairs = materialize(now.where("key <> hub").where(F.col("hub_n") * 100 >= F.col("n") * percent).select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct(), "pairs")
     links = materialize(verified(pairs, sets, percent, k), "links")
     label = components(links) if not links.isEmpty() else None
     release_shuffles(spark)

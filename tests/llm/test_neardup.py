@@ -93,7 +93,7 @@ def test_block_counts_are_exact():
 
     for i in range(90):
         for j in range(i):
-            if neardup.similarity_at_least(sets[i], sets[j], 80, 96):
+            if neardup.similar(sets[i], sets[j], 80):
                 a, b = sorted((find(i), find(j)))
                 parent[b] = a
     assert neardup.similar_components(sets, 80, step=32).tolist() == [find(i) for i in range(90)]
