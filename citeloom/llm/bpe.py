@@ -15,6 +15,8 @@ from __future__ import annotations
 import hashlib
 
 import ahocorasick
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ._common import arrow_map, table
@@ -120,14 +122,42 @@ def encode(docs: DataFrame, text_col: str = "text", vocabulary: str | None = Non
         e = encoder(spec.value)
 
         def work(texts):
-            ids = [e.encode(t) for t in texts]
-            return ids, [len(x) for x in ids]
+            ids = [np.array(e.encode(t), np.int32) for t in texts]
+            return id_lists(ids), [len(x) for x in ids]
 
         return work
 
     return arrow_map(docs, [text_col], "token_ids array<int>, n_tokens long", make, keep)
 
 
+def id_lists(ids: list[np.ndarray]) -> pa.Array:
+    """One Arrow list a text; no Python number an id."""
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32), pa.int32()))
+
+
+def encode_with_digests(docs: DataFrame, text_col: str = "text", vocabulary: str | None = None, keep: list[str] | None = None) -> DataFrame:
+    """docs with token_ids, n_tokens, ids_sha256 and decoded_sha256, in one pass."""
+    spec = _spec(docs.sparkSession, vocabulary)
+
+    def make():
+        digest = Digester(encoder(spec.value))
+
+        def work(texts):
+            ids, rows = [], []
+            for n, joined, words in map(digest, texts):
+                ids.append(np.array(joined.split(" "), np.int32) if n else np.empty(0, np.int32))
+                rows.append((n, _sha(joined), _sha(words)))
+            return id_lists(ids), *zip(*rows, strict=True)
+
+        return work
+
+    return arrow_map(docs, [text_col], "token_ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string", make, keep)
+
+
+def _sha(s: str) -> str:
+    return hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
+
+
 def decode(frame: DataFrame, ids_col: str = "token_ids", vocabulary: str | None = None, keep: list[str] | None = None) -> DataFrame:
     """frame with decoded, the text of its ids. Ids that the vocabulary lacks are left out, as the library does; null ids give an empty text."""
     spec = _spec(frame.sparkSession, vocabulary)
@@ -145,10 +175,9 @@ def encode_digests(docs: DataFrame, text_col: str = "text", vocabulary: str | No
 
     def make():
         digest = Digester(encoder(spec.value))
-        sha = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
 
         def work(texts):
-            rows = [(n, sha(ids), sha(words)) for n, ids, words in map(digest, texts)]
+            rows = [(n, _sha(ids), _sha(words)) for n, ids, words in map(digest, texts)]
             return [r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows]
 
         return work

@@ -42,8 +42,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, token_ids and the hashes of the ids and of the decoded text."""
-    ids = bpe.encode(docs.select("doc_id", "lang", "source", "text"))
-    return bpe.encode_digests(ids).select("doc_id", "lang", "source", "n_tokens", "token_ids", "ids_sha256", "decoded_sha256")
+    ids = bpe.encode_with_digests(docs.select("doc_id", "lang", "source", "text"))
+    return ids.select("doc_id", "lang", "source", "n_tokens", "token_ids", "ids_sha256", "decoded_sha256")
 
 
 STAGES = [
