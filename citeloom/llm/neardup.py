@@ -134,38 +134,56 @@ def _id_hash(id_col: str):
     return F.xxhash64(F.col(id_col).cast("string"))
 
 
-def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int, bits: int = 25) -> DataFrame:
+class KeyBits:
+    """A bit table of fixed size over class keys: tells the keys that may be among those it was made from. Two bits a key."""
+
+    def __init__(self, keys: DataFrame, bits: int = 25):
+        self.mask = mask = (1 << bits) - 1
+
+        def bit(i: int, j: int):
+            four = lambda at: F.conv(F.hex(F.substring("key", at, 4)), 16, 10).cast("long")
+            return four(i).bitwiseXOR(four(j)).bitwiseAND(F.lit(mask))
+
+        both = keys.select(F.explode(F.array(bit(1, 17), bit(5, 21))).alias("bit"))
+        rows = both.groupBy(F.shiftright("bit", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 31 as int))")).alias("set")).toArrow()
+        self.words = np.zeros(1 << bits - 5, np.uint32)
+        self.words[rows.column("word").to_numpy()] = rows.column("set").to_numpy().astype(np.uint32)
+
+    def __contains__(self, key: bytes) -> bool:
+        p, q, r, s = (int.from_bytes(key[i : i + 4], "big") for i in (0, 16, 4, 20))
+        return all(self.words[i >> 5] >> np.uint32(i & 31) & 1 for i in ((p ^ q) & self.mask, (r ^ s) & self.mask))
+
+
+def only(sets: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of sets (key, a binary column) that may have one of keys, so that a join moves hardly any other."""
+    sent = sets.sparkSession.sparkContext.broadcast(KeyBits(keys))  # 2^25 bits
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = sent.value
+        for batch in batches:
+            yield batch.filter(pa.array([k in bits for k in batch.column(0).to_pylist()], pa.bool_()))
+
+    return sets.mapInArrow(keep, sets.schema)
+
+
+def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
     """key and set (sorted hashes) of the classes of wanted, read from the one document that bears a class's key.
 
     A bit table of fixed size, made from the wanted keys, goes to the readers of the texts, so that hardly any other set is
     written; what it lets through besides finds no partner in the joins. No shuffle.
     """
     spark = docs.sparkSession
-    mask = (1 << bits) - 1
-
-    def bit(i: int, j: int):
-        four = lambda at: F.conv(F.hex(F.substring("key", at, 4)), 16, 10).cast("long")
-        return four(i).bitwiseXOR(four(j)).bitwiseAND(F.lit(mask))
-
-    both = wanted.select(F.explode(F.array(bit(1, 17), bit(5, 21))).alias("bit"))
-    rows = both.groupBy(F.shiftright("bit", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 31 as int))")).alias("set")).toArrow()
-    bitmap = np.zeros(1 << bits - 5, np.uint32)
-    bitmap[rows.column("word").to_numpy()] = rows.column("set").to_numpy().astype(np.uint32)
-    sent = spark.sparkContext.broadcast(bitmap)  # 2^bits bits
+    sent = spark.sparkContext.broadcast(KeyBits(wanted))  # 2^25 bits
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, table_, seen = Shingler(words), sent.value, set()
-
-        def listed_in(key: bytes) -> bool:
-            p, q, r, s = (int.from_bytes(key[i : i + 4], "big") for i in (0, 16, 4, 20))
-            return all(table_[i >> 5] >> np.uint32(i & 31) & 1 for i in ((p ^ q) & mask, (r ^ s) & mask))
+        shingle, listed, seen = Shingler(words), sent.value, set()
 
         for batch in batches:
             keys, sets, size = [], [], 0
             for h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 s = shingle(t)
                 key = set_key(s) + h.to_bytes(8, "big", signed=True)
-                if len(s) and listed_in(key) and key not in seen:
+                if len(s) and key in listed and key not in seen:
                     seen.add(key)
                     keys.append(key)
                     sets.append(s.tobytes())
@@ -194,7 +212,9 @@ def estimate(x: np.ndarray, y: np.ndarray, k: int) -> float:
 def likely(pairs: DataFrame, sets: DataFrame, percent: int, k: int) -> DataFrame:
     """The pairs (a, b) whose estimate is not 0.25 or more below the threshold. Only sketches, the heads of the sets, move."""
     heads = sets.select(F.col("key"), F.substring("set", 1, 8 * k).alias("head"))
-    both = pairs.join(heads.select(F.col("key").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("key").alias("b"), F.col("head").alias("y")), "b")
+    x = only(heads, pairs.select(F.col("a").alias("key"))).toDF("a", "x")
+    y = only(heads, pairs.select(F.col("b").alias("key"))).toDF("b", "y")
+    both = pairs.join(x, "a").join(y, "b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,8 +229,8 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int, k: int, spread: in
     pairs = materialize(likely(pairs, sets, percent, k), "likely")
     release_shuffles(pairs.sparkSession)
     ways = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(spread)).cast("int").alias("ways"))
-    left = ways.join(sets.withColumnRenamed("key", "a"), "a").select("a", F.col("set").alias("set_a"), F.explode(F.sequence(F.lit(0), F.col("ways") - 1)).alias("way"))
-    right = pairs.join(ways, "a").withColumn("way", F.pmod(F.xxhash64("b"), F.col("ways")).cast("int")).join(sets.select(F.col("key").alias("b"), F.col("set").alias("set_b")), "b")
+    left = ways.join(only(sets, pairs.select(F.col("a").alias("key"))).toDF("a", "set_a"), "a").select("a", "set_a", F.explode(F.sequence(F.lit(0), F.col("ways") - 1)).alias("way"))
+    right = pairs.join(ways, "a").withColumn("way", F.pmod(F.xxhash64("b"), F.col("ways")).cast("int")).join(only(sets, pairs.select(F.col("b").alias("key"))).toDF("b", "set_b"), "b")
     joined = right.join(left, ["a", "way"]).select("a", "b", "set_a", "set_b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,7 +316,7 @@ def linked_in_blocks(lists: DataFrame, sets: DataFrame, percent: int, block_rows
     cut = lists.withColumn("blocks", blocks).withColumn("own", own)
     cut = cut.select("v", "key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "own")
     cut = cut.select("v", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    rows = cut.join(sets, "key").select("v", "i", "j", "key", "set")
+    rows = cut.join(only(sets, lists.select("key")), "key").select("v", "i", "j", "key", "set")
 
     def link(group: pa.Table) -> pa.Table:
         keys = group.column("key").to_pylist()
