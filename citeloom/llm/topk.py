@@ -1,6 +1,7 @@
 """Exact top-k inner products by norm buckets.
 
-All vectors are range-partitioned and sorted by length, longest first; a task meets them in buckets of like length. For a
+All vectors are range-partitioned and sorted by length, longest first; a task meets them in buckets, mostly of like length.
+Spark may read the files in another order and a bucket may run over the end of one, so each bucket is sorted again. For a
 query and a bucket the local cosine threshold is the query's k-th best score so far over (its length times the bucket's
 longest). Above 1 the bucket is passed over. From coordinate_cut on the bucket is pruned by coordinates: a vector that
 reaches the threshold must lie in a known interval of each coordinate, so the query's few largest coordinates select
@@ -77,9 +78,12 @@ class Best:
                 self.bound[one] = max(self.bound[one], -kept[-1][0])
 
     def bucket(self, ids: np.ndarray, vectors: np.ndarray, norms: np.ndarray, block: int = 1024) -> None:
-        """Vectors of like length, longest first."""
+        """Vectors of like length, in any order: files are read back in another order than they were written."""
         if not len(ids):
             return
+        if np.any(norms[1:] > norms[:-1]):
+            order = np.argsort(-norms, kind="stable")
+            ids, vectors, norms = ids[order], vectors[order], norms[order]
         longest = float(norms[0])
         if self.peak * float(np.abs(vectors).max(initial=0)) * max(1, vectors.shape[1]) >= 2.0**53:
             self._exact(ids, vectors)

@@ -64,6 +64,18 @@ def test_topk_equals_brute_force(spark):
             assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == brute(rows, 5, 10), (scale, cut)
 
 
+def test_topk_with_files_in_shuffled_order(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(size=6) * np.exp(rng.normal())]) for i in range(900)] + [(1000 + i, [9.0, 8.0, 7.0, 6.0, 5.0, 4.0]) for i in range(20)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    real = topk.materialize
+    # many small files, each sorted as before, that follow one another in an order of their own
+    monkeypatch.setattr(topk, "materialize", lambda d, name: real(d.repartition(60, F.xxhash64("id") % 60).sortWithinPartitions(F.desc("norm")) if "length" in name else d, name))
+    for cut in (0.3, 0.9, 5.0):
+        got = topk.top_products(df, F.col("vec_id") % 10 == 0, seed_rows=16, bucket_rows=64, coordinate_cut=cut).collect()
+        assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == brute(rows, 5, 10), cut
+
+
 def test_topk_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert topk.top_products(df, F.col("vec_id") % 50 == 0).count() == 0
