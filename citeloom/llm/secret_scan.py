@@ -12,7 +12,8 @@ unpacks to itself. Every character of a layer keeps the range of the original te
 their own characters, base64 to its groups, compressed data to its whole run. Found spans are given in the original text;
 base spans stay, equal spans count once.
 
-A stream that unpacks to more than max_unpacked bytes is taken for a bomb: it is not searched and counts in n_oversize.
+A stream that unpacks to more than max_unpacked bytes is unpacked and searched in pieces, which end at characters that no
+pattern and no escape holds; it gives a span over its whole run for each kind it holds, and counts in n_oversize.
 A null or empty text has no spans. Rows pass one to one, repeated ids included; columns pass through unless they have an
 output's name. An empty table gives an empty result.
 """
@@ -22,8 +23,10 @@ from __future__ import annotations
 import base64
 import bz2
 import hashlib
+import itertools
 import re
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -37,6 +40,8 @@ _HEX = re.compile(r"[0-9a-f]{32,}")  # runs are maximal, so shorter ones need no
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)+")
 _ONE_ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
+_BREAK = re.compile(rb"[^A-Za-z0-9+/_.=\x20\"':%\\&#;-]+")
+_PIECE = 1 << 20
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 
 
@@ -138,30 +143,78 @@ def _escapes(run: str):
     return "".join(chr(c) for c, _, _ in units), [(i, j) for _, i, j in units]
 
 
-def _unpacked(data: bytes, most: int) -> bytes | None:
-    """The bytes of a gzip, zlib or bzip2 stream; None if it is none; raises OverflowError beyond most bytes."""
-    if data[:2] == b"\x1f\x8b" or (len(data) > 2 and data[0] & 0x0F == 8 and (data[0] << 8 | data[1]) % 31 == 0):
-        work = zlib.decompressobj(47)
-        try:
-            out = work.decompress(data, most + 1)
-        except zlib.error:
-            return None
-        if len(out) > most:
-            raise OverflowError
-        return out if work.eof else None
-    if data[:3] == b"BZh":
-        work = bz2.BZ2Decompressor()
-        try:
-            out = work.decompress(data, most + 1)
-        except (OSError, ValueError):
-            return None
-        if len(out) > most:
-            raise OverflowError
-        return out if work.eof else None
-    return None
+def _packed(head: bytes) -> bool:
+    """Whether bytes begin as a gzip, zlib or bzip2 stream."""
+    return head[:2] == b"\x1f\x8b" or head[:3] == b"BZh" or (len(head) > 2 and head[0] & 0x0F == 8 and (head[0] << 8 | head[1]) % 31 == 0)
 
 
-def _base64_layers(layer: Layer, most: int, oversize: list) -> list[Layer]:
+def _inflate(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    """What all members of a stream unpack to, in pieces of _PIECE bytes at most; ends where the stream breaks off."""
+    work = None
+    for data in chunks:
+        while data:
+            if work is None:
+                if not _packed(data):
+                    return
+                work = bz2.BZ2Decompressor() if data[:3] == b"BZh" else zlib.decompressobj(47)
+            try:
+                out = work.decompress(data, _PIECE)
+                if out:
+                    yield out
+                if not work.eof and isinstance(work, bz2.BZ2Decompressor):
+                    while not work.eof and not work.needs_input:
+                        if out := work.decompress(b"", _PIECE):
+                            yield out
+            except (zlib.error, OSError, ValueError, EOFError):
+                return
+            if work.eof:
+                data, work = work.unused_data.lstrip(b"\0"), None
+            else:
+                data = b"" if isinstance(work, bz2.BZ2Decompressor) else work.unconsumed_tail
+
+
+def _stream_kinds(chunks: Iterator[bytes], most: int) -> set[int]:
+    """The kinds in a long stream and all layers under it, in pieces that end where no pattern can go on."""
+    head = next(chunks, b"")
+    while len(head) < 3 and (more := next(chunks, b"")):
+        head += more
+    found = set()
+    if _packed(head):
+        whole = itertools.chain([head], chunks)
+        inner = _inflate(whole)
+        first = next(inner, None)
+        if first is not None:
+            return _stream_kinds(itertools.chain([first], inner), most)
+    tail = b""
+    for data in itertools.chain([head], chunks):
+        ends = [m.end() for m in _BREAK.finditer(data)][-1:]  # nothing that is searched for holds one
+        if not ends:
+            tail += data
+            continue
+        found |= {k for _, k, _ in all_spans((tail + data[: ends[0]]).decode("latin-1"), most)[1]}
+        tail = data[ends[0] :]
+    return found | {k for _, k, _ in all_spans(tail.decode("latin-1"), most)[1]}
+
+
+def _streams(data: bytes, most: int) -> tuple[list[bytes], set[int], int]:
+    """What a stream, and the streams it unpacks to, hold: the layers up to most bytes; of longer ones the kinds found, and their number."""
+    out, kinds, long, seen = [], set(), 0, set()
+    while _packed(data) and (key := hashlib.blake2b(data, digest_size=16).digest()) not in seen:
+        seen.add(key)
+        chunks, parts, size = _inflate(iter([data])), [], 0
+        for part in chunks:
+            parts.append(part)
+            size += len(part)
+            if size > most:
+                return out, kinds | _stream_kinds(itertools.chain(parts, chunks), most), long + 1
+        if not parts:
+            break
+        data = b"".join(parts)
+        out.append(data)
+    return out, kinds, long
+
+
+def _base64_layers(layer: Layer, most: int, oversize: list, every: set) -> list[Layer]:
     out = []
     for m in _BASE64.finditer(layer.text):
         run = m[0]
@@ -176,31 +229,20 @@ def _base64_layers(layer: Layer, most: int, oversize: list) -> list[Layer]:
             continue
         a, b = layer.places(m.start(), m.end())
         first, last = int(a.min()), int(b.max())
-        packed, direct = False, True
-        for _ in range(64):  # streams inside streams; the digest of each is checked below
-            try:
-                more = _unpacked(data, most)
-            except OverflowError:
-                oversize.append((first, last))
-                direct = False
-                break
-            if more is None or more == data:
-                break
-            data, packed = more, True
-        if not direct:
-            continue
+        inner, kinds, long = _streams(data, most)
+        every |= {(first, k, last) for k in kinds}
+        oversize += [(first, last)] * long
+        for got in map(_characters, inner):
+            if got is not None:
+                out.append(Layer(got[0], np.full(len(got[0]), first), np.full(len(got[0]), last)))
         got = _characters(data)
-        if got is None:
+        if got is None or inner or long:
             continue
         text, widths = got
-        if packed:
-            n = len(text)
-            out.append(Layer(text, np.full(n, first), np.full(n, last)))
-        else:
-            ends = np.cumsum(widths)
-            begins = ends - np.array(widths)
-            top = len(body) - 1
-            out.append(Layer(text, a[np.minimum(begins * 4 // 3, top)], b[np.minimum((ends * 4 + 2) // 3 - 1, top)]))
+        ends = np.cumsum(widths)
+        begins = ends - np.array(widths)
+        top = len(body) - 1
+        out.append(Layer(text, a[np.minimum(begins * 4 // 3, top)], b[np.minimum((ends * 4 + 2) // 3 - 1, top)]))
     return out
 
 
@@ -225,7 +267,7 @@ def all_spans(text: str | None, max_unpacked: int = 1 << 24) -> tuple[list[tuple
             work.append(new)
         if ("\\" in layer.text or "&#" in layer.text) and (new := _replaced(layer, _ESCAPE, _escapes)):
             work.append(new)
-        work += _base64_layers(layer, max_unpacked, oversize)
+        work += _base64_layers(layer, max_unpacked, oversize, every)
     return base, sorted(every), len(set(oversize))
 
 

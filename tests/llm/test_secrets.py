@@ -1,4 +1,5 @@
 import base64
+import bz2
 import gzip
 import random
 import re
@@ -49,6 +50,22 @@ def test_cycles_bombs_and_edges():
     assert S.all_spans("%41" * 20000)[1] == [] and S.all_spans("A" * 300_000)[0] == []
 
 
+def test_long_streams_are_searched_whole():
+    filler = b"\n".join(b"line %d of a log" % i for i in range(60_000))
+    inner = base64.b64encode(gzip.compress(PLAIN.encode())) + b"\n"
+    for pack in (gzip.compress, zlib.compress, bz2.compress, lambda d: gzip.compress(bz2.compress(d))):
+        for data in (PLAIN.encode() + b"\n" + filler, filler + b"\n" + PLAIN.encode(), filler + b"\n" + inner + filler):
+            run = base64.b64encode(pack(data)).decode()
+            _, every, long = S.all_spans("see " + run + " end", max_unpacked=200_000)
+            assert (4, 0, 4 + len(run)) in every and long == 1
+    text = base64.b64encode(gzip.compress(b"a log line\n" * 1_700_000 + PLAIN.encode())).decode()
+    assert (0, 0, len(text)) in S.all_spans(text)[1]
+    deep = PLAIN.encode()
+    for _ in range(70):
+        deep = zlib.compress(deep)
+    assert S.all_spans(base64.b64encode(deep).decode())[1]
+
+
 def test_frames(spark):
     rows = [(1, f"x {PLAIN} y", "c"), (None, None, "c"), (2, "", "c"), (1, f"x {PLAIN} y", "c"), (3, base64.b64encode(PLAIN.encode()).decode(), "c")]
     df = spark.createDataFrame(rows, "doc_id long, text string, spans string")
