@@ -6,7 +6,8 @@ hex (32 or more lower-case hex digits). In each kind matches are leftmost and do
 dropped after matching.
 
 The worklist starts with the text. From each layer it unwraps percent escapes, \\uXXXX / \\xXX / &#...; escapes, base64
-runs (standard or URL alphabet) and the gzip, zlib or bzip2 streams that base64 gives, and adds what is new. A layer that
+runs (standard or URL alphabet, from each of the four places where a group may begin) and the gzip, zlib or bzip2 streams
+(all members) that base64 or escapes give, and adds what is new. Bytes that are no UTF-8 count as a character each. A layer that
 was seen before for this text (by digest of its characters and their places) is not visited again, so chains end even where a stream
 unpacks to itself. Every character of a layer keeps the range of the original text that it comes from: escapes map to
 their own characters, base64 to its groups, compressed data to its whole run. Found spans are given in the original text;
@@ -42,6 +43,14 @@ _ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|
 _ONE_ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
 _BREAK = re.compile(rb"[^A-Za-z0-9+/_.=\x20\"':%\\&#;-]+")
 _PIECE = 1 << 20
+_STRETCH = re.compile(rb"[\x20-\x7e]{14}")  # the shortest match and every escape of it are printable
+_MAGIC = re.compile(rb"\x1f\x8b\x08|BZh[1-9]1AY&SY|x[\x01\x5e\x9c\xda]")
+#: Where escapes may write the first bytes of a stream.
+_HINT = re.compile(r"(?:%|\\x|\\u00|&#x)1f;?(?:(?:%|\\x|\\u00|&#x)8b|\x8b)|&#31;(?:&#139;|\x8b)|(?:B|(?:%|\\x|\\u00|&#x)42;?|&#66;)(?:Z|(?:%|\\x|\\u00|&#x)5a;?|&#90;)(?:h|(?:%|\\x|\\u00|&#x)68|&#104;)|(?:x|(?:%|\\x|\\u00|&#x)78;?|&#120;)(?:(?:%|\\x|\\u00|&#x)(?:0?1|5e|9c|da)|&#(?:1|94|156|218);|[\^\x9c\xda])", re.IGNORECASE)
+_PERCENT_BYTE = re.compile(r"%(?P<hex>[0-9A-Fa-f]{2})|(?P<dec>(?!))|(?P<short>(?!))|[!-~]")
+_ESCAPE_BYTE = re.compile(r"(?:\\x|\\u00|\\U000000|&#[xX](?=[0-9A-Fa-f]{1,2};))(?P<hex>[0-9A-Fa-f]{1,2});?|&#(?P<dec>[0-9]{1,3});|\\(?P<short>[abfnrtv0'\"\\/])|[ -~\x80-\xff]")
+_VISIBLE, _LINE = re.compile(r"[!-~]+"), re.compile(r"[ -~\x80-\xff]+")
+_SHORT = {"a": 7, "b": 8, "f": 12, "n": 10, "r": 13, "t": 9, "v": 11, "0": 0}
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 
 
@@ -82,13 +91,14 @@ class Layer:
 
 
 def _characters(data: bytes) -> tuple[str, list[int]] | None:
-    """Strict UTF-8 with printable characters only, and the number of bytes of each."""
+    """The text of bytes, as UTF-8 or else a character a byte, and the number of bytes of each; None if nothing in it is long enough to match."""
+    if not _STRETCH.search(data):
+        return None
     try:
         text = data.decode("utf-8")
     except UnicodeDecodeError:
-        return None
-    if not text or any(c < " " and c not in "\t\n\r" or c == "\x7f" for c in text):
-        return None
+        text = data.decode("latin-1")
+        return text, [1] * len(text)
     return text, [1] * len(text) if text.isascii() else [len(c.encode("utf-8")) for c in text]
 
 
@@ -138,9 +148,8 @@ def _escapes(run: str):
             units[-1] = (0x10000 + ((units[-1][0] - 0xD800) << 10) + code - 0xDC00, units[-1][1], m.end())
         else:
             units.append((code, m.start(), m.end()))
-    if any(c > 0x10FFFF or 0xD800 <= c < 0xE000 for c, _, _ in units):
-        return None
-    return "".join(chr(c) for c, _, _ in units), [(i, j) for _, i, j in units]
+    known = lambda c: c <= 0x10FFFF and not 0xD800 <= c < 0xE000
+    return "".join(chr(c) if known(c) else "\ufffd" for c, _, _ in units), [(i, j) for _, i, j in units]
 
 
 def _packed(head: bytes) -> bool:
@@ -148,13 +157,15 @@ def _packed(head: bytes) -> bool:
     return head[:2] == b"\x1f\x8b" or head[:3] == b"BZh" or (len(head) > 2 and head[0] & 0x0F == 8 and (head[0] << 8 | head[1]) % 31 == 0)
 
 
-def _inflate(chunks: Iterator[bytes]) -> Iterator[bytes]:
-    """What all members of a stream unpack to, in pieces of _PIECE bytes at most; ends where the stream breaks off."""
+def _inflate(chunks: Iterator[bytes], left: list | None = None) -> Iterator[bytes]:
+    """What all members of a stream unpack to, in pieces of _PIECE bytes at most; ends where the stream breaks off. left takes the number of bytes after it."""
     work = None
     for data in chunks:
         while data:
             if work is None:
                 if not _packed(data):
+                    if left is not None:
+                        left.append(len(data))
                     return
                 work = bz2.BZ2Decompressor() if data[:3] == b"BZh" else zlib.decompressobj(47)
             try:
@@ -196,63 +207,102 @@ def _stream_kinds(chunks: Iterator[bytes], most: int) -> set[int]:
     return found | {k for _, k, _ in all_spans(tail.decode("latin-1"), most)[1]}
 
 
-def _streams(data: bytes, most: int) -> tuple[list[bytes], set[int], int]:
-    """What a stream, and the streams it unpacks to, hold: the layers up to most bytes; of longer ones the kinds found, and their number."""
-    out, kinds, long, seen = [], set(), 0, set()
+def _streams(data: bytes, most: int) -> tuple[list[bytes], set[int], int, int]:
+    """What a stream, and the streams it unpacks to, hold: the layers up to most bytes; of longer ones the kinds found, and their number; the bytes after the outermost."""
+    out, kinds, long, seen, left = [], set(), 0, set(), []
     while _packed(data) and (key := hashlib.blake2b(data, digest_size=16).digest()) not in seen:
         seen.add(key)
-        chunks, parts, size = _inflate(iter([data])), [], 0
+        chunks, parts, size = _inflate(iter([data]), None if out else left), [], 0
         for part in chunks:
             parts.append(part)
             size += len(part)
             if size > most:
-                return out, kinds | _stream_kinds(itertools.chain(parts, chunks), most), long + 1
+                kinds, long = _stream_kinds(itertools.chain(parts, chunks), most), 1
+                return out, kinds, long, sum(left)
         if not parts:
             break
         data = b"".join(parts)
         out.append(data)
-    return out, kinds, long
+    return out, kinds, long, sum(left)
 
 
-def _base64_layers(layer: Layer, most: int, oversize: list, every: set) -> list[Layer]:
-    out = []
-    for m in _BASE64.finditer(layer.text):
-        run = m[0]
-        body = run.rstrip("=")
-        if len(body) % 4 == 1 or body.isalpha() and (body.islower() or body.isupper() or body.istitle()):
-            body = body[: len(body) // 4 * 4] if len(body) % 4 == 1 else ""
-        if not body:
+def _byte_layers(data: bytes, starts: np.ndarray, stops: np.ndarray, last: int, most: int, oversize: list, every: set, done: set, head: bool = True) -> list[Layer]:
+    """The text of bytes that come from [starts[i], stops[i]), and of the streams that begin in them and end by last."""
+    out, at = [], {0} if head and _packed(data) else set()
+    for i in sorted(at | {m.start() for m in _MAGIC.finditer(data) if head or m.start()}):
+        key = hashlib.blake2b(memoryview(data)[i:], digest_size=16).digest(), int(starts[i]), last
+        if key in done:
             continue
-        try:
-            data = base64.b64decode(body.translate({45: 43, 95: 47}) + "=" * (-len(body) % 4), validate=True)
-        except ValueError:
+        done.add(key)
+        inner, kinds, long, left = _streams(data[i:] if i else data, most)
+        if not inner and not long:
             continue
-        a, b = layer.places(m.start(), m.end())
-        first, last = int(a.min()), int(b.max())
-        inner, kinds, long = _streams(data, most)
-        every |= {(first, k, last) for k in kinds}
-        oversize += [(first, last)] * long
+        first, end = int(starts[i:].min()), int(stops[i : len(data) - left].max()) if left else last
+        every |= {(first, k, end) for k in kinds}
+        oversize += [(first, end)] * long
         for got in map(_characters, inner):
             if got is not None:
-                out.append(Layer(got[0], np.full(len(got[0]), first), np.full(len(got[0]), last)))
-        got = _characters(data)
-        if got is None or inner or long:
+                out.append(Layer(got[0], np.full(len(got[0]), first), np.full(len(got[0]), end)))
+        for x in inner:  # a stream further on in what a stream holds
+            if any(m.start() for m in _MAGIC.finditer(x)):
+                out += _byte_layers(x, np.full(len(x), first), np.full(len(x), end), end, most, oversize, every, done, head=False)
+    got = _characters(data)
+    if got is not None:
+        ends = np.cumsum(got[1])
+        out.append(Layer(got[0], starts[ends - got[1]], stops[ends - 1]))
+    return out
+
+
+def _base64_layers(layer: Layer, most: int, oversize: list, every: set, done: set) -> list[Layer]:
+    """What the base64 runs hold, read from each of the four places where a group of characters may begin."""
+    out = []
+    for m in _BASE64.finditer(layer.text):
+        run = m[0].rstrip("=").translate({45: 43, 95: 47})
+        a, b = layer.places(m.start(), m.end())
+        for skip in range(4):
+            body = run[skip:]
+            body = body[: len(body) // 4 * 4] if len(body) % 4 == 1 else body
+            data = base64.b64decode(body + "=" * (-len(body) % 4))
+            if not (_packed(data) or _MAGIC.search(data) or _STRETCH.search(data)):
+                continue
+            at, top = np.arange(len(data)), skip + len(body) - 1
+            out += _byte_layers(data, a[np.minimum(skip + at * 4 // 3, top)], b[np.minimum(skip + (at * 4 + 6) // 3 - 1, top)], int(b.max()), most, oversize, every, done)
+    return out
+
+
+def _escaped_streams(layer: Layer, stretches: re.Pattern, byte: re.Pattern, escape: re.Pattern, most: int, oversize: list, every: set, done: set) -> list[Layer]:
+    """What the compressed streams hold whose bytes are written as escapes among plain characters."""
+    out = []
+    for m in stretches.finditer(layer.text) if _HINT.search(layer.text) else ():
+        if not (_HINT.search(m[0]) and escape.search(m[0])):
             continue
-        text, widths = got
-        ends = np.cumsum(widths)
-        begins = ends - np.array(widths)
-        top = len(body) - 1
-        out.append(Layer(text, a[np.minimum(begins * 4 // 3, top)], b[np.minimum((ends * 4 + 2) // 3 - 1, top)]))
+        units = list(byte.finditer(m[0]))
+        whole = bytes(_unit(u) for u in units)
+        for data in {whole, bytes(32 if u[0] == "+" else c for u, c in zip(units, whole, strict=True))}:
+            if not (_packed(data) or _MAGIC.search(data)):
+                continue
+            a, b = layer.places(m.start(), m.end())
+            starts, stops = a[[u.start() for u in units]], b[[u.end() - 1 for u in units]]
+            out += _byte_layers(data, starts, stops, int(b.max()), most, oversize, every, done)
     return out
 
 
+def _unit(u: re.Match) -> int:
+    """The byte that an escape or a plain character stands for."""
+    if u["hex"]:
+        return int(u["hex"], 16)
+    if u["dec"]:
+        return int(u["dec"]) & 255
+    return _SHORT.get(u["short"], ord(u["short"])) if u["short"] else ord(u[0])
+
+
 def all_spans(text: str | None, max_unpacked: int = 1 << 24) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int]:
     """Base spans, all spans, and the number of oversize streams."""
     if not text:
         return [], [], 0
     base = base_spans(text)
     every = set(base)
-    work, seen, oversize = [Layer(text)], set(), []
+    work, seen, done, oversize = [Layer(text)], set(), set(), []
     while work:
         layer = work.pop()
         if layer.start is not None:
@@ -265,9 +315,13 @@ def all_spans(text: str | None, max_unpacked: int = 1 << 24) -> tuple[list[tuple
                 every.add((first, kind, last))
         if "%" in layer.text and (new := _replaced(layer, _PERCENT, _percent)):
             work.append(new)
+        if "%" in layer.text:
+            work += _escaped_streams(layer, _VISIBLE, _PERCENT_BYTE, _PERCENT, max_unpacked, oversize, every, done)
         if ("\\" in layer.text or "&#" in layer.text) and (new := _replaced(layer, _ESCAPE, _escapes)):
             work.append(new)
-        work += _base64_layers(layer, max_unpacked, oversize, every)
+        if "\\" in layer.text or "&#" in layer.text:
+            work += _escaped_streams(layer, _LINE, _ESCAPE_BYTE, _ESCAPE, max_unpacked, oversize, every, done)
+        work += _base64_layers(layer, max_unpacked, oversize, every, done)
     return base, sorted(every), len(set(oversize))
 
 

@@ -50,6 +50,19 @@ def test_cycles_bombs_and_edges():
     assert S.all_spans("%41" * 20000)[1] == [] and S.all_spans("A" * 300_000)[0] == []
 
 
+def test_layers_that_are_not_clean():
+    packs = [gzip.compress(PLAIN.encode()), zlib.compress(PLAIN.encode()), bz2.compress(PLAIN.encode())]
+    b64 = lambda d: base64.b64encode(d).decode()
+    wraps = [urllib.parse.quote(p, safe="") for p in packs] + [urllib.parse.quote_plus(p, safe="") for p in packs] + ["".join(f"%{c:02x}" for c in p) for p in packs]
+    wraps += ["".join(f"\\x{c:02x}" for c in p) for p in packs] + [repr(p) for p in packs] + ["".join(f"\\u{c:04x}" for c in p) for p in packs] + ["".join(f"&#{c};" for c in p) for p in packs]
+    wraps += [b64(gzip.compress(b"nothing here") + gzip.compress(PLAIN.encode())), b64(bz2.compress(b"nothing here") + bz2.compress(PLAIN.encode()))]
+    wraps += [p + b64(d) for p in ("/cb/", "key-", "a/", "ab_", "abc+") for d in (PLAIN.encode(), *packs)]
+    wraps += [b64(b"\x00\x01 " + PLAIN.encode()), b64(PLAIN.encode() + b"\xff\xfe"), "\\ud800" + "".join(f"\\u{ord(c):04x}" for c in PLAIN)]
+    for w in wraps:
+        _, every, _ = S.all_spans("é before " + w + " after")
+        assert every and all(9 <= i < j <= 9 + len(w) for i, k, j in every), w
+
+
 def test_long_streams_are_searched_whole():
     filler = b"\n".join(b"line %d of a log" % i for i in range(60_000))
     inner = base64.b64encode(gzip.compress(PLAIN.encode())) + b"\n"
