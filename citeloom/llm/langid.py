@@ -5,8 +5,9 @@ known character n-gram at each position, 5 characters down to 1, and scores with
 is the softmax share of the best language, its log scores divided by the square root of the number of words.
 
 Training counts words over all training rows (a Counter per task, summed by Spark); the n-gram counts come from the summed
-word table. Words that occur once are left to the n-grams. The model is bounded: max_words and max_grams most frequent
-entries; what is beyond them is scored by the shorter n-grams.
+word table. Words that occur once are left to the n-grams. The max_words and max_grams most frequent entries at most are
+broadcast; the rest of both tables stays in Parquet, and the words of the texts that are not broadcast are looked up there
+by joins, so a text scores as with the whole model.
 
 Rows: every row gives one row. A null text or one without any letter gives 'und' with score 0; a text whose letters the
 model has never seen gives the most frequent language with score 1 / number of languages. Rows with a null language or text
@@ -17,7 +18,7 @@ table, or one without languages, gives 'und' with score 0. Columns pass through
 from __future__ import annotations
 
 import math
-from collections import Counter
+from collections import ChainMap, Counter
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +55,7 @@ class Model:
 
     def __init__(self, langs: list[str], words: dict[str, np.ndarray], grams: dict[str, np.ndarray], prior: int):
         self.langs, self.words, self.grams, self.prior = langs, words, grams, prior
+        self.tail: tuple[DataFrame | None, DataFrame | None] = (None, None)  # (word, v) and (gram, v) beyond words and grams
         self.rows: list[np.ndarray] = []
         self.memo = Memo(self._row, most=1 << 62)
 
@@ -87,11 +89,14 @@ class Model:
             self._table = None
         rows = [self.memo[w] for w in words]
         table = self._stack()
-        total = table[rows].sum(0)
+        return self.decide(table[rows].sum(0), len(words))
+
+    def decide(self, total: np.ndarray, n: int) -> tuple[str, float]:
+        """The language and its share, of the summed log scores of n words."""
         if not np.any(total):
             return self.langs[self.prior], 1.0 / len(self.langs)
         best = int(np.argmax(total))
-        share = np.exp((total - total[best]) / math.sqrt(len(words)))
+        share = np.exp((total - total[best]) / math.sqrt(n))
         return self.langs[best], float(1.0 / share.sum())
 
     _table = None
@@ -154,7 +159,7 @@ def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", max_wo
         return Model([], {}, {}, 0)
     size = np.array([r["n"] for r in totals], float)
 
-    def top(counts: DataFrame, key: str, least: int, most: int) -> dict[str, np.ndarray]:
+    def top(counts: DataFrame, key: str, least: int, most: int) -> tuple[dict[str, np.ndarray], DataFrame | None]:
         wide = counts.groupBy(key).agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
         kept = materialize(wide.where(F.col("total") >= least).withColumn("bin", F.floor(F.log2("total") * 16)), f"lang-{key}")
         cut, seen = 0, 0
@@ -163,14 +168,21 @@ def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", max_wo
             if seen > most:
                 cut = r["bin"] + 1
                 break
-        best = kept.where(F.col("bin") >= cut)  # most rows at most: the bin that would pass it is left out whole
+        best = kept.where(F.col("bin") >= cut)  # most rows at most: the bin that would pass it goes to the rest whole
+        over = size if key == "word" else size * 8
+        logs = F.array(*[F.log((F.coalesce(F.col("by")[g], F.lit(0)) + 0.1) / float(over[i] + 1.0)) for i, g in enumerate(langs)])
+        mean = F.aggregate("logs", F.lit(0.0), lambda a, x: a + x) / len(langs)
+        rest = kept.where(F.col("bin") < cut).select(key, logs.alias("logs")).select(key, F.transform("logs", lambda x: x - mean).alias("v")) if cut else None
         got = best.select(key, *[F.coalesce(F.col("by")[g], F.lit(0)).alias(f"c{i}") for i, g in enumerate(langs)]).toPandas()
         if got.empty:
-            return {}
+            return {}, rest
         n = got.iloc[:, 1:].to_numpy(float)
-        return dict(zip(got[key], _centred(n, size if key == "word" else size * 8), strict=True))
+        return dict(zip(got[key], _centred(n, over), strict=True)), rest
 
-    return Model(langs, top(words, "word", 2, max_words), top(grams, "gram", 2, max_grams), int(np.argmax(size)))
+    (w, more_words), (g, more_grams) = top(words, "word", 2, max_words), top(grams, "gram", 2, max_grams)
+    model = Model(langs, w, g, int(np.argmax(size)))
+    model.tail = more_words, more_grams
+    return model
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -179,9 +191,12 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[s
     parts = (model.langs, list(model.words), np.array(list(model.words.values())), list(model.grams), np.array(list(model.grams.values())), model.prior)
     sent = spark.sparkContext.broadcast(parts)  # max_words and max_grams entries at most
 
-    def make():
+    def received() -> Model:
         langs, w, wv, g, gv, prior = sent.value
-        m = Model(langs, dict(zip(w, wv, strict=True)), dict(zip(g, gv, strict=True)), prior)
+        return Model(langs, dict(zip(w, wv, strict=True)), dict(zip(g, gv, strict=True)), prior)
+
+    def make():
+        m = received()
 
         def work(texts):
             out = [m.predict(t) for t in texts]
@@ -189,9 +204,77 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[s
 
         return work
 
+    if model.langs and any(t is not None for t in model.tail):
+        return _with_tail(docs, model, received, text_col, keep)
     return arrow_map(docs, [text_col], "lang_pred string, score double", make, keep)
 
 
+def _with_tail(docs: DataFrame, model: Model, received, text_col: str, keep: list[str] | None) -> DataFrame:
+    """identify where a part of the model is not broadcast: words outside the broadcast get their vectors by joins."""
+    langs, prior, (more_words, more_grams) = model.langs, model.prior, model.tail
+
+    def first():
+        m = received()
+
+        def work(texts):
+            n, sums, rest = [], [], []
+            for t in texts:
+                tally, total = Counter(words_of(t) if t else []), np.zeros(len(langs))
+                n.append(sum(tally.values()))
+                rest.append([{"word": w, "k": k} for w, k in tally.items() if w not in m.words])
+                for w, k in tally.items():
+                    if w in m.words:
+                        total += k * m.words[w].astype(float)
+                sums.append(total.tolist())
+            return n, sums, rest
+
+        return work
+
+    def ask():
+        m = received()
+        return lambda words: [[[g for g in dict.fromkeys(grams_of(w)) if g not in m.grams] for w in words]]
+
+    def cover():
+        m = received()
+
+        def work(words, found):
+            out = []
+            for w, more in zip(words, found, strict=True):
+                own = {e["gram"]: np.array(e["v"], np.float32) for e in more or []}
+                grams = ChainMap(own, m.grams) if own else m.grams
+                out.append(Model(langs, {}, grams, prior).vector(w).astype(float).tolist())
+            return [out]
+
+        return work
+
+    def last():
+        m = Model(langs, {}, {}, prior)
+
+        def work(n, sums, more):
+            out = [m.decide(np.array(s) + np.array(x or 0.0), k) if k else ("und", 0.0) for k, s, x in zip(n, sums, more, strict=True)]
+            return [x[0] for x in out], [x[1] for x in out]
+
+        return work
+
+    scored = arrow_map(docs, [text_col], "_lang_n long, _lang_sum array<double>, _lang_rest array<struct<word:string,k:long>>", first, keep)
+    rows = materialize(scored.withColumn("_lang_row", F.monotonically_increasing_id()), "lang-rows")  # the number is fixed by being written
+    parts = rows.select("_lang_row", F.explode("_lang_rest").alias("e")).select("_lang_row", "e.word", "e.k")
+    need = parts.select("word").distinct()
+    need = need.withColumn("v", F.lit(None).cast("array<double>")) if more_words is None else need.join(more_words, "word", "left")
+    need = materialize(need, "lang-need")
+    unknown = need.where(F.col("v").isNull()).select("word")
+    if more_grams is None:
+        unknown = unknown.withColumn("found", F.lit(None).cast("array<struct<gram:string,v:array<double>>>"))
+    else:
+        asked = arrow_map(unknown, ["word"], "gram array<string>", ask).select("word", F.explode("gram").alias("gram"))
+        got = asked.join(more_grams, "gram").groupBy("word").agg(F.collect_list(F.struct("gram", "v")).alias("found"))  # a word's own n-grams
+        unknown = unknown.join(got, "word", "left")
+    vectors = need.where(F.col("v").isNotNull()).unionByName(arrow_map(unknown, ["word", "found"], "v array<double>", cover, ["word"]))
+    more = parts.join(vectors, "word").groupBy("_lang_row").agg(F.array(*[F.sum(F.col("v")[i] * F.col("k")) for i in range(len(langs))]).alias("_lang_more"))
+    kept = [c for c in scored.columns if not c.startswith("_lang_")]
+    return arrow_map(rows.drop("_lang_rest").join(more, "_lang_row", "left"), ["_lang_n", "_lang_sum", "_lang_more"], "lang_pred string, score double", last, kept)
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit(docs.where(fold("doc_id", 4) != 2))

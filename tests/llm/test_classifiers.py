@@ -62,6 +62,19 @@ def test_language(spark):
     assert {r["lang_pred"] for r in langid.identify(df, empty).collect()} == {"und"}
 
 
+def test_language_beyond_the_broadcast_scores_as_the_whole_model(spark):
+    random.seed(6)
+    rare = [f"{a}{b}{c}" for a in ("zor", "mik", "tal") for b in ("ven", "dul", "pas") for c in ("ix", "om", "ea")]
+    rows = [(i, " ".join(random.choice(["the", "house", "with", "other"]) for _ in range(30)), "en") for i in range(200)]
+    rows += [(300 + i, " ".join(random.choice(rare) for _ in range(8)), "xx") for i in range(12)] + [(400, "zorvenix talom", None), (401, None, None), (401, "the zorzor", "en"), (402, "123", "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    said = lambda m: sorted((r["doc_id"], r["text"] or "", r["lang_pred"], round(r["score"], 4)) for r in langid.identify(df, m).collect())
+    whole = said(langid.fit(df))
+    assert all(x[2] == "xx" for x in whole if 300 <= x[0] < 401)
+    for words, grams in ((6, 20), (6, 100_000), (100_000, 20)):
+        assert said(langid.fit(df, max_words=words, max_grams=grams)) == whole
+
+
 def test_backoff_uses_shorter_grams():
     m = langid.Model(["a", "b"], {"known": np.array([1.0, -1.0], np.float32)}, {"xyz": np.array([-2.0, 2.0], np.float32), "q": np.array([0.5, -0.5], np.float32)}, 0)
     assert m.vector("known").tolist() == [1.0, -1.0] and m.vector("qxyz").tolist() == [-1.5, 1.5] and m.vector("zzz").tolist() == [0.0, 0.0]
