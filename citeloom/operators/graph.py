@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from collections.abc import Sequence
 
 import numpy as np
@@ -82,14 +84,14 @@ def pagerank(edges: DataFrame, weight: Column | None = None, iterations: int = 1
     return rank
 
 
-def distances(edges: DataFrame, sources: DataFrame | None = None, limit: int = 3) -> DataFrame:
-    """x, y, d for pairs within limit steps; of all nodes, or from sources (x)."""
+def distances(edges: DataFrame, sources: DataFrame | None = None, limit: int | None = 3) -> DataFrame:
+    """x, y, d for pairs within limit steps (None: until nothing new is reached); of all nodes, or from sources (x)."""
     both = materialize(both_ways(edges).distinct(), "edges")
     reach = both if sources is None else both.join(sources.select("x").distinct(), "x")
     found = materialize(reach.withColumn("d", F.lit(1)), "reach")
     front = found
     step = both.select(F.col("x").alias("y"), F.col("y").alias("z"))
-    for d in range(2, limit + 1):
+    for d in itertools.count(2) if limit is None else range(2, limit + 1):
         new = front.join(step, "y").select("x", F.col("z").alias("y")).where("x <> y").distinct().join(found.select("x", "y"), ["x", "y"], "left_anti")
         front = materialize(new.withColumn("d", F.lit(d)), "reach")
         if front.isEmpty():
@@ -98,7 +100,7 @@ def distances(edges: DataFrame, sources: DataFrame | None = None, limit: int = 3
     return found
 
 
-def path_lengths(edges: DataFrame, sources: DataFrame, limit: int = 64) -> DataFrame:
+def path_lengths(edges: DataFrame, sources: DataFrame, limit: int | None = None) -> DataFrame:
     """d and the number of (source, node) pairs at that distance, until nothing new is reached."""
     return distances(edges, sources, limit).groupBy("d").agg(F.count("*").alias("n"))
 

@@ -89,6 +89,14 @@ def path_lengths(spark, d):
     return G.path_lengths(e, sources, 3)
 
 
+@query("path_lengths_all")
+def path_lengths_all(spark, d):
+    """path_lengths without its limit of 3 steps: until nothing new is reached."""
+    e = _edges(spark, d)
+    sources = G.both_ways(e).groupBy("x").count().where("count >= 3").select("x")
+    return G.path_lengths(e, sources)
+
+
 @query("giant_fraction", " UNION ALL ".join(f"""SELECT * FROM (WITH RECURSIVE {PARTS}, y AS (SELECT item, member, CAST(year(o_orderdate) AS INTEGER) AS year FROM parts JOIN orders ON item = o_orderkey),
 e AS (SELECT p.member AS a, z.member AS b FROM y p JOIN y z ON p.item = z.item AND p.member < z.member GROUP BY 1, 2 HAVING count(*) >= 2 AND min(p.year) <= {c}), both_ways AS (SELECT a AS x, b AS y FROM e UNION ALL SELECT b, a FROM e), {_REACH},
 c AS (SELECT x, min(y) AS k FROM reach GROUP BY x), s AS (SELECT k, count(*) AS n FROM c GROUP BY k) SELECT CAST({c} AS INTEGER) AS cutoff, CAST(coalesce(sum(n), 0) AS BIGINT) AS nodes, coalesce(max(n), 0) AS giant FROM s)""" for c in (1996, 1998, 2001)))

@@ -66,3 +66,13 @@ def test_islands_and_collapse(spark):
     labels = spark.createDataFrame([(1, 0), (2, 0), (3, 0)], "node long, label long")
     got = {r["node"]: r["label"] for r in G.islands(e, labels, least=3).collect()}
     assert got[1] == 0 and got[10] == got[12] == 11 and got[20] == -1
+
+
+def test_path_lengths_go_to_the_end(spark, tmp_path):
+    from citeloom.plans.catalog import QUERIES
+
+    edges = [(i, i + 1) for i in range(1, 7)] + [(1, 20), (1, 21)]  # only 1 has three neighbours
+    rows = [(2 * k + twice, p) for k, e in enumerate(edges) for twice in range(2) for p in e]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {r["d"]: r["n"] for r in QUERIES["path_lengths_all"](spark, str(tmp_path)).collect()}
+    assert got == {1: 3, 2: 1, 3: 1, 4: 1, 5: 1, 6: 1}
