@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -18,8 +20,13 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 WORD = r"[^\x20\x09-\x0D]+"
 _SHIPPED: set[str] = set()
 _OWN_SHARED: dict[str, str] = {}
-#: Batches between Spark and Python while a table is written: small, so that rows of whole sets and texts stay within memory.
-_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(1 << 24)}
+#: While a table is written: small batches between Spark and Python, so that rows of whole sets and texts stay within memory;
+#: and the shuffle files of the write go when it has ended, not when the driver happens to collect its garbage.
+_WRITING = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(1 << 24),
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+}
 
 
 def ship(spark: SparkSession) -> None:
@@ -54,9 +61,9 @@ def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: it survives lost executors and cuts lineage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    kept = {k: spark.conf.get(k, None) for k in _BATCHES}
+    kept = {k: spark.conf.get(k, None) for k in _WRITING}
     try:
-        for k, v in _BATCHES.items():
+        for k, v in _WRITING.items():
             spark.conf.set(k, v)
         df.write.option("compression", codec).parquet(path)
     finally:
@@ -65,12 +72,31 @@ def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of steps that are over; they'd otherwise wait for the driver's garbage collection."""
-    import gc
+_HELD: dict = {}
 
+
+def enter(owner: str) -> None:
+    """A task of owner begins in this worker process: what other operators hold here goes, so that workers that are used again don't add up."""
+    if _HELD.get("owner") != owner:
+        _HELD.clear()
+        _HELD["owner"] = owner
+        trim()
+
+
+def held(key, build: Callable):
+    """An object that this worker process keeps for the tasks of one owner."""
+    if key not in _HELD:
+        _HELD[key] = build()
+    return _HELD[key]
+
+
+def trim() -> None:
+    """Give freed memory back to the system; a no-op where the C library can't."""
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    pa.default_memory_pool().release_unused()
+    give = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give is not None:
+        give(0)
 
 
 def fold(id_col: str, modulus: int) -> Column:
@@ -95,6 +121,7 @@ def arrow_map(df: DataFrame, inputs: Sequence[str], outputs: str, make: Callable
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter(make.__module__)
         work = make()
         for batch in batches:
             if not batch.num_rows:
@@ -104,6 +131,8 @@ def arrow_map(df: DataFrame, inputs: Sequence[str], outputs: str, make: Callable
             for field, values in zip(list(arrow)[len(kept) :], made, strict=True):
                 columns.append(values if isinstance(values, pa.Array) else pa.array(values, type=field.type))
             yield pa.RecordBatch.from_arrays(columns, names=arrow.names)
+        del work
+        trim()
 
     return df.mapInArrow(run, schema)
 

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ._common import arrow_map, table
+from ._common import arrow_map, held, table
 from .vocabulary import Memo, Vocabulary, default_path, loaded
 
 
@@ -33,7 +33,7 @@ class Encoder:
         for token, i in vocabulary.ids.items():
             self.matches.add_word(token, (len(token), i))
         self.matches.make_automaton()
-        self.fits = Memo(self._fits, most=1_000_000)
+        self.fits = Memo(self._fits, most=300_000)
         self.memo = Memo(self.encode_piece)
 
     def _fits(self, pair: tuple[int, ...]) -> bool:
@@ -103,15 +103,9 @@ def _spec(spark: SparkSession, vocabulary: str | None):
         return spark.sparkContext.broadcast(f.read())  # one file of fixed size
 
 
-_ENCODERS: dict[int, Encoder] = {}
-
-
 def encoder(spec: str) -> Encoder:
-    """One per worker process."""
-    key = hash(spec)
-    if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(loaded(spec))
-    return _ENCODERS[key]
+    """One per worker process, for as long as its tasks are those of this operator."""
+    return held(("encoder", hash(spec)), lambda: Encoder(loaded(spec)))
 
 
 def encode(docs: DataFrame, text_col: str = "text", vocabulary: str | None = None, keep: list[str] | None = None) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-from ._common import arrow_map, materialize, release_shuffles, shared_dir, ship, table
+from ._common import arrow_map, materialize, shared_dir, ship, table
 
 WIDTH = 576
 #: One 32-bit value for each byte, by rule.
@@ -179,7 +179,6 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known
     name = f"media_chunks_{uuid.uuid4().hex}"
     unique = chunks.repartition(buckets, "digest").mapInArrow(once, "digest binary, data binary")
     unique.write.bucketBy(buckets, "digest").option("path", f"{shared_dir(spark)}/{name}").option("compression", "uncompressed").saveAsTable(name)
-    release_shuffles(spark)
     return Store(manifests, name, dictionary, buckets, id_col)
 
 

@@ -1,18 +1,21 @@
 """Near-duplicate detection by bottom-k sketches of one hash function.
 
-1. A document is the set of its distinct word shingles, hashed by one function. Equal sets form a class; from here on a
-   class stands for all its copies.
+1. A document is the set of its distinct word shingles, hashed by one function. Equal sets form a class, known by a 64-bit
+   number: half of the set's 128-bit hash, and the other half for sets whose numbers would clash. From here on a class
+   stands for all its copies.
 2. Its sketch is the k smallest hashes. Sketch values go into inverted lists. Classes of similarity s share at least t of
    their sketch values (exactly s * n for sets that fit the sketch; for larger ones all but six standard deviations of the
    binomial), so it is enough to list the first (size - t + 1) of them in an order common to all: values that more than
-   hot_list classes hold come last, so a passage that many documents share makes no long list; only classes made almost
-   wholly of such values are listed under them. Classes with few such values list their first 16 or 32 others, where the
-   chance that no common value is among them stays below 1e-9 at similarity 0.8.
+   hot_list documents hold among their first ones come last, so a passage that many documents share makes no long list; only
+   classes made almost wholly of such values are listed under them. Classes with few such values list their first 16 or 32
+   others, where the chance that no common value is among them stays below 1e-9 at similarity 0.8. (Sketches are a
+   probabilistic method; against all pairs, tests and the README's figures show no link lost.)
 3. In each list a hub (the smallest set) is compared with the other members. Lists whose members are not of one component
    then go on without it: those of small_list members or fewer compare what is left across components; longer ones, families
-   of edited copies, are linked in blocks of bounded size by exact counts. No list is cut.
-4. A pair whose union sketch puts its similarity 0.25 or more below the threshold (five standard deviations at k = 96) is
-   dropped; the others are verified on their full sets, and only these link.
+   of edited copies, compare what is outside their largest component with all, in blocks of bounded size by exact counts. No
+   list is cut.
+4. A pair whose union sketch (of the 64 smallest values) puts its similarity 0.25 or more below the threshold, five standard
+   deviations, is dropped; the others are verified on their full sets, and only these link.
 
 Null and empty texts, and texts of white space, have an empty set: 0 shingles, linked with nothing, kept. Rows with a null
 id take part in no group: component_id null, kept. Repeated rows are copies of one another; rows of one id share what the
@@ -27,13 +30,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import arrow_map, materialize, release_shuffles, ship, table
+from ._common import arrow_map, enter, materialize, ship, table, trim
 from .vocabulary import Memo
 
 SKETCH = 96
+#: Values of the estimate, and those of a sketch that are counted to find common ones.
+HEAD, COUNTED = 64, 32
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
@@ -42,7 +47,7 @@ class Shingler:
 
     def __init__(self, words: int):
         self.words = words
-        self.memo = Memo(lambda w: int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little"))
+        self.memo = Memo(lambda w: int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little"), most=100_000)
 
     def __call__(self, text: str | None) -> np.ndarray:
         """A-Z are lowered; words are separated by space and bytes 9 to 13; a text of fewer words is one shingle."""
@@ -81,6 +86,21 @@ def signatures(docs: DataFrame, text_col: str, words: int, k: int = SKETCH, keep
     return arrow_map(docs, [text_col], "n_shingles long, set_key binary, sketch binary", make, keep)
 
 
+def _half(at: int) -> Column:
+    """Eight bytes of set_key as a number."""
+    return F.conv(F.hex(F.substring("set_key", at, 8)), 16, -10).cast("long")
+
+
+def _number(clash: list[int]) -> Column:
+    """The number of a class: half of its set_key; where that is among clash, the other half."""
+    return F.when(_half(1).isin(clash), _half(9)).otherwise(_half(1)) if clash else _half(1)
+
+
+def number_of(key: bytes, clash: set[int]) -> int:
+    number = int.from_bytes(key[:8], "big", signed=True)
+    return int.from_bytes(key[8:], "big", signed=True) if number in clash else number
+
+
 def least_shared(n: int, k: int, percent: int) -> int:
     """How many sketch values a class of n shingles shares with any partner of the similarity asked for."""
     s = percent / 100
@@ -92,12 +112,7 @@ def least_shared(n: int, k: int, percent: int) -> int:
 def listed(sketch: np.ndarray, n: int, hot: np.ndarray, k: int, percent: int) -> np.ndarray:
     """The sketch values under which a class is listed."""
     prefix = len(sketch) - least_shared(n, k, percent) + 1
-    if len(hot):
-        at = np.minimum(np.searchsorted(hot, sketch), len(hot) - 1)
-        common = hot[at] == sketch
-        rare = sketch[~common]
-    else:
-        rare = sketch
+    rare = sketch[~_among(sketch, hot)]
     share = 1 - len(rare) / len(sketch)
     if percent >= 80 and share <= 0.5:
         return rare[: min(prefix, 16 if share <= 0.2 else 32)]
@@ -106,16 +121,24 @@ def listed(sketch: np.ndarray, n: int, hot: np.ndarray, k: int, percent: int) ->
     return np.union1d(rare, sketch[: max(16, prefix if percent < 80 else 0)])
 
 
-def _emit(values: np.ndarray, keys: list[bytes], sizes: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64())], names=["v", "key", "n"])
+def _among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    if not len(ordered):
+        return np.zeros(len(values), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
+
 
+def components(edges: DataFrame, a: str = "a", b: str = "b", spread: int = 1000) -> DataFrame:
+    """key and root (its component's smallest key) of all keys of the edges, by least labels and pointer jumping until nothing changes; each round is written to the shared folder.
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """key and root (its component's smallest key) of all keys of the edges, by least labels and pointer jumping until nothing changes; each round is written to the shared folder."""
-    both = materialize(edges.select(F.col(a).alias("x"), F.col(b).alias("y")).union(edges.select(F.col(b), F.col(a))).distinct(), "edges")
+    The label of a key with more than spread edges goes to one copy of it for each spread edges, so that no task gets all of them.
+    """
+    both = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).union(edges.select(F.col(b), F.col(a))).distinct()
+    both = materialize(both, "edges")
+    hot = _hot(both, "y", spread)
+    both, way = _dealt(both, hot, "y", "x")
     label = materialize(both.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("root")).select(F.col("x").alias("key"), "root"), "labels")
     while True:
-        near = both.join(label.withColumnRenamed("key", "y"), "y").groupBy("x").agg(F.min("root").alias("near"))
+        near = both.join(_copied(label.withColumnRenamed("key", "y"), hot, "y"), way).groupBy("x").agg(F.min("root").alias("near"))
         hooked = label.join(near, label["key"] == near["x"]).select("key", "root", F.least("root", "near").alias("low"))
         up = label.select(F.col("key").alias("low"), F.col("root").alias("above"))
         step = materialize(hooked.join(up, "low", "left").select("key", F.least("low", F.coalesce("above", "low")).alias("new"), "root"), "labels")
@@ -125,76 +148,120 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return label
 
 
-def _class_key(set_key_col: str, id_col: str):
-    """A class by its set and by the hash of its smallest id: 24 bytes, so that of all copies only one document has it."""
-    return F.concat(F.col(set_key_col), F.unhex(F.lpad(F.hex(_id_hash(id_col)), 16, "0")))
+def _hot(rows: DataFrame, key: str, spread: int) -> DataFrame | None:
+    """key and ways of the keys with more than spread rows; None if there is none."""
+    hot = materialize(rows.groupBy(key).agg(F.ceil(F.count("*") / F.lit(spread)).cast("int").alias("ways")).where("ways > 1"), "hot-keys")
+    many = hot.count()
+    return None if not many else F.broadcast(hot) if many <= 100_000 else hot  # at most a row for each spread rows; sent if 100,000 or fewer
 
 
-def _id_hash(id_col: str):
-    return F.xxhash64(F.col(id_col).cast("string"))
+def _dealt(rows: DataFrame, hot: DataFrame | None, key: str, other: str) -> tuple[DataFrame, list[str]]:
+    """rows with the way that each takes to its key, by other; the columns to join on."""
+    if hot is None:
+        return rows, [key]
+    return rows.join(hot, key, "left").withColumn("way", F.pmod(F.xxhash64(other), F.coalesce("ways", F.lit(1))).cast("int")).drop("ways"), [key, "way"]
 
 
-class KeyBits:
-    """A bit table of fixed size over class keys: tells the keys that may be among those it was made from. Two bits a key."""
+def _copied(values: DataFrame, hot: DataFrame | None, key: str) -> DataFrame:
+    """values with a row for each way to its key."""
+    if hot is None:
+        return values
+    return values.join(hot, key, "left").withColumn("way", F.explode(F.sequence(F.lit(0), F.coalesce("ways", F.lit(1)) - 1))).drop("ways")
 
-    def __init__(self, keys: DataFrame, bits: int = 25):
-        self.mask = mask = (1 << bits) - 1
 
-        def bit(i: int, j: int):
-            four = lambda at: F.conv(F.hex(F.substring("key", at, 4)), 16, 10).cast("long")
-            return four(i).bitwiseXOR(four(j)).bitwiseAND(F.lit(mask))
+class KeyBits:
+    """A bit table over 64-bit hashes: tells those that may be among the ones it was made from. Two bits a hash, 8 bits of room."""
 
-        both = keys.select(F.explode(F.array(bit(1, 17), bit(5, 21))).alias("bit"))
+    def __init__(self, bits: int, hashes: DataFrame):
+        mask = F.lit((1 << bits) - 1).cast("long")
+        both = hashes.select(F.explode(F.array(F.col("h").bitwiseAND(mask), F.shiftrightunsigned("h", 32).bitwiseAND(mask))).alias("bit"))
         rows = both.groupBy(F.shiftright("bit", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 31 as int))")).alias("set")).toArrow()
+        self.mask = np.uint64((1 << bits) - 1)
         self.words = np.zeros(1 << bits - 5, np.uint32)
         self.words[rows.column("word").to_numpy()] = rows.column("set").to_numpy().astype(np.uint32)
 
-    def __contains__(self, key: bytes) -> bool:
-        p, q, r, s = (int.from_bytes(key[i : i + 4], "big") for i in (0, 16, 4, 20))
-        return all(self.words[i >> 5] >> np.uint32(i & 31) & 1 for i in ((p ^ q) & self.mask, (r ^ s) & self.mask))
+    @staticmethod
+    def of(hashes: DataFrame, most: int = 1 << 24) -> KeyBits | None:
+        """From column h. None above most hashes: a table of 8 bits each would be more than 16 MB, and joins do without."""
+        count = hashes.count()
+        return KeyBits(max(20, (8 * count).bit_length()), hashes) if count <= most else None
 
+    def among(self, hashes: np.ndarray) -> np.ndarray:
+        h = hashes.view(np.uint64)
+        one, two = h & self.mask, h >> np.uint64(32) & self.mask
+        bit = lambda at: self.words[at >> np.uint64(5)] >> (at & np.uint64(31)).astype(np.uint32) & np.uint32(1)
+        return (bit(one) & bit(two)).astype(bool)
 
-def only(sets: DataFrame, keys: DataFrame) -> DataFrame:
-    """The rows of sets (key, a binary column) that may have one of keys, so that a join moves hardly any other."""
-    sent = sets.sparkSession.sparkContext.broadcast(KeyBits(keys))  # 2^25 bits
+
+def may_be(rows: DataFrame, hash_col: str, hashes: DataFrame, among: bool = True) -> DataFrame:
+    """The rows whose hash_col (64-bit hash) may be among hashes (column h), so that a join moves hardly any other; or, with among=False, the rest. All rows if a bit table would be too large."""
+    bits = KeyBits.of(hashes)
+    if bits is None:
+        return rows if among else rows.limit(0)
+    sent = rows.sparkSession.sparkContext.broadcast(bits)  # 16 MB at most
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = sent.value
+        enter(__name__)
+        at = None
         for batch in batches:
-            yield batch.filter(pa.array([k in bits for k in batch.column(0).to_pylist()], pa.bool_()))
+            at = batch.schema.get_field_index(hash_col) if at is None else at
+            yield batch.filter(pa.array(sent.value.among(batch.column(at).to_numpy()) == among, pa.bool_()))
+
+    return rows.mapInArrow(keep, rows.schema)
+
+
+def only(sets: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of sets (key) that may have one of keys (key)."""
+    return may_be(sets, "key", keys.select(F.col("key").alias("h")).distinct())
+
 
-    return sets.mapInArrow(keep, sets.schema)
+def _id_hash(id_col: str) -> Column:
+    return F.xxhash64(F.col(id_col).cast("string"))
 
 
-def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """key and set (sorted hashes) of the classes of wanted, read from the one document that bears a class's key.
+def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int, clash: list[int]) -> DataFrame:
+    """key and set (sorted hashes) of the classes of wanted (key, least), read from the documents of the least ids.
 
-    A bit table of fixed size, made from the wanted keys, goes to the readers of the texts, so that hardly any other set is
-    written; what it lets through besides finds no partner in the joins. No shuffle.
+    A bit table over both goes to the readers of the texts, so that hardly any other set is written; what it lets through
+    besides finds no partner in the joins. No shuffle. Where there are too many classes for the table, the texts of the
+    least ids come by a join.
     """
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(KeyBits(wanted))  # 2^25 bits
+    rows = docs.select(F.col(id_col).alias("id"), _id_hash(id_col).alias("h"), F.col(text_col).alias("text"))
+    bits = KeyBits.of(wanted.select(F.col("key").bitwiseXOR(_id_hash("least")).alias("h")))
+    if bits is None:
+        rows = rows.join(wanted.select(F.col("least").alias("id")).distinct(), "id", "left_semi")
+    sent = spark.sparkContext.broadcast(bits)  # 16 MB at most
+    bad = set(clash)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter(__name__)
         shingle, listed, seen = Shingler(words), sent.value, set()
 
+        def out(keys, sets):
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.binary())], names=["key", "set"])
+
         for batch in batches:
             keys, sets, size = [], [], 0
             for h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 s = shingle(t)
-                key = set_key(s) + h.to_bytes(8, "big", signed=True)
-                if len(s) and key in listed and key not in seen:
+                if not len(s):
+                    continue
+                key = number_of(set_key(s), bad)
+                if key not in seen and (listed is None or listed.among(np.array([key ^ h], np.int64))[0]):
                     seen.add(key)
                     keys.append(key)
                     sets.append(s.tobytes())
                     size += len(sets[-1])
                 if size > 1 << 22:
-                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], names=["key", "set"])
+                    yield out(keys, sets)
                     keys, sets, size = [], [], 0
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], names=["key", "set"])
+                yield out(keys, sets)
+        del shingle
+        trim()
 
-    return materialize(docs.select(_id_hash(id_col).alias("h"), text_col).mapInArrow(read, "key binary, set binary"), "sets", "uncompressed")
+    return materialize(rows.select("h", "text").mapInArrow(read, "key long, set binary"), "sets", "uncompressed")
 
 
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -209,96 +276,117 @@ def estimate(x: np.ndarray, y: np.ndarray, k: int) -> float:
     return np.isin(np.intersect1d(x, y, assume_unique=True), union).sum() / len(union)
 
 
-def likely(pairs: DataFrame, sets: DataFrame, percent: int, k: int) -> DataFrame:
-    """The pairs (a, b) whose estimate is not 0.25 or more below the threshold. Only sketches, the heads of the sets, move."""
-    heads = sets.select(F.col("key"), F.substring("set", 1, 8 * k).alias("head"))
-    x = only(heads, pairs.select(F.col("a").alias("key"))).toDF("a", "x")
-    y = only(heads, pairs.select(F.col("b").alias("key"))).toDF("b", "y")
-    both = pairs.join(x, "a").join(y, "b")
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = [estimate(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), k) > percent / 100 - 0.25 for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+def paired(pairs: DataFrame, values: DataFrame, spread: int = 1000) -> DataFrame:
+    """a, b, x and y: the pairs with what values (key, set) has of both. What belongs to a, a hub of maybe many pairs, goes to the place of b; a hub's pairs are dealt out, spread to a task."""
+    hot = _hot(pairs, "a", spread)
+    dealt, way = _dealt(pairs, hot, "a", "b")
+    mine = _copied(only(values, pairs.select(F.col("a").alias("key"))).toDF("a", "x"), hot, "a")
+    yours = only(values, pairs.select(F.col("b").alias("key"))).toDF("b", "y")
+    return dealt.join(mine, way).select("a", "b", "x").join(yours, "b").select("a", "b", "x", "y")
 
-    return both.select("a", "b", "x", "y").mapInArrow(check, "a binary, b binary").distinct()
 
-
-def verified(pairs: DataFrame, sets: DataFrame, percent: int, k: int, spread: int = 1000) -> DataFrame:
-    """The pairs (a, b) that are similar: estimated, then counted on the full sets. A hub a of many pairs is spread: its set goes to one key for each spread pairs."""
-    pairs = materialize(likely(pairs, sets, percent, k), "likely")
-    release_shuffles(pairs.sparkSession)
-    ways = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(spread)).cast("int").alias("ways"))
-    left = ways.join(only(sets, pairs.select(F.col("a").alias("key"))).toDF("a", "set_a"), "a").select("a", "set_a", F.explode(F.sequence(F.lit(0), F.col("ways") - 1)).alias("way"))
-    right = pairs.join(ways, "a").withColumn("way", F.pmod(F.xxhash64("b"), F.col("ways")).cast("int")).join(only(sets, pairs.select(F.col("b").alias("key"))).toDF("b", "set_b"), "b")
-    joined = right.join(left, ["a", "way"]).select("a", "b", "set_a", "set_b")
+def chosen(rows: DataFrame, good) -> DataFrame:
+    """The pairs of rows (a, b, x, y) for which good(x, y), two arrays of hashes, holds."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter(__name__)
         for batch in batches:
             x, y = batch.column(2), batch.column(3)
-            good = [similar(np.frombuffer(x[i].as_py(), np.uint64), np.frombuffer(y[i].as_py(), np.uint64), percent) for i in range(batch.num_rows)]
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+            held = [good(np.frombuffer(x[i].as_py(), np.uint64), np.frombuffer(y[i].as_py(), np.uint64)) for i in range(batch.num_rows)]
+            yield batch.select(["a", "b"]).filter(pa.array(held, pa.bool_()))
 
-    return joined.mapInArrow(check, "a binary, b binary")
+    return rows.mapInArrow(check, "a long, b long").distinct()
 
 
-def linked_classes(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, words: int, percent: int, k: int, hot_list: int, small_list: int, max_hot: int) -> DataFrame | None:
-    """key and root of the classes that have a link to another one; None if none has. reps: key, n, sketch."""
-    spark = docs.sparkSession
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that are similar: estimated by the heads of the sets, then counted on the full sets of those left."""
+    heads = sets.select("key", F.substring("set", 1, 8 * HEAD).alias("set"))
+    likely = materialize(chosen(paired(pairs, heads), lambda x, y: estimate(x, y, HEAD) > percent / 100 - 0.25), "likely")
+    return materialize(chosen(paired(likely, sets), lambda x, y: similar(x, y, percent)), "links")
+
+
+def inverted_lists(signed: DataFrame, percent: int, k: int, hot_list: int, max_hot: int) -> DataFrame:
+    """v (a sketch value), key, n, wide (v is common), hub and hub_n (the smallest member) of the lists; members without another of like size are left out. signed: key, n, sketch; copies are met once a task."""
+    spark = signed.sparkSession
 
     def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter(__name__)
+        seen: set[int] = set()
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(b.column(0).to_pylist()), np.int64))], names=["v"])
+            fresh = [s[: 8 * COUNTED] for key, s in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True) if not (key in seen or seen.add(key))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(fresh), np.int64))], names=["v"])
 
-    counts = reps.select("sketch").mapInArrow(values, "v long").groupBy("v").count().where(F.col("count") > hot_list)
+    counts = signed.mapInArrow(values, "v long").groupBy("v").count().where(F.col("count") > hot_list)
     counts = materialize(counts, "hot-values")
     if counts.count() > max_hot:
         counts = counts.orderBy(F.desc("count"), "v").limit(max_hot)
     hot = spark.sparkContext.broadcast(np.sort(counts.select("v").toArrow().column("v").to_numpy().view(np.uint64)))  # max_hot values at most
-    release_shuffles(spark)
 
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out, keys, sizes = [], [], []
-            for key, n, sketch in zip(*[b.column(i).to_pylist() for i in range(3)], strict=True):
-                v = listed(np.frombuffer(sketch, np.uint64), n, hot.value, k, percent)
-                out.append(v)
-                keys += [key] * len(v)
-                sizes += [n] * len(v)
-            if keys:
-                yield _emit(np.concatenate(out), keys, np.array(sizes))
+    def index(wide: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            enter(__name__)
+            seen: set[int] = set()
+            for b in batches:
+                out, keys, sizes = [], [], []
+                for key, n, sketch in zip(*[b.column(i).to_pylist() for i in range(3)], strict=True):
+                    if key in seen:
+                        continue
+                    seen.add(key)
+                    v = listed(np.frombuffer(sketch, np.uint64), n, hot.value, k, percent)
+                    v = v[_among(v, hot.value) == wide]
+                    out.append(v)
+                    keys.append(np.full(len(v), key, np.int64))
+                    sizes.append(np.full(len(v), n, np.int64))
+                if keys:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(sizes))], names=["v", "key", "n"])
 
-    lists = reps.select("key", "n", "sketch").mapInArrow(index, "v long, key binary, n long")
-    many = lists.groupBy("v").count().where(F.col("count") > 1).select("v")
+        return signed.mapInArrow(run, "v long, key long, n long")
+
+    once = index(wide=False).repartition("v").groupBy("v", "key").agg(F.min("n").alias("n"))
     by_size = Window.partitionBy("v").orderBy("n", "key")
     near = (F.lag("n").over(by_size) * 100 >= F.col("n") * percent) | (F.col("n") * 100 >= F.lead("n").over(by_size) * percent)
     # a member is of use only where the next smaller or larger set is near enough in size
-    active = materialize(lists.join(many, "v").withColumn("near", F.coalesce(near, F.lit(False))).where("near").drop("near"), "lists")
-    if active.isEmpty():
+    near_ones = once.withColumn("near", F.coalesce(near, F.lit(False))).where("near").select("v", "key", "n", F.lit(False).alias("wide"))
+    narrow = near_ones.withColumn("hub", F.first("key").over(by_size)).withColumn("hub_n", F.first("n").over(by_size))
+    common = materialize(index(wide=True).groupBy("v", "key").agg(F.min("n").alias("n")), "wide-lists")
+    hubs = common.groupBy("v").agg(F.min(F.struct("n", "key")).alias("hub")).select("v", F.col("hub.key").alias("hub"), F.col("hub.n").alias("hub_n"))
+    broad = common.join(F.broadcast(hubs), "v").select("v", "key", "n", F.lit(True).alias("wide"), "hub", "hub_n")  # a row for each of max_hot values at most
+    return materialize(narrow.unionByName(broad), "lists")
+
+
+def unsettled(lists: DataFrame, label: DataFrame | None) -> DataFrame:
+    """v, key, n, root, size and weight (of the list) of the lists that hold several components beside their hub."""
+    rest = lists.where("key <> hub").select("v", "key", "n", "wide")
+    rest = rest.withColumn("root", F.col("key")) if label is None else rest.join(label, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    rest = materialize(rest, "rest")
+    state = {"size": F.count("*"), "weight": F.sum("n"), "low": F.min("root"), "high": F.max("root")}
+    here = Window.partitionBy("v")
+    narrow = rest.where("not wide").select("*", *[x.over(here).alias(name) for name, x in state.items()])
+    broad = rest.where("wide")
+    broad = broad.join(F.broadcast(broad.groupBy("v").agg(*[x.alias(name) for name, x in state.items()]).where("low <> high")), "v")  # a row for each common value at most
+    return materialize(narrow.where("low <> high").unionByName(broad.select(*narrow.columns)).select("v", "key", "n", "root", "size", "weight"), "lists")
+
+
+def linked_classes(docs: DataFrame, signed: DataFrame, classes: DataFrame, clash: list[int], id_col: str, text_col: str, words: int, percent: int, k: int, hot_list: int, small_list: int, max_hot: int) -> DataFrame | None:
+    """key and root of the classes that have a link to another one; None if none has."""
+    lists = inverted_lists(signed, percent, k, hot_list, max_hot)
+    wanted = materialize(classes.join(lists.select("key").distinct(), "key").select("key", "least"), "wanted")
+    if wanted.isEmpty():
         return None
-    sets = full_sets(docs, active.select("key").distinct(), id_col, text_col, words)
-    release_shuffles(spark)
-    hub = F.min(F.struct("n", "key")).alias("hub")
-    state = active.groupBy("v").agg(hub)
-    now = active.join(state.select("v", F.col("hub.key").alias("hub"), F.col("hub.n").alias("hub_n")), "v")
-    pairs = materialize(now.where("key <> hub").where(F.col("hub_n") * 100 >= F.col("n") * percent).select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct(), "pairs")
-    links = materialize(verified(pairs, sets, percent, k), "links")
+    sets = full_sets(docs, wanted, id_col, text_col, words, clash)
+    pairs = lists.where("key <> hub").where(F.col("hub_n") * 100 >= F.col("n") * percent).select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct()
+    pairs = materialize(pairs, "pairs")
+    links = verified(pairs, sets, percent)
     label = components(links) if not links.isEmpty() else None
-    release_shuffles(spark)
-    rest = now.where("key <> hub").select("v", "key", "n")
-    if label is not None:
-        rest = rest.join(label, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    else:
-        rest = rest.withColumn("root", F.col("key"))
-    state = rest.groupBy("v").agg(F.count("*").alias("size"), F.sum("n").alias("weight"), F.min("root").alias("low"), F.max("root").alias("high"))
-    rest = materialize(rest.join(state.where("low <> high").select("v", "size", "weight"), "v"), "lists")
+    rest = unsettled(lists, label)
     if rest.isEmpty():
         return label
     small = rest.where(F.col("size") <= small_list)
-    left, right = small.select("v", F.col("key").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra")), small.select("v", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
+    left, right = (small.select("v", F.col("key").alias(c), F.col("n").alias(f"n{c}"), F.col("root").alias(f"r{c}")) for c in "ab")
     across = left.join(right, "v").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent))  # small_list members at most
-    more = across.groupBy("a", "b").agg(F.count("*").alias("lists")).select("a", "b").join(pairs, ["a", "b"], "left_anti")
-    found = links.unionByName(materialize(verified(materialize(more, "pairs"), sets, percent, k), "links"))
+    done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = materialize(across.select("a", "b").distinct().join(done, ["a", "b"], "left_anti"), "pairs")
+    found = links if more.isEmpty() else links.unionByName(verified(more, sets, percent))
     large = rest.where(F.col("size") > small_list)
     if not large.isEmpty():
         found = found.unionByName(materialize(linked_in_blocks(large, sets, percent), "links"))
@@ -308,28 +396,43 @@ def linked_classes(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str,
 def linked_in_blocks(lists: DataFrame, sets: DataFrame, percent: int, block_rows: int = 4096, block_hashes: int = 1_000_000) -> DataFrame:
     """Links that join what is similar within long lists: (a, b) of each member and its component's first.
 
-    A list is cut into blocks of bounded rows and hashes; every pair of blocks is one group, which counts the common
-    hashes of all its pairs exactly by products of matrices and gives one link a member, not the pairs.
+    In each list the members outside its largest component are compared with all: both are cut into blocks of bounded rows
+    and hashes, and every pair of blocks is one group, which counts the common hashes of its pairs exactly by products of
+    matrices and gives one link a member, not the pairs. The work grows with those outside times all.
     """
-    blocks = F.greatest(F.ceil(F.col("size") / F.lit(block_rows)), F.ceil(F.col("weight") / F.lit(block_hashes))).cast("int")
-    own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
-    cut = lists.withColumn("blocks", blocks).withColumn("own", own)
-    cut = cut.select("v", "key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "own")
-    cut = cut.select("v", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    rows = cut.join(only(sets, lists.select("key")), "key").select("v", "i", "j", "key", "set")
+    parts = lists.groupBy("v", "root").agg(F.count("*").alias("members"), F.sum("n").alias("hashes"))
+    most = parts.groupBy("v").agg(F.max(F.struct("members", "root", "hashes")).alias("m"), F.sum("members").alias("all_members"), F.sum("hashes").alias("all_hashes"))
+    count = lambda rows, hashes: F.greatest(F.ceil(rows / F.lit(block_rows)), F.ceil(hashes / F.lit(block_hashes)), F.lit(1)).cast("int")
+    grid = most.select(
+        "v",
+        F.col("m.root").alias("main"),
+        count(F.col("all_members"), F.col("all_hashes")).alias("blocks"),
+        count(F.col("all_members") - F.col("m.members"), F.col("all_hashes") - F.col("m.hashes")).alias("outer_blocks"),
+    )
+    cut = lists.join(grid, "v")
+    spot = lambda blocks: F.pmod(F.xxhash64("key"), F.col(blocks)).cast("int")
+    each = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+    everyone = cut.select("v", "key", each("outer_blocks").alias("i"), spot("blocks").alias("j"), F.lit(False).alias("outer"))
+    outside = cut.where("root <> main").select("v", "key", spot("outer_blocks").alias("i"), each("blocks").alias("j"), F.lit(True).alias("outer"))
+    rows = everyone.unionByName(outside).groupBy("v", "i", "j", "key").agg(F.max("outer").alias("outer")).join(only(sets, lists.select("key")), "key")
 
     def link(group: pa.Table) -> pa.Table:
-        keys = group.column("key").to_pylist()
-        roots = similar_components([np.frombuffer(s.as_py(), np.uint64) for s in group.column("set")], percent)
+        enter(__name__)
+        group = group.sort_by([("outer", "descending"), ("key", "ascending")])
+        keys = group.column("key").to_numpy()
+        fresh = np.concatenate([[True], keys[1:] != keys[:-1]])  # a set may have been read twice
+        keys, outer = keys[fresh], group.column("outer").to_numpy(zero_copy_only=False)[fresh]
+        roots = similar_components([np.frombuffer(s.as_py(), np.uint64) for s in group.column("set").filter(pa.array(fresh))], percent, first=int(outer.sum()))
         at = np.flatnonzero(roots != np.arange(len(roots)))
-        return pa.table({"a": pa.array([keys[r] for r in roots[at]], pa.binary()), "b": pa.array([keys[i] for i in at], pa.binary())})
+        return pa.table({"a": pa.array(keys[roots[at]]), "b": pa.array(keys[at])})
 
-    return rows.groupBy("v", "i", "j").applyInArrow(link, "a binary, b binary").distinct()
+    return rows.select("v", "i", "j", "key", "outer", "set").groupBy("v", "i", "j").applyInArrow(link, "a long, b long").distinct()
 
 
-def similar_components(sets: list[np.ndarray], percent: int, step: int = 512) -> np.ndarray:
-    """For each set the smallest index of its component under similarity of percent or more."""
+def similar_components(sets: list[np.ndarray], percent: int, step: int = 512, first: int | None = None) -> np.ndarray:
+    """For each set the smallest index of its component under similarity of percent or more; with first, only pairs that hold one of the first sets count."""
     count = len(sets)
+    first = count if first is None else first
     sizes = np.array([len(s) for s in sets], np.int64)
     rows = np.repeat(np.arange(count), sizes)
     _, column, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -343,8 +446,8 @@ def similar_components(sets: list[np.ndarray], percent: int, step: int = 512) ->
     begin = np.concatenate([[0], np.cumsum(np.where(~wide & (df > 1), df, 0))])
     starts = np.concatenate([[0], np.cumsum(sizes)])
     label = np.arange(count)
-    for at in range(0, count, step):
-        common = dense[at : at + step] @ dense.T
+    for at in range(0, first, step):
+        common = dense[at : min(at + step, first)] @ dense.T
         for r in range(len(common)):
             i = at + r
             c = column[starts[i] : starts[i + 1]]
@@ -361,36 +464,64 @@ def similar_components(sets: list[np.ndarray], percent: int, step: int = 512) ->
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, k: int = SKETCH, hot_list: int = 64, small_list: int = 64, max_hot: int = 1_000_000) -> DataFrame:
     """One row per row of docs: id_col, n_shingles, set_key, component_id (smallest id of the component) and kept (id = component_id)."""
     ship(docs.sparkSession)
-    signed = materialize(signatures(docs, text_col, words, k, [id_col]), "signatures")
-    grouped = signed.where((F.col("n_shingles") > 0) & F.col(id_col).isNotNull()).groupBy("set_key")
-    reps = materialize(grouped.agg(F.min(id_col).alias("least"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")).withColumn("key", _class_key("set_key", "least")), "classes")
-    release_shuffles(docs.sparkSession)
-    label = linked_classes(docs.where(F.col(id_col).isNotNull()), reps, id_col, text_col, words, percent, k, hot_list, small_list, max_hot)
-    least = reps.select("key", "set_key", "least")
+    signed = materialize(signatures(docs.select(id_col, text_col), text_col, words, k, [id_col]), "signatures")
+    real = signed.where((F.col("n_shingles") > 0) & F.col(id_col).isNotNull())
+
+    def classes_of(clash: list[int]) -> DataFrame:
+        grouped = real.groupBy(_number(clash).alias("key"))
+        return materialize(grouped.agg(F.min(id_col).alias("least"), F.min(_half(9)).alias("low"), F.max(_half(9)).alias("high")), "classes")
+
+    classes = classes_of([])
+    clash = [r["key"] for r in classes.where("low <> high").select("key").collect()]  # of n classes, about n * n / 2^65
+    if clash:
+        classes = classes_of(clash)
+    numbered = real.select(_number(clash).alias("key"), F.col("n_shingles").alias("n"), "sketch")
+    label = linked_classes(docs.where(F.col(id_col).isNotNull()), numbered, classes, clash, id_col, text_col, words, percent, k, hot_list, small_list, max_hot)
+    least = classes.select("key", "least")
     if label is not None:
-        roots = least.join(label, "key")
-        top = roots.groupBy("root").agg(F.min("least").alias("top"))
-        least = least.join(roots.join(top, "root").select("key", "top"), "key", "left").select("set_key", F.coalesce("top", "least").alias("least"))
-    least = materialize(least.select("set_key", "least"), "classes-least")
-    rows = signed.select(id_col, "n_shingles", "set_key")
-    out = rows.join(least, "set_key", "left")
-    component = F.when(F.col(id_col).isNotNull(), F.coalesce("least", id_col))
+        linked = least.join(label, "key")
+        top = linked.groupBy("root").agg(F.min("least").alias("top"))
+        least = least.join(linked.join(top, "root").select("key", "top"), "key", "left").select("key", F.coalesce("top", "least").alias("least"))
+    own = (F.col("n_shingles") > 0) & F.col(id_col).isNotNull()
+    rows = signed.select(id_col, "n_shingles", "set_key", F.when(own, _number(clash)).otherwise(_id_hash(id_col)).alias("key"), own.alias("own"))  # rows without a class are spread by their ids
+    out = rows.join(least, "key", "left")
+    component = F.when(F.col("own"), F.col("least")).otherwise(F.col(id_col))
     return out.select(id_col, "n_shingles", "set_key", component.alias("component_id"), F.coalesce(component == F.col(id_col), F.lit(True)).alias("kept"))
 
 
+def free_name(taken: list[str], name: str) -> str:
+    """name, with as many underscores before it as no column has."""
+    while name.lower() in {c.lower() for c in taken}:
+        name = "_" + name
+    return name
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, **how) -> DataFrame:
-    """The rows of docs without near duplicates: one of each component stays, that of its smallest id; of its repeated rows, one. All columns stay. Rows with a null id or an empty set stay."""
-    found = materialize(near_duplicates(docs, id_col, text_col, words, **how), "decisions")
-    key = arrow_map(docs, [text_col], "_set_key binary", lambda: (lambda s: lambda texts: [[set_key(s(t)) for t in texts]])(Shingler(words)))
-    gone = found.where(~F.col("kept")).select(F.col(id_col).alias("_gone_id"), F.col("set_key").alias("_gone_key")).distinct()
-    rest = key.join(gone, (key[id_col] == gone["_gone_id"]) & (key["_set_key"] == gone["_gone_key"]), "left_anti")
-    again = found.where(F.col("kept") & F.col(id_col).isNotNull() & (F.col("n_shingles") > 0)).groupBy(F.col(id_col).alias("_again_id")).count().where(F.col("count") > 1).select("_again_id")
+    """The rows of docs without near duplicates: one of each component stays, that of its smallest id; of its repeated rows, one. All columns stay. Rows with a null id or an empty set stay.
+
+    Rows of ids that have one row to keep don't move: a bit table over the ids where something goes lets them pass. Only of the others are sets made again and joined with the decisions.
+    """
+    found = materialize(near_duplicates(docs, id_col, text_col, words, **how).where(F.col(id_col).isNotNull() & (F.col("n_shingles") > 0)), "decisions")
+    touched = materialize(found.groupBy(F.col(id_col).alias("id")).agg(F.count("*").alias("n"), F.min("kept").alias("all_kept")).where("n > 1 or not all_kept").select("id"), "touched")
+    if touched.isEmpty():
+        return docs
+    mark, key, rank = (free_name(docs.columns, c) for c in ("mark", "key", "rank"))
+    hashes = touched.select(_id_hash("id").alias("h")).distinct()
+    marked = docs.withColumn(mark, F.coalesce(_id_hash(id_col), F.lit(0)))
+    whole = [F.col(f"`{c}`") for c in docs.columns]
+    stay = may_be(marked, mark, hashes, among=False).select(*whole)
+    keyed = arrow_map(may_be(marked, mark, hashes), [text_col], f"`{key}` binary", lambda: (lambda s: lambda texts: [[set_key(s(t)) for t in texts]])(Shingler(words)))
+    gone = found.where(~F.col("kept")).select(F.col(id_col).alias("gone_id"), F.col("set_key").alias("gone_key")).distinct()
+    d = keyed.alias("d")
+    rest = d.join(gone, (F.col(f"d.`{id_col}`") == F.col("gone_id")) & (F.col(f"d.`{key}`") == F.col("gone_key")), "left_anti")
+    again = found.where("kept").groupBy(F.col(id_col).alias("again_id")).count().where(F.col("count") > 1).select("again_id")
     if not again.isEmpty():
-        same = rest[id_col] == again["_again_id"]
-        one = Window.partitionBy(id_col).orderBy("_set_key", text_col)
-        repeated = rest.join(again, same, "left_semi").withColumn("_one", F.row_number().over(one)).where("_one = 1").drop("_one")
-        rest = rest.join(again, same, "left_anti").unionByName(repeated)
-    return rest.select(*[F.col(f"`{c}`") for c in docs.columns])
+        same = F.col(f"d.`{id_col}`") == F.col("again_id")
+        bare = F.col(f"d.`{key}`") == F.lit(set_key(np.empty(0, np.uint64)))
+        one = Window.partitionBy(id_col).orderBy(key, text_col)
+        repeated = rest.join(again, same, "left_semi").where(~bare).withColumn(rank, F.row_number().over(one)).where(F.col(rank) == 1).drop(rank)
+        rest = rest.join(again, same & ~bare, "left_anti").select(*keyed.columns).unionByName(repeated.select(*keyed.columns))
+    return stay.unionByName(rest.select(*whole))
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,8 @@ import unicodedata
 
 import regex
 
+from ._common import held
+
 #: Symbols that end a word are moved up by this much.
 END = 0xE000
 
@@ -65,15 +67,9 @@ class Vocabulary:
         return s[:-1] + chr(END + ord(s[-1]))
 
 
-_LOADED: dict[int, Vocabulary] = {}
-
-
 def loaded(text: str) -> Vocabulary:
-    """One per worker process."""
-    key = hash(text)
-    if key not in _LOADED:
-        _LOADED[key] = Vocabulary(text)
-    return _LOADED[key]
+    """One per worker process, for as long as its tasks are those of one operator."""
+    return held(("vocabulary", hash(text)), lambda: Vocabulary(text))
 
 
 def default_path() -> str:
@@ -85,7 +81,7 @@ def default_path() -> str:
 class Memo(dict):
     """piece -> value; computed when missing, kept while short and few, so that memory stays bounded."""
 
-    def __init__(self, compute, most: int = 300_000, longest: int = 64):
+    def __init__(self, compute, most: int = 150_000, longest: int = 64):
         super().__init__()
         self.compute, self.most, self.longest = compute, most, longest
 
