@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ._common import arrow_map, held, table
-from .vocabulary import Memo, Vocabulary, default_path, loaded
+from .vocabulary import Memo, Vocabulary, loaded, shared
 
 
 class Encoder:
@@ -98,11 +98,6 @@ class Digester:
         return joined.count(" ") + 1 if ids else 0, joined, decoded
 
 
-def _spec(spark: SparkSession, vocabulary: str | None):
-    with open(vocabulary or default_path(), encoding="utf-8") as f:
-        return spark.sparkContext.broadcast(f.read())  # one file of fixed size
-
-
 def encoder(spec: str) -> Encoder:
     """One per worker process, for as long as its tasks are those of this operator."""
     return held(("encoder", hash(spec)), lambda: Encoder(loaded(spec)))
@@ -110,7 +105,7 @@ def encoder(spec: str) -> Encoder:
 
 def encode(docs: DataFrame, text_col: str = "text", vocabulary: str | None = None, keep: list[str] | None = None) -> DataFrame:
     """docs with token_ids (array of int) and n_tokens."""
-    spec = _spec(docs.sparkSession, vocabulary)
+    spec = shared(docs.sparkSession, vocabulary)
 
     def make():
         e = encoder(spec.value)
@@ -131,7 +126,7 @@ def id_lists(ids: list[np.ndarray]) -> pa.Array:
 
 def encode_with_digests(docs: DataFrame, text_col: str = "text", vocabulary: str | None = None, keep: list[str] | None = None) -> DataFrame:
     """docs with token_ids, n_tokens, ids_sha256 and decoded_sha256, in one pass."""
-    spec = _spec(docs.sparkSession, vocabulary)
+    spec = shared(docs.sparkSession, vocabulary)
 
     def make():
         digest = Digester(encoder(spec.value))
@@ -154,7 +149,7 @@ def _sha(s: str) -> str:
 
 def decode(frame: DataFrame, ids_col: str = "token_ids", vocabulary: str | None = None, keep: list[str] | None = None) -> DataFrame:
     """frame with decoded, the text of its ids. Ids that the vocabulary lacks are left out, as the library does; null ids give an empty text."""
-    spec = _spec(frame.sparkSession, vocabulary)
+    spec = shared(frame.sparkSession, vocabulary)
 
     def make():
         e = encoder(spec.value)
@@ -165,7 +160,7 @@ def decode(frame: DataFrame, ids_col: str = "token_ids", vocabulary: str | None
 
 def encode_digests(docs: DataFrame, text_col: str = "text", vocabulary: str | None = None, keep: list[str] | None = None) -> DataFrame:
     """docs with n_tokens, ids_sha256 (of decimal ids joined by a space) and decoded_sha256 (of the decoded text)."""
-    spec = _spec(docs.sparkSession, vocabulary)
+    spec = shared(docs.sparkSession, vocabulary)
 
     def make():
         digest = Digester(encoder(spec.value))

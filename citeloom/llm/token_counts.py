@@ -15,7 +15,7 @@ import heapq
 from pyspark.sql import DataFrame, SparkSession
 
 from ._common import arrow_map, table
-from .vocabulary import Memo, Vocabulary, default_path, loaded
+from .vocabulary import Memo, Vocabulary, loaded, shared
 
 
 def count_merges(symbols: str, ranks: dict[tuple[str, str], int]) -> int:
@@ -62,8 +62,7 @@ class Counter:
 
 def token_counts(docs: DataFrame, text_col: str = "text", limit: int = 2048, vocabulary: str | None = None, keep: list[str] | None = None) -> DataFrame:
     """docs with n_bytes (UTF-8), n_tokens and over_limit (n_tokens > limit). vocabulary: path of the file, default word_bpe_49k.json."""
-    with open(vocabulary or default_path(), encoding="utf-8") as f:
-        spec = docs.sparkSession.sparkContext.broadcast(f.read())  # one file of fixed size
+    spec = shared(docs.sparkSession, vocabulary)
 
     def make():
         count = Counter(loaded(spec.value))

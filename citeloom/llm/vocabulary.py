@@ -2,12 +2,14 @@
 
 Each piece of text becomes a string with one character per symbol: bytes stand as the file's visible characters and the
 last symbol of a word is moved to a private range, so that tokens and pieces are ordinary strings.
+
+Texts beyond ASCII are normalised by the library's own normalisers, and split by its splitter where they hold a character
+that the library's tables class unlike Python's (each character that is met is put to both once).
 """
 
 from __future__ import annotations
 
 import json
-import unicodedata
 
 import regex
 
@@ -24,16 +26,34 @@ def visible_bytes() -> list[str]:
     return [chr(b) if b in plain else chr(next(free)) for b in range(256)]
 
 
+def _splitter(pattern: str):
+    from tokenizers import Regex, pre_tokenizers
+
+    return pre_tokenizers.Split(Regex(pattern), "removed", invert=True)
+
+
+def shared(spark, path: str | None):
+    """A broadcast of the file's text."""
+    with open(path or default_path(), encoding="utf-8") as f:
+        return spark.sparkContext.broadcast(f.read())  # one file of fixed size
+
+
 class Vocabulary:
     """Parsed from the file's text, which the driver reads once and broadcasts."""
 
     def __init__(self, text: str):
+        from tokenizers import Regex, normalizers
+
         spec = json.loads(text)
         model, split = spec["model"], spec["pre_tokenizer"]["pretokenizers"][0]
         kinds = [n["type"] for n in spec["normalizer"]["normalizers"]]
         if kinds != ["NFC", "Replace", "Lowercase"] or model["end_of_word_suffix"] != "</w>" or split["behavior"] != "Removed":
             raise ValueError("this reads vocabularies of lower-case words with a word-end mark")
-        self.split = regex.compile(split["pattern"]["Regex"])
+        self.split, self.other_split = regex.compile(split["pattern"]["Regex"]), _splitter(split["pattern"]["Regex"])
+        self.alike: set[str] = set()  # characters met that both splitters class alike, and the others
+        self.odd: set[str] = set()
+        blank = spec["normalizer"]["normalizers"][1]
+        self.normal = normalizers.Sequence([normalizers.NFC(), normalizers.Replace(Regex(blank["pattern"]["Regex"]), blank["content"]), normalizers.Lowercase()])
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.visible = visible_bytes()
@@ -54,10 +74,21 @@ class Vocabulary:
         return [(part, part in self.special) for part in self.cut.split(text) if part]
 
     def pieces(self, text: str) -> list[str]:
-        """The words, digits and signs of a text without special tokens. The library lowers character by character, so a final sigma stays plain."""
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        return self.split.findall(text.lower())
+        """The words, digits and signs of a text without special tokens."""
+        if text.isascii():
+            return self.split.findall(text.lower())
+        text = self.normal.normalize_str(text)
+        met = set(text) - self.alike
+        if met and not all([self._is_alike(c) for c in met]):
+            return [piece for piece, _ in self.other_split.pre_tokenize_str(text)]
+        return self.split.findall(text)
+
+    def _is_alike(self, c: str) -> bool:
+        if c not in self.odd:
+            probe = f"a{c}{c}a"  # a letter makes one piece of it, a digit four, a sign three, a blank two
+            own = [m.span() for m in self.split.finditer(probe)] == [at for _, at in self.other_split.pre_tokenize_str(probe)]
+            (self.alike if own else self.odd).add(c)
+        return c in self.alike
 
     def symbols(self, piece: str) -> str:
         if piece.isascii() and "\x20" < min(piece) and max(piece) < "\x7f":
@@ -81,7 +112,7 @@ def default_path() -> str:
 class Memo(dict):
     """piece -> value; computed when missing, kept while short and few, so that memory stays bounded."""
 
-    def __init__(self, compute, most: int = 150_000, longest: int = 64):
+    def __init__(self, compute, most: int = 100_000, longest: int = 64):
         super().__init__()
         self.compute, self.most, self.longest = compute, most, longest
 

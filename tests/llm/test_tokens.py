@@ -38,6 +38,18 @@ def test_ids_counts_and_decoding_equal_the_library(library):
         assert digest(t) == (len(ids), " ".join(map(str, ids)), library.decode(ids, skip_special_tokens=False))
 
 
+def test_every_code_point_alone_in_a_word_and_side_by_side(library):
+    with open(default_path(), encoding="utf-8") as f:
+        spec = f.read()
+    e, count = bpe.encoder(spec), token_counts.Counter(loaded(spec))
+    for first in range(0, 0x110000, 512):
+        points = [chr(c) for c in range(first, first + 512) if not 0xD800 <= c < 0xE000]
+        batch = [" ".join(f"Ab{c}c1" for c in points), " ".join(points), "".join(points)]
+        for t, want in zip(batch, library.encode_batch(batch, add_special_tokens=False), strict=True):
+            assert e.encode(t) == want.ids and count(t) == len(want.ids), hex(first)
+            assert e.decode(want.ids) == library.decode(want.ids, skip_special_tokens=False)
+
+
 def test_frames(spark, library):
     df = spark.createDataFrame([(1, t, "z") for t in texts()] + [(None, None, "z"), (1, "twice", "z"), (1, "twice", "z")], "doc_id long, text string, n_tokens string")
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
