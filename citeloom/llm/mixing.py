@@ -5,13 +5,15 @@ floor(ratio) times for certain and once more with the fractional rest as inclusi
 who gets that extra copy: probabilities move through the null space of the balancing totals (words and documents of the
 source), three documents at a time, until each is 0 or 1 and the totals still hold. At most two documents of a source stay
 undecided in a block; these meet again in blocks of blocks, level by level, and the last two of a source are landed on the
-choice nearest its targets.
+choice nearest its targets. What that landing leaves of a source's words is settled by turning over a few documents: of each
+power of two of sizes, four that got the extra copy and four that did not are at choice, and the one that brings the total
+nearest is turned as long as that helps.
 
 Blocks hold about block_rows documents and are formed by a hash of the row, whatever its source, so a hot source is spread
 over all of them. The draw of each move is a hash of the seed and the ids: reruns agree.
 
 Size: number of [^\\x20\\x09-\\x0D]+ in the text. Null or empty texts have size 0 and are taken 0 words. A null source is a
-source of its own, last in order. Repeated rows are drawn each on its own. A source without words has target 0. An empty
+source of its own, last in order. Repeated rows (equal id and text) are drawn each on its own, and turned over together. A source without words has target 0. An empty
 table gives an empty result. mix() carries no other columns; mix_rows() carries all.
 The table of sources goes through the driver; it may hold max_sources at most, and more raise an error.
 """
@@ -21,11 +23,11 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import WORD, materialize, ship, table
+from ._common import WORD, enter, materialize, ship, table
 
 WEIGHTS = (5.0, 2.0, 1.0)
 _LEVEL = "id string, source string, size long, pi double, block long, tag long"
@@ -53,7 +55,8 @@ def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = WEIGHTS,
 
 
 def _tag(id_col: str, text_col: str, seed: int) -> Column:
-    return F.xxhash64(F.col(id_col).cast("string"), F.col(text_col), F.lit(seed))
+    own = F.col(id_col).cast("string")
+    return F.xxhash64(F.lit(seed), own.isNull(), own, F.col(text_col).isNull(), F.col(text_col))
 
 
 def _draw(seed: int, *what) -> float:
@@ -110,18 +113,40 @@ def land(sizes: np.ndarray, pi: np.ndarray) -> np.ndarray:
     return out
 
 
+def turned(missing: float, weights: np.ndarray, copies: np.ndarray, steps: int = 64) -> np.ndarray:
+    """Which units (weights in words; copies 1: has the extra copy, 0: not) to turn over, so that the words come nearest to missing more than now."""
+    change = np.where(copies > 0, -weights, weights).astype(float)
+    turn = np.zeros(len(change), bool)
+    for _ in range(steps):
+        left = np.where(turn, np.inf, np.abs(missing - change))
+        k = int(np.argmin(left)) if len(left) else 0
+        if not len(left) or left[k] >= abs(missing) - 1e-9:
+            break
+        turn[k] = True
+        missing -= change[k]
+    return turn
+
+
+def _turn(group: pa.Table) -> pa.Table:
+    enter(__name__)
+    group = group.sort_by([(c, "ascending") for c in ("weight", "extra", "id", "tag")])
+    chosen = turned(float(group.column("missing")[0].as_py()), group.column("weight").to_numpy().astype(float), group.column("extra").to_numpy())
+    return group.filter(pa.array(chosen)).select(["id", "tag", "extra"])
+
+
 def _settle(seed: int, level: int, last: bool):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["source", "size", "id", "tag"], ascending=[True, False, True, True], na_position="last", kind="stable").reset_index(drop=True)
-        sizes, pi = group["size"].to_numpy(), group["pi"].to_numpy(float).copy()
-        ids = group["id"].to_numpy()
-        code = pd.factorize(group["source"], use_na_sentinel=False)[0]
+    def run(group: pa.Table) -> pa.Table:
+        enter(__name__)
+        group = group.sort_by([("source", "ascending"), ("size", "descending"), ("id", "ascending"), ("tag", "ascending")])
+        sizes, pi = group.column("size").to_numpy(), group.column("pi").to_numpy().copy()
+        ids = group.column("id").to_pylist()
+        code = group.column("source").combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
         for c in range(code.max() + 1 if len(code) else 0):
             where = np.flatnonzero(code == c)
             own, s = pi[where], sizes[where]
             own = flight(s, own, lambda held, w=where: _draw(seed, level, *[str(ids[w[k]]) for k in held]))
             pi[where] = land(s, own) if last else own
-        return group.assign(pi=pi)
+        return group.select(["id", "source", "size", "block", "tag"]).add_column(3, "pi", pa.array(pi))
 
     return run
 
@@ -166,7 +191,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
             grouped = open_.groupBy("block")  # all sources of a block together: even, whatever their shares
         else:
             grouped = open_.groupBy("source", "block")
-        moved = materialize(grouped.applyInPandas(_settle(seed, level, last), _LEVEL), f"mix-level{level}")
+        moved = materialize(grouped.applyInArrow(_settle(seed, level, last), _LEVEL), f"mix-level{level}")
         if last:
             done.append(moved)
             break
@@ -178,27 +203,39 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     chosen = done[0]
     for d in done[1:]:
         chosen = chosen.unionByName(d)
+    on = chosen["source"].eqNullSafe(plan["source"])
+    chosen = chosen.join(F.broadcast(plan), on).select(chosen["*"], "source_size", "target")
+    copies = F.when(F.col("size") > 0, F.floor(ratio) + F.col("extra")).otherwise(F.lit(0)).cast("long")
+    chosen = materialize(chosen.withColumn("extra", F.round("pi").cast("long")).drop("pi"), "mix-chosen")
+    # the landing: a few units of each power of two of sizes, by source
+    taken = chosen.groupBy("source").agg((F.first("target") - F.sum(copies * F.col("size"))).alias("missing"))
+    spare = F.when(F.col("extra") > 0, F.lit(True)).otherwise(F.floor(ratio) + 1 <= most)
+    units = chosen.where((F.col("size") > 0) & spare).groupBy("source", "extra", "id", "tag").agg(F.sum("size").alias("weight"))
+    octave = Window.partitionBy("source", "extra", F.floor(F.log2("weight"))).orderBy("tag", "id")
+    units = units.withColumn("rank", F.row_number().over(octave)).where("rank <= 4").drop("rank")
+    offered = units.join(F.broadcast(taken.withColumnRenamed("source", "of")), F.col("source").eqNullSafe(F.col("of"))).drop("of")  # max_sources rows at most
+    turns = materialize(offered.groupBy("source").applyInArrow(_turn, "id string, tag long, extra long"), "mix-turns")
+    turns = turns.withColumn("turn", F.lit(True))
     kind = sized.schema["id"].dataType.simpleString()
-    chosen = chosen.select(F.from_json("id", f"id {kind}")["id"].alias(id_col), "source", "size", "pi", "tag")
-    out = chosen.join(F.broadcast(plan), chosen["source"].eqNullSafe(plan["source"])).select(chosen["*"], "source_size", "target")
-    copies = F.when(F.col("size") > 0, F.floor(ratio) + F.round("pi").cast("long")).otherwise(F.lit(0)).cast("long")
-    return out.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size")).drop("pi")
+    out = chosen.join(turns, ["id", "tag", "extra"], "left").withColumn("extra", F.when(F.col("turn"), 1 - F.col("extra")).otherwise(F.col("extra")))
+    out = out.select(F.from_json("id", f"id {kind}")["id"].alias(id_col), "source", "size", "tag", "source_size", "target", copies.alias("copies"))
+    return out.withColumn("taken", F.col("copies") * F.col("size"))
 
 
 def mix_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0, **how) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it, with all their columns. Of equal rows (id and text) the first take one copy more where copies do not divide."""
+    """The rows of docs, each as often as the mix takes it, with all their columns. Of equal rows (id and text) one stands for the copies that do not divide."""
     taken = mix(docs, id_col, text_col, source_col, seed=seed, **how)
-    plan = materialize(taken.groupBy(F.col("tag").alias("_mix_tag")).agg(F.sum("copies").alias("_mix_all"), F.count("*").alias("_mix_rows")), "mix-plan")
-    tagged = docs.withColumn("_mix_tag", _tag(id_col, text_col, seed)).join(plan, "_mix_tag")
-    times = F.floor(F.col("_mix_all") / F.col("_mix_rows"))
-    single = tagged.where(F.col("_mix_rows") == 1).withColumn("_mix_n", F.col("_mix_all"))
-    several = tagged.where(F.col("_mix_rows") > 1)
-    if not plan.where(F.col("_mix_rows") > 1).isEmpty():
-        order = Window.partitionBy("_mix_tag").orderBy("_mix_tag")
-        rank = F.row_number().over(order)
-        several = several.withColumn("_mix_n", (times + (rank <= F.pmod("_mix_all", "_mix_rows")).cast("long")).cast("long"))
-        single = single.unionByName(several)
-    return single.where(F.col("_mix_n") > 0).withColumn("_mix_n", F.explode(F.sequence(F.lit(1), F.col("_mix_n")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    plan = materialize(taken.groupBy("tag").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")), "mix-plan")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")  # names of docs can't clash with those used here
+    tagged = docs.select(_tag(id_col, text_col, seed).alias("tag"), whole).join(plan.where("copies > 0"), "tag")
+    again = lambda n: F.explode(F.sequence(F.lit(1), n))
+    each = F.floor(F.col("copies") / F.col("rows")).cast("int")
+    out = tagged.where(each > 0).select("row", again(each).alias("i"))
+    if not plan.where("rows > 1").isEmpty():
+        rest = F.pmod("copies", "rows").cast("int")
+        one = tagged.where((F.col("rows") > 1) & (rest > 0)).groupBy("tag").agg(F.first("row").alias("row"), F.first(rest).alias("rest"))
+        out = out.unionByName(one.select("row", again(F.col("rest")).alias("i")))
+    return out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
