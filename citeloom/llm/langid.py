@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import arrow_map, fold, materialize, ship, table
+from ._common import arrow_map, arrow_stream, fold, materialize, pieces_of, table
 from .vocabulary import Memo
 
 ORDERS = (5, 4, 3, 2, 1)
@@ -118,7 +118,6 @@ def _centred(counts: np.ndarray, totals: np.ndarray) -> np.ndarray:
 def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", max_words: int = 100_000, max_grams: int = 100_000) -> Model:
     """Learn from all rows of train that have a text and a language."""
     spark = train.sparkSession
-    ship(spark)
     rows = train.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
 
     def count(batches):
@@ -129,14 +128,14 @@ def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", max_wo
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c)), pa.array(list(c)), pa.array(list(c.values()), pa.int64())], names=["lang", "word", "n"])
             tally.clear()
 
-        for b in batches:
+        for b in pieces_of(batches):
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 tally.setdefault(lang, Counter()).update(words_of(text))
             if sum(map(len, tally.values())) > 500_000:
                 yield from emit()
         yield from emit()
 
-    words = materialize(rows.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "lang-words")
+    words = materialize(arrow_stream(rows, count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "lang-words")
 
     def split(batches):
         tally: dict[str, Counter] = {}
@@ -152,7 +151,7 @@ def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", max_wo
         for lang, c in tally.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c)), pa.array(list(c)), pa.array(list(c.values()), pa.int64())], names=["lang", "gram", "n"])
 
-    grams = words.mapInArrow(split, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    grams = arrow_stream(words, split, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     totals = words.groupBy("lang").agg(F.sum("n").alias("n")).orderBy("lang").collect()
     langs = [r["lang"] for r in totals]
     if not langs:
@@ -215,18 +214,27 @@ def _with_tail(docs: DataFrame, model: Model, received, text_col: str, keep: lis
 
     def first():
         m = received()
+        index = {w: i for i, w in enumerate(m.words)}
+        known = np.array(list(m.words.values()), float).reshape(len(index), len(langs))
 
         def work(texts):
-            n, sums, rest = [], [], []
-            for t in texts:
-                tally, total = Counter(words_of(t) if t else []), np.zeros(len(langs))
-                n.append(sum(tally.values()))
-                rest.append([{"word": w, "k": k} for w, k in tally.items() if w not in m.words])
-                for w, k in tally.items():
-                    if w in m.words:
-                        total += k * m.words[w].astype(float)
-                sums.append(total.tolist())
-            return n, sums, rest
+            n, sums, sizes, rest, times = [], np.zeros((len(texts), len(langs))), [0], [], []
+            for at, t in enumerate(texts):
+                tally = Counter(words_of(t) if t else ())
+                counts = np.fromiter(tally.values(), np.int64, len(tally))
+                rows = np.fromiter((index.get(w, -1) for w in tally), np.int64, len(tally))
+                n.append(int(counts.sum()))
+                have = rows >= 0
+                sums[at] = counts[have] @ known[rows[have]]
+                lack = np.flatnonzero(~have)
+                if len(lack):
+                    own = list(tally)
+                    rest += [own[i] for i in lack]
+                    times.append(counts[lack])
+                sizes.append(len(rest))
+            pairs = pa.StructArray.from_arrays([pa.array(rest, pa.string()), pa.array(np.concatenate(times) if times else np.empty(0, np.int64))], ["word", "k"])
+            vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * len(langs), pa.int32()), pa.array(sums.ravel()))
+            return n, vectors, pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pairs)
 
         return work
 
