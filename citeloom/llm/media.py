@@ -4,8 +4,9 @@ A text's UTF-8 bytes, padded with 255 to a positive multiple of 576, become the
 (binary PGM): the medium. A gear hash rolls over the medium's bytes (each byte shifts the hash and adds its table value);
 a chunk ends where the hash's upper bits are zero, between least and most bytes. A medium is stored as the ordered list of
 its chunks' digests; a chunk's bytes are stored once, whoever has them, compressed with a dictionary made from a bounded
-sample. Joins on the digests leave out chunks that are stored already and bring the bytes back in order; the medium is
-verified against its hash, parsed, and its samples are read.
+sample. Joins on the digests leave out chunks that an earlier store holds already and bring the bytes back in order, from
+both stores; the medium is verified against its hash, parsed, and its samples are read. A chunk that is in neither store
+raises an error, no row is lost.
 
 The chunk table is bucketed by digest, so reading back moves only references to the chunks and chunks to their media. A
 chunk that more than hot_refs media share is joined by broadcast while all such chunks fit hot_bytes, else by salted keys.
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-from ._common import arrow_map, materialize, shared_dir, ship, table
+from ._common import arrow_map, arrow_stream, materialize, pieces_of, shared_dir, table
 
 WIDTH = 576
 #: One 32-bit value for each byte, by rule.
@@ -112,10 +113,26 @@ def _dictionary(docs: DataFrame, text_col: str, count: int, rows: int = 1600, wi
 
 
 class Store:
-    """manifests: id, n_bytes, media_bytes, media_sha256, digests; chunks: name of the bucketed table (digest, data)."""
+    """manifests: id, n_bytes, media_bytes, media_sha256, digests; chunks: name of the bucketed table (digest, data); known: an earlier store that has what is left out here."""
 
-    def __init__(self, manifests: DataFrame, chunks: str, dictionary, buckets: int, id_col: str):
-        self.manifests, self.chunks, self.dictionary, self.buckets, self.id_col = manifests, chunks, dictionary, buckets, id_col
+    def __init__(self, manifests: DataFrame, chunks: str, dictionary, buckets: int, id_col: str, known: Store | None = None):
+        self.manifests, self.chunks, self.dictionary, self.buckets, self.id_col, self.known = manifests, chunks, dictionary, buckets, id_col, known
+
+    def generations(self) -> list[Store]:
+        """This store and those before it."""
+        return [self, *(self.known.generations() if self.known is not None else [])]
+
+    def every_chunk(self) -> DataFrame:
+        """digest, data and of (which generation's dictionary reads it)."""
+        spark, out = self.manifests.sparkSession, None
+        for i, store in enumerate(self.generations()):
+            part = spark.table(store.chunks).withColumn("of", F.lit(i))
+            out = part if out is None else out.unionByName(part)
+        return out
+
+    def forget(self) -> None:
+        """Take the chunk table out of the catalogue; its files stay in the application's folder."""
+        self.manifests.sparkSession.sql(f"DROP TABLE IF EXISTS {self.chunks}")
 
 
 def _coder(dictionary: bytes, read: bool):
@@ -125,10 +142,9 @@ def _coder(dictionary: bytes, read: bool):
     return zstandard.ZstdDecompressor(dict_data=d) if read else zstandard.ZstdCompressor(level=12, dict_data=d, write_dict_id=False, write_checksum=False)
 
 
-def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: DataFrame | None = None) -> Store:
-    """Store the media of all texts. known: digests that are stored elsewhere; their chunks are left out here."""
+def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: Store | None = None) -> Store:
+    """Store the media of all texts. known: an earlier store; the chunks that it holds are left out here."""
     spark = docs.sparkSession
-    ship(spark)
     docs = docs.select(id_col, text_col)
 
     def manifest():
@@ -147,7 +163,7 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, seen = _coder(dictionary.value, read=False), set()
-        for b in batches:
+        for b in pieces_of(batches):
             keys, data, size = [], [], 0
             for t in b.column(0).to_pylist():
                 for digest, part in chunks_of(as_medium(t)[1]):
@@ -173,39 +189,39 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known
             if pick:
                 yield b.take(pa.array(pick))
 
-    chunks = docs.select(text_col).mapInArrow(cut, "digest binary, data binary")
+    chunks = arrow_stream(docs.select(text_col), cut, "digest binary, data binary")
     if known is not None:
-        chunks = chunks.join(known.select("digest"), "digest", "left_anti")
+        chunks = chunks.join(known.every_chunk().select("digest"), "digest", "left_anti")
     name = f"media_chunks_{uuid.uuid4().hex}"
-    unique = chunks.repartition(buckets, "digest").mapInArrow(once, "digest binary, data binary")
+    unique = arrow_stream(chunks.repartition(buckets, "digest"), once, "digest binary, data binary")
     unique.write.bucketBy(buckets, "digest").option("path", f"{shared_dir(spark)}/{name}").option("compression", "uncompressed").saveAsTable(name)
-    return Store(manifests, name, dictionary, buckets, id_col)
+    return Store(manifests, name, dictionary, buckets, id_col, known)
 
 
 def restore(kept: Store, made: str, read, hot_refs: int = 2000, hot_bytes: int = 1 << 26) -> DataFrame:
     """One row per distinct medium: media (the first 16 bytes of its hash) and the columns made, which read(medium) gives; each medium is verified first."""
     spark = kept.manifests.sparkSession
-    chunks, dictionary = spark.table(kept.chunks), kept.dictionary
+    chunks, dictionaries = kept.every_chunk(), [g.dictionary for g in kept.generations()]
     media = kept.manifests.groupBy(F.substring("media_sha256", 1, 16).alias("media")).agg(F.first("digests").alias("digests"))
     refs = media.select("media", F.posexplode("digests").alias("pos", "digest"))
     hot = refs.groupBy("digest").count().where(F.col("count") > hot_refs).select("digest")
-    hot = materialize(hot.join(chunks, "digest"), "media-hot")
+    hot = materialize(hot.join(chunks, "digest", "left"), "media-hot")
     much = hot.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("data")), F.lit(0)).alias("b")).first()
     if not much["n"]:
-        found = refs.join(chunks.hint("merge"), "digest")
+        found = refs.join(chunks.hint("merge"), "digest", "left")
     elif much["b"] <= hot_bytes:
-        found = refs.join(F.broadcast(hot.select("digest")), "digest", "left_anti").join(chunks.hint("merge"), "digest").unionByName(refs.join(F.broadcast(hot), "digest"))  # hot_bytes at most
+        found = refs.join(F.broadcast(hot.select("digest")), "digest", "left_anti").join(chunks.hint("merge"), "digest", "left").unionByName(refs.join(F.broadcast(hot), "digest"))  # hot_bytes at most
     else:
         salts = 64
-        found = refs.join(hot.select("digest"), "digest", "left_anti").join(chunks, "digest").unionByName(
-            refs.withColumn("salt", F.pmod(F.xxhash64("media"), F.lit(salts))).join(hot.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("long")), ["digest", "salt"]).drop("salt")
+        found = refs.join(hot.select("digest"), "digest", "left_anti").join(chunks, "digest", "left").unionByName(
+            refs.withColumn("salt", F.pmod(F.xxhash64("media"), F.lit(salts))).join(hot.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["digest", "salt"]).drop("salt")
         )
     schema = _parse_datatype_string(f"media binary, {made}")
     arrow = to_arrow_schema(schema)
     names = arrow.names
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _coder(dictionary.value, read=True)
+        coders = [_coder(d.value, read=True) for d in dictionaries]
         key, parts, rows = None, [], []
 
         def flush():
@@ -220,20 +236,22 @@ def restore(kept: Store, made: str, read, hot_refs: int = 2000, hot_bytes: int =
             return frame.to_batches()
 
         for b in batches:
-            for k, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for k, data, of in zip(*[b.column(i).to_pylist() for i in range(3)], strict=True):
+                if data is None:
+                    raise ValueError("a chunk of a medium is in no store")
                 if k != key:
                     if key is not None:
                         flush()
                     key, parts = k, []
-                parts.append(coder.decompress(data))
+                parts.append(coders[of].decompress(data))
             if len(rows) >= 1000:
                 yield from out()
         if key is not None:
             flush()
         yield from out()
 
-    in_order = found.select("media", "data", "pos").repartition(kept.buckets, "media").sortWithinPartitions("media", "pos").select("media", "data")
-    return in_order.mapInArrow(assemble, schema)
+    in_order = found.select("media", "data", "pos", "of").repartition(kept.buckets, "media").sortWithinPartitions("media", "pos").select("media", "data", "of")
+    return arrow_stream(in_order, assemble, schema)
 
 
 def op4_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -245,5 +263,7 @@ def op4_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
         return hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), feature(grey), len(payload)
 
     back = materialize(restore(kept, "payload_sha256 string, tail_crc32 long, feature string, payload_bytes long", read), "media-read")
-    out = kept.manifests.select("doc_id", "n_bytes", "media_bytes", "media_sha256", F.substring("media_sha256", 1, 16).alias("media")).join(back, "media")
-    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", F.lower(F.hex("media_sha256")).alias("media_sha256"), "feature")
+    kept.forget()
+    out = kept.manifests.select("doc_id", "n_bytes", "media_bytes", "media_sha256", F.substring("media_sha256", 1, 16).alias("media")).join(back, "media", "left")
+    payload = F.coalesce("payload_sha256", F.raise_error(F.lit("a medium was not read back"))).alias("payload_sha256")
+    return out.select("doc_id", "n_bytes", "payload_bytes", payload, "tail_crc32", "media_bytes", F.lower(F.hex("media_sha256")).alias("media_sha256"), "feature")
