@@ -12,7 +12,7 @@ def test_rotation(spark):
     rows = [(1, 0, "system", "rules", 9), (1, 1, "ann", "hi <|x", 9), (1, 2, "bob", "yo", 9), (1, 2, "bob", "yo", 9), (1, 3, None, None, 9), (2, 0, "system", "alone", 9), (None, 0, "ann", "lost", 9), (3, None, "ann", "when", 9), (3, 600, "bob", "later", 9)]
     df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string, perspective int")
     got = chat.rotate_perspectives(df).collect()
-    assert sorted((r["conv_id"], r["perspective"], r["n_turns"]) for r in got) == sorted([(1, "ann", 5), (1, "bob", 5), (1, "unknown", 5), (3, "ann", 1), (3, "ann", 1), (3, "bob", 1), (3, "bob", 1)])
+    assert sorted((r["conv_id"], r["perspective"], r["n_turns"]) for r in got) == sorted([(1, "ann", 5), (1, "bob", 5), (1, "unknown", 5), (3, "ann", 2), (3, "bob", 2)])
     for r in got:
         assert "<|x" not in r["text"]
         said = [r["text"][s["start"] : s["stop"]] for s in r["mask"]]
@@ -23,6 +23,19 @@ def test_rotation(spark):
     assert chat.rotate_perspectives(df.limit(0)).count() == 0
 
 
+def test_parts_of_a_long_dialogue_join_to_the_whole(spark):
+    rows = [(5, t if t % 97 else None, "system" if t == 1 else "ab"[t % 2], f"turn {t} é") for t in range(300)] + [(6, 0, "a", "short")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    whole = {(r["conv_id"], r["perspective"]): r for r in chat.rotate_perspectives(df, stretch_turns=7).collect()}
+    parts = chat.rotate_perspectives(df, stretch_turns=7, part_chars=1000).orderBy("conv_id", "perspective", "part").collect()
+    assert len(whole) == 3 and len(parts) > 6 and {r["part"] for r in whole.values()} == {0}
+    for (c, p), r in whole.items():
+        own = [x for x in parts if (x["conv_id"], x["perspective"]) == (c, p)]
+        assert [x["part"] for x in own] == sorted({x["part"] for x in own})
+        assert "".join(x["text"] for x in own) == r["text"] and [m for x in own for m in x["mask"]] == r["mask"] and sum(x["n_turns"] for x in own) == r["n_turns"]
+        assert all(r["text"][m["start"] : m["stop"]].endswith("<|im_end|>") for m in r["mask"])
+
+
 def test_sql_agrees(spark):
     random.seed(1)
     rows = [(c, t, random.choice(["a", "b", "system", None]), random.choice(["x", "é <|y", None, ""])) for c in range(30) for t in range(random.randint(1, 9))]
