@@ -104,14 +104,36 @@ def fold(id_col: str, modulus: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
 
 
+def arrow_stream(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """mapInArrow by run, which leaves no memory behind in a worker that is used again."""
+    ship(df.sparkSession)
+    owner = run.__module__
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter(owner)
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return df.mapInArrow(task, schema)
+
+
+def pieces_of(batches: Iterator[pa.RecordBatch], most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of about most bytes, so that what is made of a batch stays small whatever the session's batch size."""
+    for batch in batches:
+        step = max(1, batch.num_rows * most // max(1, batch.nbytes))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
+
+
 def arrow_map(df: DataFrame, inputs: Sequence[str], outputs: str, make: Callable[[], Callable[..., Sequence[Sequence]]], keep: Sequence[str] | None = None) -> DataFrame:
-    """Append columns computed from whole Arrow batches.
+    """Append columns computed from Arrow batches.
 
     outputs: DDL of the new columns. make() runs once a task and gives a function of the input columns (as Python lists)
     that gives the output columns (lists or Arrow arrays). Rows and the columns of keep (default: all) pass through;
     one that has an output's name gives way to it.
     """
-    ship(df.sparkSession)
     added: StructType = _parse_datatype_string(outputs)
     new = {f.name.lower() for f in added}
     kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in new]
@@ -119,22 +141,20 @@ def arrow_map(df: DataFrame, inputs: Sequence[str], outputs: str, make: Callable
     df = df.select(*[F.col(f"`{c}`") for c in read])
     schema = StructType([df.schema[c] for c in kept] + list(added))
     arrow = to_arrow_schema(schema)
+    owner = make.__module__
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enter(make.__module__)
+        enter(owner)
         work = make()
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in pieces_of(batches):
             made = work(*[batch.column(c).to_pylist() for c in inputs])
             columns = [batch.column(c) for c in kept]
             for field, values in zip(list(arrow)[len(kept) :], made, strict=True):
                 columns.append(values if isinstance(values, pa.Array) else pa.array(values, type=field.type))
-            yield pa.RecordBatch.from_arrays(columns, names=arrow.names)
-        del work
-        trim()
+            yield pa.RecordBatch.from_arrays([c if c.type.equals(f.type) else c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], names=arrow.names)
 
-    return df.mapInArrow(run, schema)
+    run.__module__ = owner
+    return arrow_stream(df, run, schema)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -8,7 +8,8 @@
    binomial), so it is enough to list the first (size - t + 1) of them in an order common to all: values that more than
    hot_list documents hold among their first ones come last, so a passage that many documents share makes no long list; only
    classes made almost wholly of such values are listed under them. Classes with few such values list their first 16 or 32
-   others, where the chance that no common value is among them stays below 1e-9 at similarity 0.8. (Sketches are a
+   others, where the chance that no common value is among them stays below 1e-9 at similarity 0.8. Of classes with a fifth
+   of common values among their first ones, all values are counted, as all may be listed. (Sketches are a
    probabilistic method; against all pairs, tests and the README's figures show no link lost.)
 3. In each list a hub (the smallest set) is compared with the other members. Lists whose members are not of one component
    then go on without it: those of small_list members or fewer compare what is left across components; longer ones, families
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import arrow_map, enter, materialize, ship, table, trim
+from ._common import arrow_map, arrow_stream, enter, materialize, pieces_of, ship, table
 from .vocabulary import Memo
 
 SKETCH = 96
@@ -201,17 +202,18 @@ def may_be(rows: DataFrame, hash_col: str, hashes: DataFrame, among: bool = True
     sent = rows.sparkSession.sparkContext.broadcast(bits)  # 16 MB at most
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enter(__name__)
         at = None
         for batch in batches:
             at = batch.schema.get_field_index(hash_col) if at is None else at
             yield batch.filter(pa.array(sent.value.among(batch.column(at).to_numpy()) == among, pa.bool_()))
 
-    return rows.mapInArrow(keep, rows.schema)
+    return arrow_stream(rows, keep, rows.schema)
 
 
 def only(sets: DataFrame, keys: DataFrame) -> DataFrame:
-    """The rows of sets (key) that may have one of keys (key)."""
+    """The rows of sets (key) that have one of keys (key), or, where those are many, may have one: so that a join moves hardly any other."""
+    if keys.count() <= 1 << 20:
+        return sets.join(F.broadcast(keys.distinct()), "key", "left_semi")  # 2^20 numbers at most
     return may_be(sets, "key", keys.select(F.col("key").alias("h")).distinct())
 
 
@@ -235,13 +237,12 @@ def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, wo
     bad = set(clash)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enter(__name__)
         shingle, listed, seen = Shingler(words), sent.value, set()
 
         def out(keys, sets):
             return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.binary())], names=["key", "set"])
 
-        for batch in batches:
+        for batch in pieces_of(batches):
             keys, sets, size = [], [], 0
             for h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 s = shingle(t)
@@ -258,10 +259,8 @@ def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, wo
                     keys, sets, size = [], [], 0
             if keys:
                 yield out(keys, sets)
-        del shingle
-        trim()
 
-    return materialize(rows.select("h", "text").mapInArrow(read, "key long, set binary"), "sets", "uncompressed")
+    return materialize(arrow_stream(rows.select("h", "text"), read, "key long, set binary"), "sets", "uncompressed")
 
 
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -289,13 +288,12 @@ def chosen(rows: DataFrame, good) -> DataFrame:
     """The pairs of rows (a, b, x, y) for which good(x, y), two arrays of hashes, holds."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enter(__name__)
         for batch in batches:
             x, y = batch.column(2), batch.column(3)
             held = [good(np.frombuffer(x[i].as_py(), np.uint64), np.frombuffer(y[i].as_py(), np.uint64)) for i in range(batch.num_rows)]
             yield batch.select(["a", "b"]).filter(pa.array(held, pa.bool_()))
 
-    return rows.mapInArrow(check, "a long, b long").distinct()
+    return arrow_stream(rows, check, "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -306,25 +304,44 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def inverted_lists(signed: DataFrame, percent: int, k: int, hot_list: int, max_hot: int) -> DataFrame:
-    """v (a sketch value), key, n, wide (v is common), hub and hub_n (the smallest member) of the lists; members without another of like size are left out. signed: key, n, sketch; copies are met once a task."""
+    """v (a sketch value), key, n, hub and hub_n (the smallest member) of the lists; members without another of like size are left out. signed: key, n, sketch; copies are met once a task."""
     spark = signed.sparkSession
 
-    def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enter(__name__)
-        seen: set[int] = set()
-        for b in batches:
-            fresh = [s[: 8 * COUNTED] for key, s in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True) if not (key in seen or seen.add(key))]
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(fresh), np.int64))], names=["v"])
+    def counted(known: np.ndarray | None) -> DataFrame:
+        """v of the values that more than hot_list documents hold: of the first values of all, or, given those, of the further values of classes that hold many of them."""
+        sent = spark.sparkContext.broadcast(known)  # max_hot values at most
 
-    counts = signed.mapInArrow(values, "v long").groupBy("v").count().where(F.col("count") > hot_list)
-    counts = materialize(counts, "hot-values")
-    if counts.count() > max_hot:
-        counts = counts.orderBy(F.desc("count"), "v").limit(max_hot)
-    hot = spark.sparkContext.broadcast(np.sort(counts.select("v").toArrow().column("v").to_numpy().view(np.uint64)))  # max_hot values at most
+        def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen: set[int] = set()
+            for b in batches:
+                out = [np.empty(0, np.uint64)]
+                for key, sketch in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                    if key in seen:
+                        continue
+                    seen.add(key)
+                    v = np.frombuffer(sketch, np.uint64)
+                    if sent.value is None:
+                        out.append(v[:COUNTED])
+                    elif 5 * _among(v[:COUNTED], sent.value).sum() >= min(len(v), COUNTED):
+                        out.append(v[COUNTED:])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64))], names=["v"])
+
+        counts = arrow_stream(signed, values, "v long").groupBy("v").count().where(F.col("count") > hot_list)
+        return materialize(counts, "hot-values")
+
+    def most_common(counts: DataFrame) -> np.ndarray:
+        if counts.count() > max_hot:
+            counts = counts.orderBy(F.desc("count"), "v").limit(max_hot)
+        return np.sort(counts.select("v").toArrow().column("v").to_numpy().view(np.uint64))
+
+    first = counted(None)
+    common = most_common(first)
+    if len(common):
+        common = most_common(first.unionByName(counted(common)).groupBy("v").agg(F.sum("count").alias("count")))
+    hot = spark.sparkContext.broadcast(common)  # max_hot values at most
 
     def index(wide: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            enter(__name__)
             seen: set[int] = set()
             for b in batches:
                 out, keys, sizes = [], [], []
@@ -340,31 +357,28 @@ def inverted_lists(signed: DataFrame, percent: int, k: int, hot_list: int, max_h
                 if keys:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(sizes))], names=["v", "key", "n"])
 
-        return signed.mapInArrow(run, "v long, key long, n long")
+        return arrow_stream(signed, run, "v long, key long, n long")
 
     once = index(wide=False).repartition("v").groupBy("v", "key").agg(F.min("n").alias("n"))
     by_size = Window.partitionBy("v").orderBy("n", "key")
     near = (F.lag("n").over(by_size) * 100 >= F.col("n") * percent) | (F.col("n") * 100 >= F.lead("n").over(by_size) * percent)
     # a member is of use only where the next smaller or larger set is near enough in size
-    near_ones = once.withColumn("near", F.coalesce(near, F.lit(False))).where("near").select("v", "key", "n", F.lit(False).alias("wide"))
+    near_ones = once.withColumn("near", F.coalesce(near, F.lit(False))).where("near").select("v", "key", "n")
     narrow = near_ones.withColumn("hub", F.first("key").over(by_size)).withColumn("hub_n", F.first("n").over(by_size))
     common = materialize(index(wide=True).groupBy("v", "key").agg(F.min("n").alias("n")), "wide-lists")
     hubs = common.groupBy("v").agg(F.min(F.struct("n", "key")).alias("hub")).select("v", F.col("hub.key").alias("hub"), F.col("hub.n").alias("hub_n"))
-    broad = common.join(F.broadcast(hubs), "v").select("v", "key", "n", F.lit(True).alias("wide"), "hub", "hub_n")  # a row for each of max_hot values at most
+    broad = common.join(F.broadcast(hubs), "v").select("v", "key", "n", "hub", "hub_n")  # a row for each of max_hot values at most
     return materialize(narrow.unionByName(broad), "lists")
 
 
 def unsettled(lists: DataFrame, label: DataFrame | None) -> DataFrame:
     """v, key, n, root, size and weight (of the list) of the lists that hold several components beside their hub."""
-    rest = lists.where("key <> hub").select("v", "key", "n", "wide")
+    rest = lists.where("key <> hub").select("v", "key", "n")
     rest = rest.withColumn("root", F.col("key")) if label is None else rest.join(label, "key", "left").withColumn("root", F.coalesce("root", "key"))
     rest = materialize(rest, "rest")
     state = {"size": F.count("*"), "weight": F.sum("n"), "low": F.min("root"), "high": F.max("root")}
-    here = Window.partitionBy("v")
-    narrow = rest.where("not wide").select("*", *[x.over(here).alias(name) for name, x in state.items()])
-    broad = rest.where("wide")
-    broad = broad.join(F.broadcast(broad.groupBy("v").agg(*[x.alias(name) for name, x in state.items()]).where("low <> high")), "v")  # a row for each common value at most
-    return materialize(narrow.where("low <> high").unionByName(broad.select(*narrow.columns)).select("v", "key", "n", "root", "size", "weight"), "lists")
+    mixed = rest.groupBy("v").agg(*[x.alias(name) for name, x in state.items()]).where("low <> high").select("v", "size", "weight")
+    return materialize(rest.join(mixed, "v").select("v", "key", "n", "root", "size", "weight"), "lists")
 
 
 def linked_classes(docs: DataFrame, signed: DataFrame, classes: DataFrame, clash: list[int], id_col: str, text_col: str, words: int, percent: int, k: int, hot_list: int, small_list: int, max_hot: int) -> DataFrame | None:
