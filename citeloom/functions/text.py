@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .vectors import bound
+
 # Letters whose plain form has two letters, or that carry no separable mark.
 PLAIN_LETTERS = {"ß": "ss", "æ": "ae", "œ": "oe", "þ": "th", "ø": "o", "ł": "l", "đ": "d", "ð": "d", "ħ": "h", "ı": "i"}
 
@@ -131,9 +133,8 @@ def is_front_matter(title: Column) -> Column:
 def text_of_positions(inverted: Column) -> Column:
     """A map word -> positions to the text; of two words at one position the later in order of words stays."""
     pairs = F.flatten(F.transform(F.map_entries(inverted), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("at"), e["key"].alias("word")))))
-    ordered = F.array_sort(pairs)
-    last = F.filter(ordered, lambda x, i: (i == F.size(ordered) - 1) | (F.get(ordered, i + 1)["at"] != x["at"]))
-    return F.concat_ws(" ", F.transform(last, lambda x: x["word"]))
+    last = lambda o: F.filter(o, lambda x, i: (i == F.size(o) - 1) | (F.get(o, i + 1)["at"] != x["at"]))
+    return bound(F.array_sort(pairs), lambda o: F.concat_ws(" ", F.transform(last(o), lambda x: x["word"])))
 
 
 def tail(identifier: Column, mark: str = "/") -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,9 +16,14 @@ def norm(v: Column) -> Column:
     return F.sqrt(dot(v, v))
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once a row, also where body uses it for every element of an array."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def unit(v: Column, floor: float = 1e-8) -> Column:
     """v over its length plus floor."""
-    return F.transform(v, lambda x: x.cast("double") / (norm(v) + F.lit(floor)))
+    return bound(norm(v) + F.lit(floor), lambda n: F.transform(v, lambda x: x.cast("double") / n))
 
 
 def scale(v: Column) -> Column:
@@ -26,12 +33,12 @@ def scale(v: Column) -> Column:
 
 def to_int8(v: Column) -> Column:
     """127 x / scale, rounded half to even."""
-    s = scale(v)
-    return F.transform(v, lambda x: F.greatest(F.lit(-127), F.least(F.lit(127), F.bround(x.cast("double") / s * 127).cast("int"))).cast("tinyint"))
+    one = lambda x, s: F.greatest(F.lit(-127), F.least(F.lit(127), F.bround(x.cast("double") / s * 127).cast("int"))).cast("tinyint")
+    return bound(scale(v), lambda s: F.transform(v, lambda x: one(x, s)))
 
 
 def from_int8(q: Column, s: Column) -> Column:
-    return F.transform(q, lambda x: s * x / F.lit(127.0))
+    return bound(s, lambda t: F.transform(q, lambda x: t * x / F.lit(127.0)))
 
 
 def blend(parts: list[tuple[float, Column]]) -> Column:

@@ -40,3 +40,34 @@ def running_share(rows: DataFrame, order: Sequence[Column], weight: str, name: s
     shift, total = _shift(parts, F.sum(weight))
     s = F.sum(weight).over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     return parts.withColumn(name, s).join(F.broadcast(shift), "_part").withColumn(name, (F.col(name) + F.col("_shift")) / F.lit(float(total or 1))).drop("_part", "_shift")
+
+
+def group_quantiles(rows: DataFrame, groups: Sequence[str], value: str, wanted: dict[str, float]) -> DataFrame:
+    """groups and, for each name of wanted, the value at that share of the group's order, between neighbours by straight line. Nulls do not count.
+
+    No task holds a group: rows are split by range over (groups, value), numbered inside their range and group, and shifted
+    by the group's rows in the ranges before. Only the one or two rows at each wanted position are gathered.
+    """
+    kept = rows.where(F.col(value).isNotNull()).select(*groups, F.col(value).cast("double").alias(value), F.rand(7).alias("_tie"))
+    parts = _ranged(kept, [F.col(c) for c in [*groups, value, "_tie"]])  # equal values may fall to several ranges
+    size = parts.groupBy(*groups, "_part").agg(F.count("*").alias("_n"))
+    by = Window.partitionBy(*groups).orderBy("_part")  # a row for each range that a group reaches
+    size = size.withColumn("_before", F.coalesce(F.sum("_n").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_all", F.sum("_n").over(Window.partitionBy(*groups)))
+    at = parts.withColumn("_at", F.row_number().over(Window.partitionBy("_part", *groups).orderBy(value)))
+    same = F.lit(True)
+    renamed = size
+    for i, c in enumerate([*groups, "_part"]):
+        renamed = renamed.withColumnRenamed(c, f"_k{i}")
+        same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    at = at.join(renamed, same).withColumn("_at", F.col("_at") + F.col("_before") - 1)
+    spot = {name: F.lit(q) * (F.col("_all") - 1) for name, q in wanted.items()}
+    near = F.lit(False)
+    for x in spot.values():
+        near = near | F.col("_at").isin(F.floor(x), F.ceil(x))
+    picked = at.where(near)
+    out = []
+    for name, x in spot.items():
+        low, high = F.max(F.when(F.col("_at") == F.floor(x), F.col(value))), F.max(F.when(F.col("_at") == F.ceil(x), F.col(value)))
+        part = F.max(x - F.floor(x))
+        out.append((low + (high - low) * part).alias(name))
+    return picked.groupBy(*groups).agg(*out)
