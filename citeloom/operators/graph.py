@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
 import itertools
-
 from collections.abc import Sequence
 
 import numpy as np
@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import materialize
+from ..sources.tables import bucketed, materialize
 
 
 def pair_weights(members: DataFrame, item: str = "item", member: str = "member", year: str | None = None) -> DataFrame:
@@ -44,8 +44,8 @@ def adjacency(edges: DataFrame, k: int = 200) -> DataFrame:
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """node and component (its smallest node), by least labels and pointer jumping."""
-    both = materialize(both_ways(edges).distinct(), "edges")
+    """node and component (its smallest node), by least labels and pointer jumping. The links lie in buckets of the far end, so a round moves labels only; what a node gets from its many links is summed in each task before it moves."""
+    both = bucketed(both_ways(edges).distinct(), "edges", "y")
     label = materialize(both.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("c")).withColumnRenamed("x", "node"), "labels")
     while True:
         near = both.join(label.select(F.col("node").alias("y"), F.col("c")), "y").groupBy("x").agg(F.min("c").alias("near"))
@@ -68,19 +68,25 @@ def giant_fraction(edges: DataFrame, first_year: Column, cutoffs: Sequence[int])
     return out
 
 
-def pagerank(edges: DataFrame, weight: Column | None = None, iterations: int = 10, damping: float = 0.85) -> DataFrame:
-    """node and rank after a fixed number of steps from the uniform one; ranks sum to 1. Every node has an edge."""
+def pagerank(edges: DataFrame, weight: Column | None = None, iterations: int = 10, damping: float = 0.85, tolerance: float | None = None) -> DataFrame:
+    """node and rank after a fixed number of steps from the uniform one, or, with tolerance, as soon as a step changes the ranks by less than tolerance a node in sum. Ranks sum to 1. Every node has an edge. The links lie in buckets of their start, so a step moves ranks only."""
     w = weight if weight is not None else F.lit(1.0)
     both = both_ways(edges.withColumn("_w", w.cast("double")), "_w")
-    total = both.groupBy("x").agg(F.sum("_w").alias("_all"))
-    links = materialize(both.join(total, "x").select("x", "y", (F.col("_w") / F.col("_all")).alias("p")), "links")
+    total = materialize(both.groupBy("x").agg(F.sum("_w").alias("_all")), "totals")
+    links = bucketed(both.join(total, "x").select("x", "y", (F.col("_w") / F.col("_all")).alias("p")), "links", "x")
     n = total.count()
     rank = total.select(F.col("x").alias("node"), F.lit(1.0 / max(n, 1)).alias("rank"))
     for i in range(iterations):
         flow = links.join(rank, F.col("x") == F.col("node")).groupBy("y").agg(F.sum(F.col("rank") * F.col("p")).alias("s"))
-        rank = flow.select(F.col("y").alias("node"), (F.lit((1 - damping) / max(n, 1)) + F.lit(damping) * F.col("s")).alias("rank"))
-        if i % 5 == 4:
-            rank = materialize(rank, "rank")
+        new = flow.select(F.col("y").alias("node"), (F.lit((1 - damping) / max(n, 1)) + F.lit(damping) * F.col("s")).alias("rank"))
+        if tolerance is not None:
+            new = materialize(new, "rank")
+            change = new.join(rank.withColumnRenamed("rank", "was"), "node").agg(F.sum(F.abs(F.col("rank") - F.col("was")))).first()[0] or 0.0
+            rank = new
+            if change < n * tolerance:
+                break
+        else:
+            rank = materialize(new, "rank") if i % 5 == 4 else new
     return rank
 
 
@@ -146,121 +152,195 @@ def modularity(edges: DataFrame, labels: DataFrame, resolution: float = 1.0) ->
     return deg.agg(F.sum(F.col("k") * F.col("k")).alias("kk")).join(F.broadcast(inner)).select((F.col("inside") / F.col("m") - F.lit(resolution) * F.col("kk") / (4 * F.col("m") * F.col("m"))).alias("modularity"))  # one row each
 
 
-def _local_moving(rows: pd.DataFrame, resolution: float, seed: int) -> dict:
-    """Louvain: nodes move to the neighbouring community of best gain; communities become nodes; until nothing moves."""
-    nodes = pd.unique(pd.concat([rows["a"], rows["b"]]))
-    index = {n: i for i, n in enumerate(sorted(nodes.tolist()))}
-    ab = [(index[a], index[b], float(w)) for a, b, w in zip(rows["a"], rows["b"], rows["w"], strict=True)]
-    member = list(range(len(index)))
+def _moved(near: list[dict[int, float]], k: list[float], com: list[int], resolution: float, total: float, rng) -> bool:
+    """Move nodes to the neighbouring community of best gain until none moves; com changes. Whether any moved."""
+    weight: dict[int, float] = {}
+    for i, c in enumerate(com):
+        weight[c] = weight.get(c, 0.0) + k[i]
+    moved = False
+    for _ in range(50):
+        changed = False
+        for i in rng.permutation(len(near)).tolist():
+            links: dict[int, float] = {}
+            for j, w in near[i].items():
+                links[com[j]] = links.get(com[j], 0.0) + w
+            own = com[i]
+            weight[own] -= k[i]
+            best, gain = own, links.get(own, 0.0) - resolution * k[i] * weight[own] / total
+            for c in sorted(links):
+                g = links[c] - resolution * k[i] * weight[c] / total
+                if g > gain + 1e-12:
+                    best, gain = c, g
+            weight[best] += k[i]
+            if best != own:
+                com[i], changed, moved = best, True, True
+        if not changed:
+            return moved
+    return moved
+
+
+def _refined(near: list[dict[int, float]], k: list[float], com: list[int], resolution: float, total: float, rng) -> list[int]:
+    """Parts of communities that hold together: single nodes join a part of their own community that they are linked to, if both are well linked to the rest of the community."""
+    inside: dict[int, float] = {}
+    for i, c in enumerate(com):
+        inside[c] = inside.get(c, 0.0) + k[i]
+    part, weight = list(range(len(near))), k.copy()
+    out = [sum(w for j, w in near[i].items() if com[j] == com[i]) for i in range(len(near))]  # links of a part to the rest of its community
+    alone = [True] * len(near)
+    for i in rng.permutation(len(near)).tolist():
+        if not alone[i] or out[i] < resolution * k[i] * (inside[com[i]] - k[i]) / total - 1e-12:
+            continue
+        links: dict[int, float] = {}
+        for j, w in near[i].items():
+            if com[j] == com[i]:
+                links[part[j]] = links.get(part[j], 0.0) + w
+        best, gain = i, 0.0
+        for p in sorted(links):
+            if p != i and out[p] >= resolution * weight[p] * (inside[com[i]] - weight[p]) / total - 1e-12:
+                g = links[p] - resolution * k[i] * weight[p] / total
+                if g > gain + 1e-12:
+                    best, gain = p, g
+        if best != i:
+            part[i], alone[i], alone[best] = best, False, False
+            out[best] += out[i] - 2 * links[best]
+            weight[best] += k[i]
+    return part
+
+
+def _leiden(rows: pd.DataFrame, resolution: float, seed: int) -> dict:
+    """Nodes move, communities are refined into parts that hold together, parts become nodes that start in their community; until every part is one node."""
+    index = {n: i for i, n in enumerate(sorted(pd.unique(pd.concat([rows["a"], rows["b"]])).tolist()))}
     near: list[dict[int, float]] = [{} for _ in index]
-    for a, b, w in ab:
-        near[a][b] = near[a].get(b, 0.0) + w
-        near[b][a] = near[b].get(a, 0.0) + w
+    for a, b, w in zip(rows["a"], rows["b"], rows["w"], strict=True):
+        i, j = index[a], index[b]
+        near[i][j] = near[i].get(j, 0.0) + float(w)
+        near[j][i] = near[j].get(i, 0.0) + float(w)
     loops = [0.0] * len(near)
-    total = 2 * sum(w for _, _, w in ab)
+    total = sum(sum(x.values()) for x in near)
     rng = np.random.default_rng(seed)
+    member, com = list(range(len(near))), list(range(len(near)))
     while True:
-        n = len(near)
         k = [sum(x.values()) + loops[i] for i, x in enumerate(near)]
-        com, weight, moved = list(range(n)), k.copy(), False
-        for _ in range(50):
-            changed = False
-            for i in rng.permutation(n).tolist():
-                links: dict[int, float] = {}
-                for j, w in near[i].items():
-                    links[com[j]] = links.get(com[j], 0.0) + w
-                own = com[i]
-                weight[own] -= k[i]
-                best, gain = own, links.get(own, 0.0) - resolution * k[i] * weight[own] / total
-                for c in sorted(links):
-                    g = links[c] - resolution * k[i] * weight[c] / total
-                    if g > gain + 1e-12:
-                        best, gain = c, g
-                weight[best] += k[i]
-                if best != own:
-                    com[i], changed, moved = best, True, True
-            if not changed:
-                break
-        if not moved:
+        _moved(near, k, com, resolution, total, rng)
+        part = _refined(near, k, com, resolution, total, rng)
+        number = {p: i for i, p in enumerate(sorted(set(part)))}
+        if len(number) == len(near):
             break
-        number = {c: i for i, c in enumerate(sorted(set(com)))}
-        member = [number[com[m]] for m in member]
+        member = [number[part[m]] for m in member]
         joined: list[dict[int, float]] = [{} for _ in number]
-        inside = [0.0] * len(number)
+        inner, start = [0.0] * len(number), [0] * len(number)
         for i, x in enumerate(near):
-            a = number[com[i]]
-            inside[a] += loops[i]
+            a = number[part[i]]
+            start[a] = com[i]
+            inner[a] += loops[i]
             for j, w in x.items():
-                b = number[com[j]]
+                b = number[part[j]]
                 if a == b:
-                    inside[a] += w
+                    inner[a] += w
                 else:
                     joined[a][b] = joined[a].get(b, 0.0) + w
-        near, loops = joined, inside
-    return {node: member[i] for node, i in index.items()}
+        near, loops, com = joined, inner, start
+    order = {c: i for i, c in enumerate(sorted(set(com)))}
+    return {node: order[com[member[i]]] for node, i in index.items()}
 
 
 def communities(edges: DataFrame, least_weight: float = 1, resolution: float = 1.0, seed: int = 42, max_edges: int = 5_000_000) -> DataFrame:
-    """node and label by local moving on the edges of least_weight or more, in one task; the thinned graph must have max_edges edges at most, or an error is raised."""
+    """node and label by local moving with refinement (communities hold together) on the edges of least_weight or more, in one task; the thinned graph must have max_edges edges at most, or an error is raised."""
     strong = edges.where(F.col("w") >= least_weight).select("a", "b", F.col("w").cast("double").alias("w"))
     if strong.limit(max_edges + 1).count() > max_edges:
         raise ValueError(f"more than {max_edges} edges after thinning; raise least_weight")
     kind = edges.schema["a"].dataType.simpleString()
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        found = _local_moving(rows.sort_values(["a", "b"]), resolution, seed)
+        found = _leiden(rows.sort_values(["a", "b"]), resolution, seed)
         return pd.DataFrame({"node": list(found), "label": list(found.values())})
 
     return strong.withColumn("_one", F.lit(1)).groupBy("_one").applyInPandas(run, f"node {kind}, label long")
 
 
-def betweenness(edges: DataFrame, pivots: int, seed: int = 0, max_edges: int = 5_000_000) -> DataFrame:
-    """node and betweenness from pivots sources (those of lowest hash), scaled to all sources; one pass per source against the broadcast graph of max_edges edges at most."""
+def _paths(graph: list[dict[int, float]], i: int, weighted: bool) -> tuple[list[int], dict[int, float], dict[int, list[int]]]:
+    """From i: the nodes by distance, how many shortest paths lead to each, and what stands before it on them."""
+    if not weighted:
+        dist, paths, before, queue = {i: 0}, {i: 1.0}, {i: []}, [i]
+        for v in queue:
+            for u in graph[v]:
+                if u not in dist:
+                    dist[u], paths[u], before[u] = dist[v] + 1, 0.0, []
+                    queue.append(u)
+                if dist[u] == dist[v] + 1:
+                    paths[u] += paths[v]
+                    before[u].append(v)
+        return queue, paths, before
+    order, done, best, paths, before = [], set(), {i: 0.0}, {i: 1.0}, {i: []}
+    heap = [(0.0, i)]
+    while heap:
+        d, v = heapq.heappop(heap)
+        if v in done:
+            continue
+        done.add(v)
+        order.append(v)
+        for u, length in graph[v].items():
+            to = d + length
+            if u in done:
+                continue
+            if u not in best or to < best[u] - 1e-12:
+                best[u], paths[u], before[u] = to, paths[v], [v]
+                heapq.heappush(heap, (to, u))
+            elif abs(to - best[u]) <= 1e-12:
+                paths[u] += paths[v]
+                before[u].append(v)
+    return order, paths, before
+
+
+def betweenness(edges: DataFrame, pivots: int, seed: int = 0, max_edges: int = 5_000_000, weight: str | None = None, of: str = "node") -> DataFrame:
+    """node and betweenness (of="edge": a, b and betweenness) from pivots sources (those of lowest hash), normalised and scaled to all sources.
+
+    With weight an edge is 1 / weight long. One pass per source against the broadcast graph of max_edges edges at most, or an
+    error is raised.
+    """
     spark = edges.sparkSession
-    both = both_ways(edges)
     if edges.limit(max_edges + 1).count() > max_edges:
         raise ValueError(f"more than {max_edges} edges; thin the graph")
-    rows = edges.select("a", "b").toPandas()
+    rows = edges.select("a", "b", (F.lit(1.0) if weight is None else 1 / F.col(weight).cast("double")).alias("length")).toPandas()  # max_edges rows at most
     nodes = sorted(set(rows["a"]) | set(rows["b"]))
     index = {n: i for i, n in enumerate(nodes)}
-    near: list[list[int]] = [[] for _ in nodes]
-    for a, b in zip(rows["a"], rows["b"], strict=True):
-        near[index[a]].append(index[b])
-        near[index[b]].append(index[a])
+    near: list[dict[int, float]] = [{} for _ in nodes]
+    for a, b, length in zip(rows["a"], rows["b"], rows["length"], strict=True):
+        near[index[a]][index[b]] = near[index[b]][index[a]] = float(length)
     sent = spark.sparkContext.broadcast((nodes, near))
+    both = both_ways(edges)
     starts = both.select(F.col("x").alias("node")).distinct().orderBy(F.xxhash64("node", F.lit(seed)), "node").limit(pivots).repartition(max(1, min(pivots, 64)), "node")
     kind = edges.schema["a"].dataType.simpleString()
 
     def run(batches):
         names, graph = sent.value
         at = {n: i for i, n in enumerate(names)}
-        score = np.zeros(len(names))
+        score: dict = {}
         for batch in batches:
             for s in batch["node"]:
                 i = at[s]
-                dist, paths, order, before = {i: 0}, {i: 1.0}, [], {i: []}
-                queue = [i]
-                for v in queue:
-                    order.append(v)
-                    for u in graph[v]:
-                        if u not in dist:
-                            dist[u], paths[u], before[u] = dist[v] + 1, 0.0, []
-                            queue.append(u)
-                        if dist[u] == dist[v] + 1:
-                            paths[u] += paths[v]
-                            before[u].append(v)
+                order, paths, before = _paths(graph, i, weight is not None)
                 back = dict.fromkeys(order, 0.0)
                 for u in reversed(order):
                     for v in before[u]:
-                        back[v] += paths[v] / paths[u] * (1 + back[u])
-                    if u != i:
-                        score[u] += back[u]
-        hit = np.flatnonzero(score)
-        yield pd.DataFrame({"node": [names[i] for i in hit], "part": score[hit]})
+                        flow = paths[v] / paths[u] * (1 + back[u])
+                        back[v] += flow
+                        if of == "edge":
+                            e = (min(u, v), max(u, v))
+                            score[e] = score.get(e, 0.0) + flow
+                    if of == "node" and u != i:
+                        score[u] = score.get(u, 0.0) + back[u]
+        if of == "edge":
+            yield pd.DataFrame({"a": [names[a] for a, _ in score], "b": [names[b] for _, b in score], "part": list(score.values())})
+        else:
+            yield pd.DataFrame({"node": [names[i] for i in score], "part": list(score.values())})
 
     n = len(nodes)
-    scale = n / max(1, min(pivots, n)) / max(1, (n - 1) * (n - 2))
-    sums = starts.mapInPandas(run, f"node {kind}, part double").groupBy("node").agg((F.sum("part") * scale).alias("betweenness"))
+    share = n / max(1, min(pivots, n))
+    if of == "edge":
+        sums = starts.mapInPandas(run, f"a {kind}, b {kind}, part double").groupBy("a", "b").agg((F.sum("part") * (share / max(1, n * (n - 1)))).alias("betweenness"))
+        return edges.select("a", "b").join(sums, ["a", "b"], "left").select("a", "b", F.coalesce("betweenness", F.lit(0.0)).alias("betweenness"))
+    sums = starts.mapInPandas(run, f"node {kind}, part double").groupBy("node").agg((F.sum("part") * (share / max(1, (n - 1) * (n - 2)))).alias("betweenness"))
     return both.select(F.col("x").alias("node")).distinct().join(sums, "node", "left").select("node", F.coalesce("betweenness", F.lit(0.0)).alias("betweenness"))
 
 
@@ -281,10 +361,10 @@ def type_matrix(edges: DataFrame, types: DataFrame) -> DataFrame:
     return n.join(pop, "tb").select("ta", "tb", "n", "share", (F.col("share") / (F.col("pop") / F.col("all"))).alias("lift"))
 
 
-def bridges(edges: DataFrame, labels: DataFrame, k: int = 100) -> DataFrame:
-    """Label pairs (low, high) and how many of the k heaviest edges between different labels join them."""
+def bridges(edges: DataFrame, labels: DataFrame, k: int = 100, by: str = "w") -> DataFrame:
+    """Label pairs (low, high) and how many of the k edges between different labels that are first by by (a weight, or edge betweenness) join them."""
     j = edges.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b").where("la <> lb")
-    return j.orderBy(F.desc("w"), "a", "b").limit(k).groupBy(F.least("la", "lb").alias("low"), F.greatest("la", "lb").alias("high")).agg(F.count("*").alias("n"))
+    return j.orderBy(F.desc(by), "a", "b").limit(k).groupBy(F.least("la", "lb").alias("low"), F.greatest("la", "lb").alias("high")).agg(F.count("*").alias("n"))
 
 
 def multiplex(edges: DataFrame, near: DataFrame, floor: float = 0.6, share: float = 0.5) -> DataFrame:

@@ -39,7 +39,8 @@ def greedy_clusters(rows: DataFrame, block: Sequence[str], key: str, title: str,
     alone = F.lit(False)
     for c in block:
         alone = alone | F.col(c).isNull()
-    alone = alone | (F.coalesce(F.col(title), F.lit("")) == "")
+    # a row without any name shares none, so it can't join a seed nor be joined
+    alone = alone | (F.coalesce(F.col(title), F.lit("")) == "") | (F.size(F.filter(F.coalesce(names, F.array().cast("array<string>")), lambda x: x != "")) == 0)
     single = rows.where(alone).select(key, F.col(key).alias("cluster"))
     free = rows.where(~alone).withColumn("_names", F.concat_ws("\x1f", F.array_sort(F.array_distinct(F.filter(names, lambda x: x != "")))))
     same = free.groupBy(*block, title, "_names").agg(F.min(F.struct(F.col(order).alias("_o"), F.col(key).alias("_k"))).alias("_lead"))
@@ -59,10 +60,8 @@ def greedy_clusters(rows: DataFrame, block: Sequence[str], key: str, title: str,
         return pd.DataFrame({"_k": k, "cluster": [k[s] for s in seed]})
 
     found = same.groupBy(*block).applyInPandas(run, f"_k {kind}, cluster {kind}")
-    # equal titles without any name do not share one: each is its own cluster
     leads = same.join(found, "_k").withColumnRenamed("_t", title)
-    own = (F.col("_names") == "") & (F.col(key) != F.col("_k"))
-    members = free.join(leads, [*block, title, "_names"]).select(key, F.when(own, F.col(key)).otherwise(F.col("cluster")).alias("cluster"))
+    members = free.join(leads, [*block, title, "_names"]).select(key, "cluster")
     return single.unionByName(members)
 
 

@@ -34,16 +34,29 @@ def global_row_number(rows: DataFrame, order: Sequence[Column], name: str = "row
     return parts.withColumn(name, n).join(F.broadcast(shift), "_part").withColumn(name, (F.col(name) + F.col("_shift") + (first - 1)).cast("long")).drop("_part", "_shift")
 
 
-def running_share(rows: DataFrame, order: Sequence[Column], weight: str, name: str = "share") -> DataFrame:
-    """rows with the sum of weight up to and with them, over its total. weight is a whole number."""
+def running_sum(rows: DataFrame, order: Sequence[Column], weight: str, name: str = "sum") -> tuple[DataFrame, float]:
+    """rows with the sum of weight up to and with them, and the total. weight is a whole number."""
     parts = _ranged(rows, order)
     shift, total = _shift(parts, F.sum(weight))
     s = F.sum(weight).over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return parts.withColumn(name, s).join(F.broadcast(shift), "_part").withColumn(name, (F.col(name) + F.col("_shift")) / F.lit(float(total or 1))).drop("_part", "_shift")
+    return parts.withColumn(name, s).join(F.broadcast(shift), "_part").withColumn(name, F.col(name) + F.col("_shift")).drop("_part", "_shift"), total  # a row for each range
+
+
+def running_share(rows: DataFrame, order: Sequence[Column], weight: str, name: str = "share") -> DataFrame:
+    """rows with the sum of weight up to and with them, over its total. weight is a whole number."""
+    out, total = running_sum(rows, order, weight, name)
+    return out.withColumn(name, F.col(name) / F.lit(float(total or 1)))
+
+
+def tie_rank(rows: DataFrame, value: str, name: str) -> DataFrame:
+    """rows with their rank by value, descending; ties share the smallest. Only the distinct values are put in order."""
+    counts = rows.groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    placed = running_sum(counts, [F.desc("_v")], "_n", "_upto")[0].select("_v", (F.col("_upto") - F.col("_n") + 1).alias(name))
+    return rows.join(placed, F.col(value).eqNullSafe(F.col("_v"))).drop("_v")
 
 
-def group_quantiles(rows: DataFrame, groups: Sequence[str], value: str, wanted: dict[str, float]) -> DataFrame:
-    """groups and, for each name of wanted, the value at that share of the group's order, between neighbours by straight line. Nulls do not count.
+def group_quantiles(rows: DataFrame, groups: Sequence[str], value: str, wanted: dict[str, float], lower: Sequence[str] = ()) -> DataFrame:
+    """groups and, for each name of wanted, the value at that share of the group's order, between neighbours by straight line; for names in lower the neighbour below. Nulls do not count.
 
     No task holds a group: rows are split by range over (groups, value), numbered inside their range and group, and shifted
     by the group's rows in the ranges before. Only the one or two rows at each wanted position are gathered.
@@ -69,5 +82,5 @@ def group_quantiles(rows: DataFrame, groups: Sequence[str], value: str, wanted:
     for name, x in spot.items():
         low, high = F.max(F.when(F.col("_at") == F.floor(x), F.col(value))), F.max(F.when(F.col("_at") == F.ceil(x), F.col(value)))
         part = F.max(x - F.floor(x))
-        out.append((low + (high - low) * part).alias(name))
+        out.append((low if name in lower else low + (high - low) * part).alias(name))
     return picked.groupBy(*groups).agg(*out)

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import tie_rank
+
 
 def explore(items: DataFrame, *, year: Column | None = None, years: tuple[int, int] | None = None, count: Column | None = None, least: float | None = None, group: Column | None = None, groups: Sequence[str] = (), text: Column | None = None, words: Sequence[str] = (), any_word: bool = False, members: Column | None = None, member_words: Sequence[str] = ()) -> DataFrame:
     """The rows that meet every given condition: years inclusive, least count, one of groups, words in the text (all, or any), all member words. Words ignore case."""
@@ -66,8 +68,13 @@ def dense_counts(rows: DataFrame, group: str, year: str, lo: int, hi: int) -> Da
     return frame.join(counts, [group, year], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
-def pivot_counts(rows: DataFrame, group: str, across: str, values: Sequence, name: str = "y") -> DataFrame:
-    """A row a group, a zero-filled count a value."""
+def pivot_counts(rows: DataFrame, group: str, across: str, values: Sequence | None = None, name: str = "y", most: int = 1000) -> DataFrame:
+    """A row a group, a zero-filled count a value; without values, those found, in order (more than most raise an error)."""
+    if values is None:
+        found = rows.where(F.col(across).isNotNull()).select(across).distinct().limit(most + 1).collect()  # most + 1 values at most
+        if len(found) > most:
+            raise ValueError(f"more than {most} values of {across}")
+        values = sorted(r[0] for r in found)
     return rows.groupBy(group).agg(*[F.count_if(F.col(across) == v).alias(f"{name}{v}") for v in values])
 
 
@@ -142,7 +149,7 @@ def average_rank(rows: DataFrame, measures: Sequence[str], key: str, k: int) ->
     """The k rows of best mean rank over the measures (descending, ties share the smallest rank)."""
     ranked = rows
     for m in measures:
-        ranked = ranked.withColumn(f"rank_{m}", F.rank().over(Window.orderBy(F.desc(m))))
+        ranked = tie_rank(ranked, m, f"rank_{m}")
     mean = sum((F.col(f"rank_{m}") for m in measures[1:]), F.col(f"rank_{measures[0]}")) / len(measures)
     return ranked.withColumn("mean_rank", mean).orderBy("mean_rank", key).limit(k)
 

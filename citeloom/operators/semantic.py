@@ -6,18 +6,58 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from ..functions import vectors as V
 from ..sources.tables import materialize
 
 
 def centroids(rows: DataFrame, keys: Sequence[str], vector: str, weight: Column) -> DataFrame:
-    """Weighted mean vector, rows and total weight of each key. Sums are made per component before the shuffle."""
-    long = rows.select(*keys, weight.alias("_w"), F.posexplode(vector).alias("_i", "_x"))
-    sums = long.groupBy(*keys, "_i").agg((F.sum(F.col("_w") * F.col("_x").cast("double")) / F.sum("_w")).alias("_m"), F.count("*").alias("n"), F.sum("_w").alias("weight"))
-    return sums.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_m"))), lambda e: e["_m"]).alias("centroid"), F.max("n").alias("n"), F.max("weight").alias("weight"))
+    """Weighted mean vector, rows and total weight of each key. Each task adds up its own rows before the shuffle; null vectors do not count."""
+    flat = rows.where(F.col(vector).isNotNull()).select(*keys, weight.cast("double").alias("_w"), F.col(vector).cast("array<double>").alias("_v"))
+    kinds = [flat.schema[k] for k in keys]
+    sums = StructType([*kinds, StructField("n", LongType()), StructField("weight", DoubleType()), StructField("_s", ArrayType(DoubleType()))])
+    arrow = to_arrow_schema(sums)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list] = {}
+
+        def out():
+            cols = list(zip(*[(*k, n, w, s.tolist()) for k, (n, w, s) in held.items()], strict=True))
+            batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow, strict=True)], names=arrow.names)
+            held.clear()
+            return batch
+
+        for b in batches:
+            names = list(zip(*[b.column(k).to_pylist() for k in keys], strict=True))
+            for key, w, v in zip(names, b.column("_w").to_pylist(), b.column("_v").to_pylist(), strict=True):
+                if w is None:
+                    continue
+                part = w * np.array(v, float)
+                have = held.get(key)
+                if have is None:
+                    held[key] = [1, w, part]
+                else:
+                    have[0] += 1
+                    have[1] += w
+                    have[2] += part
+            if len(held) > 20_000:
+                yield out()
+        if held:
+            yield out()
+
+    def join(group: pa.Table) -> pa.Table:
+        total = np.sum([np.array(s, float) for s in group.column("_s").to_pylist()], axis=0)  # a row for each task that met the key
+        weight_ = float(sum(group.column("weight").to_pylist()))
+        one = [group.column(k).slice(0, 1).combine_chunks() for k in keys]
+        return pa.Table.from_arrays([*one, pa.array([(total / weight_).tolist()], pa.list_(pa.float64())), pa.array([sum(group.column("n").to_pylist())], pa.int64()), pa.array([weight_])], names=[*keys, "centroid", "n", "weight"])
+
+    result = StructType([*kinds, StructField("centroid", ArrayType(DoubleType())), StructField("n", LongType()), StructField("weight", DoubleType())])
+    return flat.mapInArrow(add, sums).groupBy(*keys).applyInArrow(join, result)
 
 
 def neighbours(rows: DataFrame, key: str, vector: str, k: int = 20, block: int = 4096) -> DataFrame:
@@ -79,11 +119,15 @@ def moments(rows: DataFrame, vector: str) -> tuple[int, np.ndarray, np.ndarray]:
         if n:
             yield pd.DataFrame({"i": range(len(s)), "n": n, "s": s, "c": list(c)})
 
-    parts = rows.select(vector).where(F.col(vector).isNotNull()).mapInPandas(run, "i int, n long, s double, c array<double>")
-    got = parts.groupBy("i").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.collect_list("c").alias("c")).orderBy("i").collect()
+    def add(group: pd.DataFrame) -> pd.DataFrame:  # a row for each task
+        return pd.DataFrame({"i": group["i"].iloc[:1], "n": [group["n"].sum()], "s": [group["s"].sum()], "c": [np.sum(np.array(group["c"].tolist()), 0)]})
+
+    kind = "i int, n long, s double, c array<double>"
+    parts = rows.select(vector).where(F.col(vector).isNotNull()).mapInPandas(run, kind)
+    got = parts.groupBy("i").applyInPandas(add, kind).orderBy("i").collect()  # d rows of d numbers
     n = got[0]["n"]
     mean = np.array([r["s"] for r in got]) / n
-    raw = np.array([np.sum(np.array(r["c"]), 0) for r in got])
+    raw = np.array([r["c"] for r in got])
     return n, mean, (raw - n * np.outer(mean, mean)) / max(1, n - 1)
 
 

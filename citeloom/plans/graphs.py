@@ -172,7 +172,7 @@ def layout_rescale(spark, d):
 
 @query("communities_quality")
 def communities_quality(spark, d):
-    """The modularity that local moving reaches."""
+    """The modularity that local moving with refinement reaches."""
     e = _edges(spark, d)
     return G.modularity(e, G.communities(e)).select(F.round("modularity", 6).alias("modularity"))
 
@@ -180,3 +180,49 @@ def communities_quality(spark, d):
 @query("betweenness_pivots")
 def betweenness_pivots(spark, d):
     return G.betweenness(_edges(spark, d), 64).select("node", F.round("betweenness", 9).alias("betweenness"))
+
+
+@query("edge_betweenness_pivots")
+def edge_betweenness_pivots(spark, d):
+    """Edges between different labels by how many shortest paths cross them, and what labels the first hundred join."""
+    e = _edges(spark, d)
+    scored = e.join(G.betweenness(e, 32, of="edge"), ["a", "b"])
+    return G.bridges(scored.withColumn("betweenness", F.round("betweenness", 9)), _labels(spark, d), 100, "betweenness")
+
+
+@query("betweenness_weighted")
+def betweenness_weighted(spark, d):
+    return G.betweenness(_edges(spark, d), 32, weight="w").select("node", F.round("betweenness", 9).alias("betweenness"))
+
+
+@query("pagerank_converged")
+def pagerank_converged(spark, d):
+    """Steps until the ranks change by less than 1e-6 a node in sum."""
+    return G.pagerank(_edges(spark, d), iterations=100, tolerance=1e-6).withColumn("rank", F.round("rank", 9))
+
+
+@query(
+    "graph_payload",
+    f"""WITH {EDGES}, {_LABELS}, d AS (SELECT x AS node, count(*) AS degree, CAST(sum(w) AS BIGINT) AS strength FROM both_ways GROUP BY x) SELECT d.node, p_name AS label, CAST(l.label AS BIGINT) AS community, degree, strength, round(degree * 1e4 / (SELECT count(*) - 1 FROM d), 2) AS centrality FROM d JOIN part ON p_partkey = d.node JOIN labels l ON l.node = d.node""",
+)
+def graph_payload(spark, d):
+    """Nodes as they are exported: name, community, degree, strength and scaled degree centrality."""
+    from ..functions.text import scaled
+
+    deg = G.degrees(_edges(spark, d))
+    n = deg.agg((F.count("*") - 1).alias("n"))
+    out = deg.join(table(spark, d, "part").select(F.col("p_partkey").alias("node"), F.col("p_name").alias("label")), "node").join(_labels(spark, d).select("node", F.col("label").cast("long").alias("community")), "node").join(F.broadcast(n))  # one row
+    return out.select("node", "label", "community", "degree", "strength", scaled(F.col("degree") / F.col("n")).alias("centrality"))
+
+
+@query("top_hubs", f"WITH {EDGES}, d AS (SELECT x AS node, CAST(sum(w) AS BIGINT) AS strength FROM both_ways GROUP BY x) SELECT node, strength FROM d ORDER BY strength DESC, node LIMIT 100")
+def top_hubs(spark, d):
+    return G.degrees(_edges(spark, d)).orderBy(F.desc("strength"), "node").limit(100).select("node", "strength")
+
+
+@query("community_heads", f"WITH {EDGES}, {_LABELS}, d AS (SELECT x AS node, CAST(sum(w) AS BIGINT) AS strength FROM both_ways GROUP BY x), r AS (SELECT l.label, d.node, strength, row_number() OVER (PARTITION BY l.label ORDER BY strength DESC, d.node) AS rank FROM d JOIN labels l ON l.node = d.node) SELECT CAST(label AS BIGINT) AS label, node, strength, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5")
+def community_heads(spark, d):
+    from ..operators.relational import top_per_group
+
+    j = G.degrees(_edges(spark, d)).join(_labels(spark, d), "node").select(F.col("label").cast("long").alias("label"), "node", "strength")
+    return top_per_group(j, ["label"], [F.desc("strength"), F.col("node")], 5)

@@ -37,9 +37,9 @@ def alias_candidates(spark, d):
     return L.alias_candidates(links, names, 3, 200).withColumn("overlap", F.round("overlap", 9))
 
 
-@query("alias_chain", "WITH RECURSIVE m AS (SELECT c_custkey AS key, CAST(c_custkey // 3 AS BIGINT) AS canonical FROM customer WHERE c_custkey % 5 <> 0), r AS (SELECT key, canonical FROM m WHERE key <> canonical UNION ALL SELECT r.key, m.canonical FROM r JOIN m ON r.canonical = m.key WHERE m.key <> m.canonical) SELECT key, canonical FROM r WHERE canonical NOT IN (SELECT key FROM m WHERE key <> canonical)")
+@query("alias_chain", "WITH RECURSIVE m AS (SELECT c_custkey AS key, CAST(c_custkey // 3 AS BIGINT) AS canonical FROM customer), r AS (SELECT key, canonical FROM m WHERE key <> canonical UNION ALL SELECT r.key, m.canonical FROM r JOIN m ON r.canonical = m.key WHERE m.key <> m.canonical) SELECT key, canonical FROM r WHERE canonical NOT IN (SELECT key FROM m WHERE key <> canonical)")
 def alias_chain(spark, d):
-    c = table(spark, d, "customer").where("c_custkey % 5 <> 0")
+    c = table(spark, d, "customer")
     return L.resolve_chains(c.select(F.col("c_custkey").alias("key"), F.floor(F.col("c_custkey") / 3).alias("canonical")))
 
 
@@ -56,8 +56,8 @@ def fuzzy_clusters(spark, d):
     return L.greedy_clusters(t, ["p_size", "p_type"], "key", "title", "names", "key", 90.0)
 
 
-@query("key_audit", f"WITH {PARTS}, n AS (SELECT member AS key, count(*) AS n FROM parts GROUP BY member), k AS (SELECT n.key, p_brand AS surname, list_filter(string_split(p_name, ' '), lambda x: length(x) >= 2) AS given, n.n, p_size FROM n JOIN part ON n.key = p_partkey WHERE n.n >= 3) SELECT DISTINCT a.key AS name_key, b.key AS id_key FROM k a JOIN k b ON a.surname = b.surname AND list_has_any(a.given, b.given) WHERE a.p_size % 10 = 0 AND b.p_size % 10 = 1")
+@query("key_audit", f"WITH {PARTS}, n AS (SELECT member AS key, count(*) AS n FROM parts GROUP BY member), k AS (SELECT n.key, p_brand AS surname, list_filter(string_split(p_name, ' '), lambda x: length(x) >= 2) AS given, n.n, p_size FROM n JOIN part ON n.key = p_partkey WHERE n.n >= 3) SELECT DISTINCT a.key AS name_key, b.key AS id_key FROM k a JOIN k b ON a.surname = b.surname AND list_has_any(a.given, b.given) WHERE a.p_size % 10 < 5 AND b.p_size % 10 >= 5")
 def key_audit(spark, d):
     n = members(spark, d, "l_partkey").groupBy(F.col("member").alias("key")).agg(F.count("*").alias("n"))
     k = n.join(table(spark, d, "part"), F.col("key") == F.col("p_partkey")).select("key", F.col("p_brand").alias("surname"), F.split("p_name", " ").alias("given"), "n", "p_size")
-    return L.split_suspects(k.where("p_size % 10 = 0"), k.where("p_size % 10 = 1"))
+    return L.split_suspects(k.where("p_size % 10 < 5"), k.where("p_size % 10 >= 5"))

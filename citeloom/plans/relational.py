@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import relational as R
+from ..operators.ordering import group_quantiles
 from .base import ITEMS, MEMBERS, items, members, query, table
 
 
@@ -50,7 +51,7 @@ def by_year_counts(spark, d):
 
 @query("by_year_pivot", f"WITH {ITEMS} SELECT grp, " + ", ".join(f"count(*) FILTER (WHERE year = {y}) AS y{y}" for y in range(1995, 2002)) + " FROM items GROUP BY grp")
 def by_year_pivot(spark, d):
-    return R.pivot_counts(items(spark, d), "grp", "year", range(1995, 2002))
+    return R.pivot_counts(items(spark, d), "grp", "year")
 
 
 @query("decade_pivot_totals", f"WITH {ITEMS}, p AS (SELECT grp, count(*) FILTER (WHERE year < 2000) AS d1990, count(*) FILTER (WHERE year >= 2000) AS d2000 FROM items GROUP BY grp) SELECT * FROM p UNION ALL SELECT 'TOTAL', CAST(sum(d1990) AS BIGINT), CAST(sum(d2000) AS BIGINT) FROM p")
@@ -123,7 +124,8 @@ def delta_report(spark, d):
     i = items(spark, d)
     j = i.join(_updates(spark, d).where("fresh >= 0"), "cust").select((F.col("fresh") - F.col("cites")).alias("delta"))
     n = i.agg(F.count("*").alias("n"))
-    a = j.agg(F.count("*").alias("hits"), F.round(F.avg("delta"), 4).alias("mean_delta"), F.round(F.percentile("delta", 0.5), 4).alias("median_delta"), F.max("delta").alias("max_delta"))
+    middle = group_quantiles(j.withColumn("one", F.lit(1)), ["one"], "delta", {"m": 0.5}).select(F.round("m", 4).alias("median_delta"))
+    a = j.agg(F.count("*").alias("hits"), F.round(F.avg("delta"), 4).alias("mean_delta"), F.max("delta").alias("max_delta")).join(F.broadcast(middle), how="left")  # one row
     return a.join(F.broadcast(n)).select("hits", F.round(100 * F.col("hits") / F.col("n"), 4).alias("hit_pct"), "mean_delta", "median_delta", "max_delta")  # one row each
 
 
@@ -291,7 +293,8 @@ def group_and_overall_top(spark, d):
 
 @query("percentiles", "SELECT o_orderpriority, round(quantile_cont(o_totalprice, 0.02), 4) AS p02, round(quantile_cont(o_totalprice, 0.98), 4) AS p98, round(quantile_disc(o_totalprice, 0.5), 4) AS lower_median FROM orders GROUP BY o_orderpriority")
 def percentiles(spark, d):
-    return table(spark, d, "orders").groupBy("o_orderpriority").agg(F.round(F.percentile("o_totalprice", 0.02), 4).alias("p02"), F.round(F.percentile("o_totalprice", 0.98), 4).alias("p98"), F.round(F.expr("percentile_disc(0.5) within group (order by o_totalprice)"), 4).alias("lower_median"))
+    q = group_quantiles(table(spark, d, "orders"), ["o_orderpriority"], "o_totalprice", {"p02": 0.02, "p98": 0.98, "lower_median": 0.5}, lower=("lower_median",))
+    return q.select("o_orderpriority", *[F.round(c, 4).alias(c) for c in ("p02", "p98", "lower_median")])
 
 
 @query("inverted_lookup", "SELECT c_mktsegment, max(c_custkey) AS last, md5(array_to_string(list_sort(list(c_custkey)), ',')) AS ids_md5 FROM customer GROUP BY c_mktsegment")

@@ -9,6 +9,7 @@ from ..operators import evaluation as E
 from ..operators import graph as G
 from ..operators import semantic as S
 from ..operators import text_models as M
+from ..operators.ordering import group_quantiles
 from .base import ITEMS, items, members, query, table
 
 
@@ -30,12 +31,12 @@ def mutual_knn(spark, d):
     return S.mutual(S.neighbours(_emb(spark, d), "vec_id", "embedding", 5), 0.2).select("x", "y", F.round("s", 6).alias("s"))
 
 
-_CHAIN = "edges AS (SELECT p.vec_id AS a, q.vec_id AS b, 2 AS w FROM embeddings p JOIN embeddings q ON q.vec_id = p.vec_id + 1 WHERE p.label % 2 = 0), bw AS (SELECT a AS x, b AS y FROM edges UNION SELECT b, a FROM edges), d1 AS (SELECT * FROM bw), d2 AS (SELECT DISTINCT p.x, q.y FROM d1 p JOIN d1 q ON p.y = q.x WHERE p.x <> q.y), dist AS (SELECT x, y, CAST(min(d) AS INTEGER) AS d FROM (SELECT x, y, 1 AS d FROM d1 UNION ALL SELECT x, y, 2 FROM d2) GROUP BY x, y)"
+_CHAIN = "edges AS (SELECT p.vec_id AS a, q.vec_id AS b, 2 AS w FROM embeddings p JOIN embeddings q ON q.vec_id = p.vec_id + 1), bw AS (SELECT a AS x, b AS y FROM edges UNION SELECT b, a FROM edges), d1 AS (SELECT * FROM bw), d2 AS (SELECT DISTINCT p.x, q.y FROM d1 p JOIN d1 q ON p.y = q.x WHERE p.x <> q.y), dist AS (SELECT x, y, CAST(min(d) AS INTEGER) AS d FROM (SELECT x, y, 1 AS d FROM d1 UNION ALL SELECT x, y, 2 FROM d2) GROUP BY x, y)"
 
 
 def _chain(spark, d):
     e = _emb(spark, d)
-    return e.where("label % 2 = 0").select(F.col("vec_id").alias("a")).join(e.select((F.col("vec_id") - 1).alias("a"), F.col("vec_id").alias("b")), "a").withColumn("w", F.lit(2))
+    return e.select(F.col("vec_id").alias("a")).join(e.select((F.col("vec_id") - 1).alias("a"), F.col("vec_id").alias("b")), "a").withColumn("w", F.lit(2))
 
 
 @query("phantom_flags", f"WITH {_KNN}, {_CHAIN} SELECT k.x, k.y, t.d, t.d IS NULL OR t.d >= 2 AS unmet FROM knn k LEFT JOIN dist t ON k.x = t.x AND k.y = t.y")
@@ -109,7 +110,10 @@ def trajectory_taxonomy(spark, d):
 def personality(spark, d):
     """Users by three axes split at their lower medians; every cell has a row."""
     e = table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.avg("value").alias("v"), F.count_if(F.col("event_type") == "purchase").alias("b"))
-    med = e.agg(*[F.expr(f"percentile_disc(0.5) within group (order by {c})").alias(f"m{c}") for c in "nvb"])
+    med = None
+    for c in "nvb":
+        one = group_quantiles(e.withColumn("one", F.lit(1)), ["one"], c, {f"m{c}": 0.5}, lower=(f"m{c}",)).drop("one")
+        med = one if med is None else med.join(F.broadcast(one))  # one row each
     axis = lambda c, a, b: F.when(F.col(c) >= F.col(f"m{c}"), a).otherwise(b)
     t = e.join(F.broadcast(med)).select("user_id", F.concat(axis("n", "M", "S"), axis("v", "H", "L"), axis("b", "B", "N")).alias("type"))  # one row
     cells = spark.createDataFrame([(a + b + c,) for a in "MS" for b in "HL" for c in "BN"], "type string")
@@ -212,9 +216,9 @@ def svd_documents(spark, d):
     return M.truncated_svd(w, "doc", 4).select("doc", F.round(V.norm(F.col("coordinates")), 6).alias("length"))
 
 
-@query("same_group_pool", "WITH g AS (SELECT s_suppkey AS node, s_nationkey AS grp FROM supplier), near AS (SELECT DISTINCT a.l_suppkey AS x, b.l_suppkey AS y FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey <> b.l_suppkey WHERE a.l_returnflag = 'A' AND b.l_returnflag = 'A' AND a.l_quantity > 45 AND b.l_quantity > 45) SELECT DISTINCT a.node AS x, b.node AS y FROM g a JOIN g b ON a.grp = b.grp AND a.node <> b.node WHERE (a.node, b.node) NOT IN (SELECT (x, y) FROM near)")
+@query("same_group_pool", "WITH g AS (SELECT s_suppkey AS node, s_nationkey AS grp FROM supplier), near AS (SELECT DISTINCT a.l_suppkey AS x, b.l_suppkey AS y FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey <> b.l_suppkey) SELECT DISTINCT a.node AS x, b.node AS y FROM g a JOIN g b ON a.grp = b.grp AND a.node <> b.node WHERE (a.node, b.node) NOT IN (SELECT (x, y) FROM near)")
 def same_group_pool(spark, d):
     s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("node"), F.col("s_nationkey").alias("group"))
-    li = table(spark, d, "lineitem").where("l_returnflag = 'A' AND l_quantity > 45").select("l_orderkey", F.col("l_suppkey"))
+    li = table(spark, d, "lineitem").select("l_orderkey", F.col("l_suppkey")).distinct()
     near = li.select("l_orderkey", F.col("l_suppkey").alias("x")).join(li.select("l_orderkey", F.col("l_suppkey").alias("y")), "l_orderkey").where("x <> y").select("x", "y").distinct()
     return E.shared_group_pool(s, near)

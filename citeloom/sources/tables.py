@@ -11,10 +11,12 @@ _OWN: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a folder of this process only where that is unset."""
+    """spark.checkpoint.dir; a folder of this process only in local mode, where that is unset: on a cluster no executor would see it."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     app = spark.sparkContext.applicationId
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = _OWN.setdefault(app, tempfile.mkdtemp(prefix="citeloom-tables-"))
     return f"{folder.rstrip('/')}/citeloom-tables/{app}"
 
@@ -24,3 +26,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """df written in buckets of key, so that joins and groups on key, round after round, move only their other side. The catalogue keeps no entry of it."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"citeloom_{name}_{uuid.uuid4().hex}".replace("-", "_")
+    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", f"{shared_folder(spark)}/{table}").saveAsTable(table)
+    out = spark.table(table)
+    out.schema  # resolved before the entry goes; the files stay in the application's folder
+    spark.sql(f"DROP TABLE {table}")
+    return out

@@ -76,3 +76,63 @@ def test_path_lengths_go_to_the_end(spark, tmp_path):
     spark.createDataFrame(rows, "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
     got = {r["d"]: r["n"] for r in QUERIES["path_lengths_all"](spark, str(tmp_path)).collect()}
     assert got == {1: 3, 2: 1, 3: 1, 4: 1, 5: 1, 6: 1}
+
+
+def all_pairs(nodes, length):
+    """Distances and numbers of shortest paths, by relaxing until nothing changes; edges have positive lengths."""
+    inf = float("inf")
+    d = {(s, t): 0.0 if s == t else inf for s in nodes for t in nodes}
+    for _ in nodes:
+        for (a, b), w in length.items():
+            for s in nodes:
+                for u, v in ((a, b), (b, a)):
+                    d[s, v] = min(d[s, v], d[s, u] + w)
+    count = {}
+    for s in nodes:
+        for t in sorted(nodes, key=lambda t: d[s, t]):
+            if d[s, t] < inf:
+                before = [(a if b == t else b) for (a, b), w in length.items() if t in (a, b) and abs(d[s, (a if b == t else b)] + w - d[s, t]) < 1e-9]
+                count[s, t] = 1 if s == t else sum(count[s, u] for u in before)
+    return d, count
+
+
+def test_betweenness_of_nodes_and_edges_against_all_pairs(spark):
+    random.seed(8)
+    pairs = sorted({tuple(sorted(random.sample(range(12), 2))) for _ in range(24)})
+    e = spark.createDataFrame([(a, b, 1 + (a * b) % 3, 1.0) for a, b in pairs], "a long, b long, w long, wn double")
+    nodes = sorted({x for p in pairs for x in p})
+    n = len(nodes)
+    for weight in (None, "w"):
+        length = {(a, b): 1.0 if weight is None else 1 / (1 + (a * b) % 3) for a, b in pairs}
+        d, count = all_pairs(nodes, length)
+        node = {v: sum(count[s, v] * count[v, t] / count[s, t] for s in nodes for t in nodes if len({s, t, v}) == 3 and (s, t) in count and abs(d[s, v] + d[v, t] - d[s, t]) < 1e-9) / ((n - 1) * (n - 2)) for v in nodes}
+        got = {r["node"]: r["betweenness"] for r in G.betweenness(e, n, weight=weight).collect()}
+        assert all(abs(got[v] - node[v]) < 1e-9 for v in nodes)
+        edge = {(a, b): sum(count[s, u] * count[v, t] / count[s, t] for s in nodes for t in nodes for u, v in ((a, b), (b, a)) if s != t and (s, t) in count and abs(d[s, u] + w + d[v, t] - d[s, t]) < 1e-9) / (n * (n - 1)) for (a, b), w in length.items()}
+        found = {(r["a"], r["b"]): r["betweenness"] for r in G.betweenness(e, n, weight=weight, of="edge").collect()}
+        assert set(found) == set(edge) and all(abs(found[k] - edge[k]) < 1e-9 for k in edge)
+
+
+def test_communities_hold_together(spark):
+    random.seed(5)
+    pairs = {tuple(sorted(random.sample(range(60), 2))) for _ in range(90)}
+    found = {r["node"]: r["label"] for r in G.communities(edges(spark, pairs)).collect()}
+    for label in set(found.values()):
+        inside = {n for n, x in found.items() if x == label}
+        start = next(iter(inside))
+        reach, todo = {start}, [start]
+        while todo:
+            v = todo.pop()
+            for a, b in pairs:
+                for u, w in ((a, b), (b, a)):
+                    if u == v and w in inside and w not in reach:
+                        reach.add(w)
+                        todo.append(w)
+        assert reach == inside
+
+
+def test_rank_until_it_settles(spark):
+    e = edges(spark, [(1, 2), (2, 3), (3, 1), (3, 4)])
+    far = {r["node"]: r["rank"] for r in G.pagerank(e, iterations=200).collect()}
+    got = {r["node"]: r["rank"] for r in G.pagerank(e, iterations=200, tolerance=1e-9).collect()}
+    assert all(abs(far[k] - got[k]) < 1e-6 for k in far)
