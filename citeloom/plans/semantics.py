@@ -156,16 +156,24 @@ def precision_at_k(spark, d):
     return E.precision(p, t, 2).select("k", "hits", "predictions", *[F.round(c, 8).alias(c) for c in ("micro", "macro", "recall")])
 
 
+def _partners(spark, d, years):
+    """Pairs (x, y), both ways, of vectors' parts that share an order of the years."""
+    o = table(spark, d, "orders").where(F.year("o_orderdate").between(*years)).select(F.col("o_orderkey").alias("l_orderkey"))
+    known = _emb(spark, d).select(F.col("vec_id").alias("l_partkey"))
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_partkey").distinct().join(o, "l_orderkey").join(known, "l_partkey")
+    return li.select("l_orderkey", F.col("l_partkey").alias("x")).join(li.select("l_orderkey", F.col("l_partkey").alias("y")), "l_orderkey").where("x <> y").select("x", "y").distinct()
+
+
 @query("phantom_eval")
 def phantom_eval(spark, d):
-    """Similar vectors that are not near on the chain of ids, against pairs of one label."""
+    """Similar parts that share no order up to 1998, against those that share one later; drawn baselines beside them."""
     e = _emb(spark, d)
-    near = S.neighbours(e, "vec_id", "embedding", 10)
-    met = G.distances(_chain(spark, d), limit=2).select("x", "y")
-    realised = near.select("x", "y").join(e.select(F.col("vec_id").alias("x"), F.col("label").alias("lx")), "x").join(e.select(F.col("vec_id").alias("y"), F.col("label").alias("ly")), "y").where("lx = ly").select("x", "y").distinct()
-    weight = e.select(F.col("vec_id").alias("node"), (F.col("label") + 1.0).alias("weight"))
-    out = E.phantom_evaluation(near, met, realised, (5, 10), weight)
-    return out.select("method", "k", "hits", "predictions", F.round("micro", 6).alias("micro"), F.round("macro", 6).alias("macro"))
+    near = S.neighbours(e, "vec_id", "embedding", 20)
+    met = _partners(spark, d, (1900, 1998))
+    later = _partners(spark, d, (1999, 2100)).join(met, ["x", "y"], "left_anti")
+    weight = met.groupBy(F.col("x").alias("node")).agg(F.count("*").alias("weight"))
+    out = E.phantom_evaluation(near, met, later, (5, 10), weight, e.select(F.col("vec_id").alias("node"), F.col("label").alias("group")))
+    return out.select("method", "k", "hits", "predictions", F.round("micro", 6).alias("micro"), F.round("macro", 6).alias("macro"), F.round("lift", 6).alias("lift"))
 
 
 _TOK = "t AS (SELECT lang, list_filter(regexp_extract_all(lower(text), '([A-Za-z][A-Za-z\\-]{2,})', 1), lambda w: w NOT IN (" + ", ".join(f"'{w}'" for w in M.STOP) + ")) AS w FROM documents WHERE lang IS NOT NULL), terms AS (SELECT lang, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM t), c AS (SELECT lang, term, count(*) AS tf FROM terms GROUP BY lang, term)"

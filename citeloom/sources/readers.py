@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import asyncio
 import json
+import threading
 import time
 from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -88,16 +91,32 @@ def point_rows(rows: DataFrame, key: str, wanted: Sequence) -> DataFrame:
 
 
 class Pace:
-    """Calls at least 1 / rate seconds apart in one process."""
+    """Calls at least 1 / rate seconds apart in one process, from all its threads."""
 
     def __init__(self, rate: float, clock=time.monotonic, sleep=time.sleep):
-        self.gap, self.clock, self.sleep, self.last = 1.0 / rate, clock, sleep, None
+        self.gap, self.clock, self.sleep, self.next, self.lock = 1.0 / rate, clock, sleep, None, threading.Lock()
 
     def wait(self) -> None:
-        now = self.clock()
-        if self.last is not None and now - self.last < self.gap:
-            self.sleep(self.gap - (now - self.last))
-        self.last = self.clock()
+        with self.lock:
+            now = self.clock()
+            at = now if self.next is None else max(now, self.next)
+            self.next = at + self.gap
+        if at > now:
+            self.sleep(at - now)
+
+
+class AsyncPace:
+    """The same for the tasks of one event loop."""
+
+    def __init__(self, rate: float):
+        self.gap, self.next = 1.0 / rate, None
+
+    async def wait(self) -> None:
+        now = asyncio.get_running_loop().time()
+        at = now if self.next is None else max(now, self.next)
+        self.next = at + self.gap
+        if at > now:
+            await asyncio.sleep(at - now)
 
 
 class Busy(Exception):
@@ -108,6 +127,14 @@ class Busy(Exception):
         self.after = after
 
 
+class Missing(Exception):
+    """A server has nothing under this key (404)."""
+
+
+class Denied(Exception):
+    """A server does not give this key's value out (401, 403)."""
+
+
 def with_retries(call: Callable[[], object], attempts: int = 5, first: float = 2.0, most: float = 60.0, patience: float = 120.0, sleep=time.sleep):
     """call(), again after a growing pause when it is busy or fails; a stated pause is kept up to patience."""
     for i in range(attempts):
@@ -120,8 +147,9 @@ def with_retries(call: Callable[[], object], attempts: int = 5, first: float = 2
             sleep(min(after, patience) if after is not None else min(most, first * 2**i))
 
 
-def paged_source(name: str, schema: StructType, fetch: Callable[[dict, int], Sequence[tuple]], queries: Sequence[dict], rate: float = 8.0, most_pages: int | None = None) -> type[DataSource]:
-    """A data source that reads pages until an empty one: fetch(query, page) gives rows. Each query is a partition; register the class and read format(name)."""
+def _source(source: str, schema: StructType, pages: Callable[[dict, Pace], Iterator[Sequence[tuple]]], queries: Sequence[dict], rate: float) -> type[DataSource]:
+    """A data source with a partition for each query, whose rows pages gives; all partitions together keep to rate, whatever runs at once."""
+    queries = list(queries)
 
     class Part(InputPartition):
         def __init__(self, query: dict):
@@ -132,19 +160,13 @@ def paged_source(name: str, schema: StructType, fetch: Callable[[dict, int], Seq
             return [Part(q) for q in queries]
 
         def read(self, part) -> Iterator[tuple]:
-            pace, page = Pace(rate), 0
-            while most_pages is None or page < most_pages:
-                pace.wait()
-                rows = with_retries(lambda: fetch(part.query, page))
-                if not rows:
-                    return
+            for rows in pages(part.query, Pace(rate / max(1, len(queries)))):
                 yield from rows
-                page += 1
 
     class Paged(DataSource):
         @classmethod
         def name(cls) -> str:
-            return name
+            return source
 
         def schema(self):
             return schema
@@ -155,17 +177,96 @@ def paged_source(name: str, schema: StructType, fetch: Callable[[dict, int], Seq
     return Paged
 
 
-def looked_up(keys: DataFrame, key: str, fetch: Callable[[str], object], result: str, rate: float = 9.5) -> DataFrame:
-    """keys with the value that fetch gives for each (null where it has none)."""
+def paged_source(name: str, schema: StructType, fetch: Callable[[dict, int], Sequence[tuple]], queries: Sequence[dict], rate: float = 8.0, most_pages: int | None = None) -> type[DataSource]:
+    """Pages by number until an empty one: fetch(query, page) gives rows. Register the class and read format(name)."""
+
+    def pages(query: dict, pace: Pace) -> Iterator[Sequence[tuple]]:
+        page = 0
+        while most_pages is None or page < most_pages:
+            pace.wait()
+            rows = with_retries(lambda: fetch(query, page))
+            if not rows:
+                return
+            yield rows
+            page += 1
+
+    return _source(name, schema, pages, queries, rate)
+
+
+def cursor_source(name: str, schema: StructType, fetch: Callable[[dict, str, list[str]], tuple[Sequence[tuple], str | None]], queries: Sequence[dict], rate: float = 8.0, first: str = "*") -> type[DataSource]:
+    """Pages by cursor: fetch(query, cursor, columns) gives rows and the next cursor, or none at the end. columns are those of schema, for the server to select; a query's own entries are for it to filter by."""
+    columns = schema.fieldNames()
+
+    def pages(query: dict, pace: Pace) -> Iterator[Sequence[tuple]]:
+        cursor: str | None = first
+        while cursor:
+            pace.wait()
+            rows, cursor = with_retries(lambda at=cursor: fetch(query, at, columns))
+            if not rows:
+                return
+            yield rows
+
+    return _source(name, schema, pages, queries, rate)
+
+
+def offset_source(name: str, schema: StructType, fetch: Callable[[dict, int, int], tuple[Sequence[tuple], int | None]], queries: Sequence[dict], rate: float = 5.0, size: int = 200, cap: int | None = None) -> type[DataSource]:
+    """Pages by offset: fetch(query, offset, size) gives rows and the total, if known. Ends with an empty page, at the total, or after cap rows of a query."""
+
+    def pages(query: dict, pace: Pace) -> Iterator[Sequence[tuple]]:
+        got, total = 0, None
+        while (total is None or got < total) and (cap is None or got < cap):
+            pace.wait()
+            want = size if cap is None else min(size, cap - got)
+            rows, total = with_retries(lambda at=got, n=want: fetch(query, at, n))
+            if not rows:
+                return
+            yield rows[:want]
+            got += len(rows)
+
+    return _source(name, schema, pages, queries, rate)
+
+
+def looked_up(keys: DataFrame, key: str, fetch: Callable[[str], object], result: str, rate: float = 9.5, tasks: int = 4, in_flight: int = 3) -> DataFrame:
+    """keys with value, what fetch gives for each, and status: ok, missing (fetch raised Missing), denied (Denied) or failed (after the retries).
+
+    tasks of them look up at once, each with in_flight calls at a time, and share rate; so the service sees no more than rate
+    calls a second, however large the cluster.
+    """
     kind = keys.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pace = Pace(rate)
-        for b in batches:
-            out = []
-            for k in b[key]:
-                pace.wait()
-                out.append(with_retries(lambda k=k: fetch(k), attempts=3))
-            yield pd.DataFrame({key: b[key], "value": pd.Series(out, dtype=object)})
-
-    return keys.select(key).mapInPandas(run, f"{key} {kind}, value {result}")
+        pace = Pace(rate / tasks)
+
+        def paced(k):
+            pace.wait()
+            return fetch(k)
+
+        def one(k):
+            try:
+                return with_retries(lambda: paced(k), attempts=3), "ok"
+            except Missing:
+                return None, "missing"
+            except Denied:
+                return None, "denied"
+            except (Busy, OSError):
+                return None, "failed"
+
+        with ThreadPoolExecutor(in_flight) as pool:
+            for b in batches:
+                got = list(pool.map(one, b[key]))
+                yield pd.DataFrame({key: b[key], "value": pd.Series([v for v, _ in got], dtype=object), "status": [s for _, s in got]})
+
+    return keys.select(key).repartition(tasks).mapInPandas(run, f"{key} {kind}, value {result}, status string")
+
+
+def first_answer(numbers: Sequence[str], fetch: Callable[[str], str | None], pace: Pace) -> str | None:
+    """What fetch gives for the first of a source's numbers that it knows."""
+    for n in numbers:
+        pace.wait()
+        try:
+            found = with_retries(lambda n=n: fetch(n))
+        except Missing:
+            continue
+        if found is not None:
+            return found
+    return None

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,6 +77,22 @@ def remaining(rows: DataFrame, table: Versions, key: str) -> DataFrame:
     return rows if done is None else todo(rows, done, key)
 
 
+def write_once(table: Versions, rows: Callable[[], DataFrame], force: bool = False) -> DataFrame:
+    """The table's complete version if it has one; else, or by force, a new one of rows(), which is not called otherwise."""
+    done = table.read()
+    return done if done is not None and not force else table.write(rows())
+
+
+#: What a lookup has settled; other keys are asked again.
+SETTLED = ("ok", "missing", "denied")
+
+
+def unsettled(rows: DataFrame, answers: Versions, key: str) -> DataFrame:
+    """Rows whose key has no settled answer (key, value, status) yet: neither a value nor a refusal."""
+    done = answers.read()
+    return rows if done is None else todo(rows, done.where(F.col("status").isin(*SETTLED)), key)
+
+
 def quantised(rows: DataFrame, key: str, vector: str) -> DataFrame:
     """key, scale and int8 vector, as a table of bytes instead of a flat file."""
     return rows.select(key, V.scale(F.col(vector)).cast("float").alias("scale"), V.to_int8(F.col(vector)).alias("q"))

@@ -81,3 +81,96 @@ def test_global_order(spark):
     assert all(r["n"] == r["id"] for r in global_row_number(df, [F.col("id")], "n", 0).collect())
     last = running_share(df, [F.col("id")], "w").orderBy(F.desc("id")).first()
     assert abs(last["share"] - 1) < 1e-12
+
+
+def test_cursor_and_offset_sources(spark):
+    schema = StructType([StructField("q", StringType()), StructField("n", IntegerType())])
+
+    def by_cursor(query, cursor, columns):
+        at = 0 if cursor == "*" else int(cursor)
+        assert columns == ["q", "n"]
+        rows = [(query["q"], n) for n in range(at, min(at + 3, query["n"]))]
+        return rows, str(at + 3) if at + 3 < query["n"] else None
+
+    spark.dataSource.register(R.cursor_source("fake_cursor", schema, by_cursor, [{"q": "a", "n": 7}, {"q": "b", "n": 0}], rate=5000.0))
+    assert sorted(map(tuple, spark.read.format("fake_cursor").load().collect())) == [("a", n) for n in range(7)]
+
+    def by_offset(query, offset, size):
+        return [(query["q"], n) for n in range(offset, min(offset + size, query["n"]))], query.get("total")
+
+    queries = [{"q": "capped", "n": 50, "total": 50}, {"q": "short", "n": 4}, {"q": "total", "n": 30, "total": 8}]
+    spark.dataSource.register(R.offset_source("fake_offset", schema, by_offset, queries, rate=5000.0, size=4, cap=10))
+    got = sorted(map(tuple, spark.read.format("fake_offset").load().collect()))
+    assert got == [("capped", n) for n in range(10)] + [("short", n) for n in range(4)] + [("total", n) for n in range(8)]
+
+
+def test_lookups_keep_what_was_refused(spark, tmp_path):
+    def fetch(k):
+        if k == "none":
+            raise R.Missing
+        if k == "closed":
+            raise R.Denied
+        if k == "down":
+            raise ValueError if k == "x" else R.Busy(0.0)
+        return len(k)
+
+    keys = spark.createDataFrame([(k,) for k in ("none", "closed", "down", "abc", "de")], "k string")
+    got = R.looked_up(keys, "k", fetch, "long", rate=10_000.0)
+    table = W.Versions(spark, str(tmp_path / "answers"))
+    table.write(got)
+    said = {r["k"]: (r["value"], r["status"]) for r in table.read().collect()}
+    assert said == {"none": (None, "missing"), "closed": (None, "denied"), "down": (None, "failed"), "abc": (3, "ok"), "de": (2, "ok")}
+    assert [r["k"] for r in W.unsettled(keys, table, "k").collect()] == ["down"]
+
+
+def test_steps_are_done_once(spark, tmp_path):
+    table, calls = W.Versions(spark, str(tmp_path / "step")), []
+
+    def rows():
+        calls.append(1)
+        return spark.range(len(calls))
+
+    assert W.write_once(table, rows).count() == 1 and W.write_once(table, rows).count() == 1 and len(calls) == 1
+    assert W.write_once(table, rows, force=True).count() == 2
+
+
+def test_first_answer_and_paces():
+    import asyncio
+    import time
+
+    def fetch(n):
+        if n == "1":
+            raise R.Missing
+        return None if n == "2" else f"S{n}"
+
+    assert R.first_answer(["1", "2", "3", "4"], fetch, R.Pace(10_000.0)) == "S3" and R.first_answer(["1"], fetch, R.Pace(10_000.0)) is None
+
+    async def three():
+        pace = R.AsyncPace(50.0)
+        begin = time.monotonic()
+        await asyncio.gather(*[pace.wait() for _ in range(3)])
+        return time.monotonic() - begin
+
+    assert asyncio.run(three()) >= 0.04
+
+
+def test_quantiles_of_groups_against_sorting(spark):
+    import random
+
+    from citeloom.operators.ordering import group_quantiles, tie_rank
+
+    r = random.Random(2)
+    rows = [(r.choice("aab") if r.random() < 0.9 else None, float(r.randint(0, 9)) if r.random() < 0.95 else None) for _ in range(500)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {x["g"]: (x["m"], x["q"], x["low"]) for x in group_quantiles(df, ["g"], "v", {"m": 0.5, "q": 0.9, "low": 0.5}, lower=("low",)).collect()}
+    for g in ("a", "b", None):
+        v = sorted(x for k, x in rows if k == g and x is not None)
+
+        def at(q, v=v):
+            i = q * (len(v) - 1)
+            return v[int(i)] + (v[min(int(i) + 1, len(v) - 1)] - v[int(i)]) * (i - int(i))
+
+        assert all(abs(a - b) < 1e-9 for a, b in zip(got[g], (at(0.5), at(0.9), v[(len(v) - 1) // 2]), strict=True))
+    for x in tie_rank(df, "v", "k").collect():
+        if x["v"] is not None:
+            assert x["k"] == 1 + sum(y is not None and y > x["v"] for _, y in rows)
