@@ -205,3 +205,48 @@ def trajectories(points: DataFrame, key: str, period: str, x: str, y: str, least
     g = g.withColumn("efficiency", F.when(F.col("path") > 1e-6, F.col("net") / F.col("path")).otherwise(0.0))
     kind = F.when(F.col("path") < stay, "stayer").when(F.col("efficiency") >= drift, "drifter").when(F.col("net") < net, "returner").otherwise("switcher")
     return g.withColumn("class", kind)
+
+
+def period_centroids(rows: DataFrame, key: str, period: str, vector: str, weight: Column, last: int, least_rows: int = 2, least_periods: int = 2) -> DataFrame:
+    """Centroids of (key, period) up to the period last that have least_rows rows, of keys with least_periods of them."""
+    c = centroids(rows.where(F.col(period) <= last), [key, period], vector, weight).where(F.col("n") >= least_rows)
+    c = materialize(c, "period-centroids")
+    return c.join(c.groupBy(key).agg(F.count("*").alias("_p")).where(F.col("_p") >= least_periods).select(key), key)
+
+
+def mean_cosines(rows: DataFrame, label: str, vector: str) -> DataFrame:
+    """label, n, and the mean cosine of its vectors to one another (inside) and to all others (outside): |sum|^2 and products of sums, without pairs. Labels of one vector are left out."""
+    u = rows.select(label, V.unit(F.col(vector), 0.0).alias("_u"))
+    c = materialize(centroids(u, [label], "_u", F.lit(1.0)), "label-sums")
+    sums = c.select(label, "n", F.col("n").alias("_n"), F.transform("centroid", lambda x: x * F.col("n")).alias("_s"))
+    one = materialize(centroids(u.withColumn("_one", F.lit(1)), ["_one"], "_u", F.lit(1.0)), "all-sums").select(F.transform("centroid", lambda x: x * F.col("n")).alias("_t"), F.col("n").alias("_all"))
+    j = sums.join(F.broadcast(one)).where("n > 1")  # one row
+    own = V.dot(F.col("_s"), F.col("_s"))
+    return j.select(label, "n", ((own - F.col("n")) / (F.col("n") * (F.col("n") - 1))).alias("inside"), F.when(F.col("_all") > F.col("n"), (V.dot(F.col("_s"), F.col("_t")) - own) / (F.col("n") * (F.col("_all") - F.col("n")))).alias("outside"))
+
+
+def drilldown(rows: DataFrame, key: str, vector: str, x, y, edges: DataFrame, hops: int = 5) -> DataFrame:
+    """x, y, their cosine, their distance within hops steps (or null) and the rank of y among the neighbours of x."""
+    from .graph import distances
+
+    u = rows.select(key, V.unit(F.col(vector), 0.0).alias("_u"))
+    own = u.where(F.col(key) == x).select(F.col("_u").alias("_x"))
+    scored = u.where(F.col(key) != x).join(F.broadcast(own)).select(key, F.round(V.dot(F.col("_x"), F.col("_u")), 12).alias("cosine"))  # one row
+    it = scored.where(F.col(key) == y).select(F.col("cosine").alias("_c"))
+    above = scored.join(F.broadcast(it)).where((F.col("cosine") > F.col("_c")) | ((F.col("cosine") == F.col("_c")) & (F.col(key) < y))).agg((F.count("*") + 1).alias("rank"))  # one row
+    sources = rows.sparkSession.createDataFrame([(x,)], ["x"]).select(F.col("x").cast(rows.schema[key].dataType))
+    far = distances(edges, sources, hops).where(F.col("y") == y).agg(F.min("d").alias("d"))
+    return it.join(F.broadcast(above)).join(F.broadcast(far)).select(F.lit(x).cast(rows.schema[key].dataType).alias("x"), F.lit(y).cast(rows.schema[key].dataType).alias("y"), F.col("_c").alias("cosine"), "d", "rank")
+
+
+def cosine_histogram(rows: DataFrame, key: str, vector: str, pairs: int, seed: int = 0, bins: int = 20) -> DataFrame:
+    """Counts of the cosines of about pairs hash-drawn pairs in equal bins of [-1, 1], with their median. A sampling operator: each row draws its share of partners among all."""
+    from .ordering import global_row_number, group_quantiles
+
+    u = materialize(global_row_number(rows.select(key, V.unit(F.col(vector), 0.0).alias("u")), [F.col(key)], "at", 0), "numbered-units")
+    n = u.count()
+    times = max(1, -(-pairs // max(1, n)))
+    tries = u.select(F.col("at").alias("a"), F.col("u").alias("x"), F.explode(F.sequence(F.lit(1), F.lit(times))).alias("i")).withColumn("at", F.pmod(F.xxhash64("a", "i", F.lit(seed)), F.lit(max(1, n))))
+    c = materialize(tries.join(u.select("at", F.col("u").alias("y")), "at").where("at <> a").select(V.dot(F.col("x"), F.col("y")).alias("c")).withColumn("one", F.lit(1)), "cosines")
+    counts = c.groupBy(F.least(F.lit(bins - 1), F.floor((F.col("c") + 1) / 2 * bins)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    return counts.join(F.broadcast(group_quantiles(c, ["one"], "c", {"median": 0.5}).select("median")))  # one row

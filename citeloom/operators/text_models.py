@@ -86,6 +86,7 @@ def truncated_svd(weights: DataFrame, doc: str, k: int, terms_bound: int = 4000)
         g[r["i"], r["j"]] = g[r["j"], r["i"]] = r["g"]
     values, axes = np.linalg.eigh(g)
     top = axes[:, ::-1][:, :k]
+    top = top * np.sign(top[np.abs(top).argmax(0), range(top.shape[1])])  # the largest loading of an axis is positive
 
     def place(batches):
         import pandas as pd

@@ -73,10 +73,10 @@ def hybrid_blend(spark, d):
 
 @query("whiten")
 def whiten(spark, d):
-    """Whitened vectors' lengths."""
+    """Whitened vectors, a row a component."""
     e = _emb(spark, d)
     w = S.fit_whitening(e, "embedding")
-    return S.apply_matrix(e, "embedding", w, "white").select("vec_id", F.round(V.norm(F.col("white")), 4).alias("length"))
+    return S.apply_matrix(e, "embedding", w, "white").select("vec_id", F.posexplode("white").alias("i", "x")).withColumn("x", F.round("x", 6))
 
 
 @query("project_2d")
@@ -89,7 +89,7 @@ def project_2d(spark, d):
 def discriminant_axes(spark, d):
     e = _emb(spark, d)
     axes = S.discriminants(e, "embedding", "label", 2)
-    return S.apply_matrix(e, "embedding", lambda m: m @ axes, "at").select("vec_id", F.round(F.abs(F.get("at", F.lit(0))), 4).alias("x"))
+    return S.apply_matrix(e, "embedding", lambda m: m @ axes, "at").select("vec_id", F.round(F.abs(F.get("at", F.lit(0))), 6).alias("x"), F.round(F.abs(F.get("at", F.lit(1))), 6).alias("y"))
 
 
 @query("reviewer_rank", "WITH q AS (SELECT list_transform(range(1, 65), lambda i: CASE WHEN i = 1 THEN 1.0 / (1.0 + 1e-8) ELSE 0.0 END) AS q) SELECT vec_id, round(CAST(embedding[1] AS DOUBLE) / (1.0 + 1e-8), 6) AS score FROM embeddings ORDER BY CAST(embedding[1] AS DOUBLE) DESC, vec_id LIMIT 10")
@@ -221,7 +221,7 @@ def svd_documents(spark, d):
     rows = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
     c = M.term_counts(rows.withColumnRenamed("l_suppkey", "doc"), "doc", F.array("p_name"))
     w = M.tfidf(c, c.select("doc").distinct().count(), "doc", 1, 1.0)
-    return M.truncated_svd(w, "doc", 4).select("doc", F.round(V.norm(F.col("coordinates")), 6).alias("length"))
+    return M.truncated_svd(w, "doc", 4).select("doc", F.posexplode("coordinates").alias("i", "x")).withColumn("x", F.round("x", 6))
 
 
 @query("same_group_pool", "WITH g AS (SELECT s_suppkey AS node, s_nationkey AS grp FROM supplier), near AS (SELECT DISTINCT a.l_suppkey AS x, b.l_suppkey AS y FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey <> b.l_suppkey) SELECT DISTINCT a.node AS x, b.node AS y FROM g a JOIN g b ON a.grp = b.grp AND a.node <> b.node WHERE (a.node, b.node) NOT IN (SELECT (x, y) FROM near)")
@@ -230,3 +230,53 @@ def same_group_pool(spark, d):
     li = table(spark, d, "lineitem").select("l_orderkey", F.col("l_suppkey")).distinct()
     near = li.select("l_orderkey", F.col("l_suppkey").alias("x")).join(li.select("l_orderkey", F.col("l_suppkey").alias("y")), "l_orderkey").where("x <> y").select("x", "y").distinct()
     return E.shared_group_pool(s, near)
+
+
+@query("cosine_by_label", f"WITH {_UNIT}, x AS (SELECT label, unnest(v) AS x, unnest(range(0, len(v))) AS i FROM u), s AS (SELECT label, i, sum(x) AS s FROM x GROUP BY label, i), n AS (SELECT label, count(*) AS n FROM u GROUP BY label), q AS (SELECT s.label, any_value(n) AS n, (sum(s * s) - any_value(n)) / (any_value(n) * (any_value(n) - 1)) AS inside FROM s JOIN n ON s.label = n.label GROUP BY s.label HAVING any_value(n) > 1), t AS (SELECT i, sum(s) AS t FROM s GROUP BY i), a AS (SELECT (SELECT sum(n) FROM n) AS n, (SELECT sum(t * t) FROM t) AS tt) SELECT q.label, q.n, round(inside, 6) AS inside, round((SELECT (sum(s.s * (t.t - s.s))) FROM s JOIN t ON s.i = t.i WHERE s.label = q.label) / (q.n * ((SELECT n FROM a) - q.n)), 6) AS outside FROM q")
+def cosine_by_label(spark, d):
+    """The mean cosine of vectors to others of their label and to those of other labels, from sums of unit vectors: no pairs are made."""
+    return S.mean_cosines(_emb(spark, d), "label", "embedding").select("label", "n", F.round("inside", 6).alias("inside"), F.round("outside", 6).alias("outside"))
+
+
+@query("pair_drilldown", f"WITH {_KNN}, {_CHAIN} SELECT p.vec_id AS x, q.vec_id AS y, round(list_sum(list_transform(range(1, len(p.v) + 1), lambda i: p.v[i] * q.v[i])), 6) AS cosine, (SELECT d FROM dist WHERE x = 7 AND y = 9) AS d, (SELECT CAST(count(*) + 1 AS BIGINT) FROM s WHERE x = 7 AND (s.s > (SELECT s FROM s WHERE x = 7 AND y = 9) OR (s.s = (SELECT s FROM s WHERE x = 7 AND y = 9) AND s.y < 9))) AS rank FROM u p, u q WHERE p.vec_id = 7 AND q.vec_id = 9")
+def pair_drilldown(spark, d):
+    """Two members: their cosine, their distance on the graph, and the place of one among the other's neighbours."""
+    return S.drilldown(_emb(spark, d), "vec_id", "embedding", 7, 9, _chain(spark, d), 2).select("x", "y", F.round("cosine", 6).alias("cosine"), "d", "rank")
+
+
+@query("reviewer_centroids", "WITH w AS (SELECT v.vec_id, v.label, (1.0 + ln(1 + vec_id)) * pow(0.5, greatest(0, 2000 - (1990 + vec_id % 12)) / 6.0) / (1 + vec_id % 4) AS w, embedding FROM embeddings v), e AS (SELECT label, w, unnest(embedding) AS x, unnest(range(0, len(embedding))) AS i FROM w) SELECT label, i, round(sum(w * CAST(x AS DOUBLE)) / sum(w), 8) AS m FROM e GROUP BY label, i")
+def reviewer_centroids(spark, d):
+    """Centroids weighted by damped count, recency and the share of each of the kept authors."""
+    from ..functions.text import damped_weight, recency_weight
+
+    k = F.col("vec_id")
+    weight = damped_weight(k) * recency_weight((F.lit(1990) + k % 12).cast("int"), 2000) / (1 + k % 4)
+    c = S.centroids(_emb(spark, d), ["label"], "embedding", weight)
+    return c.select("label", F.posexplode("centroid").alias("i", "m")).select("label", F.col("i").cast("long").alias("i"), F.round("m", 8).alias("m"))
+
+
+@query("period_centroids", "WITH p AS (SELECT label, CAST(floor((1985 + vec_id % 30) / 5.0) * 5 AS INTEGER) AS period, vec_id, embedding FROM embeddings), b AS (SELECT label, period FROM p WHERE period <= 2005 GROUP BY 1, 2 HAVING count(*) >= 2), k AS (SELECT label FROM b GROUP BY label HAVING count(*) >= 2), e AS (SELECT p.label, p.period, 1.0 + ln(1 + vec_id) AS w, unnest(embedding) AS x, unnest(range(0, len(embedding))) AS i FROM p JOIN b ON p.label = b.label AND p.period = b.period WHERE p.label IN (SELECT label FROM k)) SELECT label, period, i, round(sum(w * CAST(x AS DOUBLE)) / sum(w), 8) AS m FROM e GROUP BY label, period, i")
+def period_centroids(spark, d):
+    """Centroids of five-year bins up to 2005 with two rows or more, of labels with two such bins or more."""
+    from ..functions.text import damped_weight, year_bin
+
+    rows = _emb(spark, d).withColumn("period", year_bin((F.lit(1985) + F.col("vec_id") % 30).cast("int")))
+    c = S.period_centroids(rows, "label", "period", "embedding", damped_weight(F.col("vec_id")), 2005)
+    return c.select("label", "period", F.posexplode("centroid").alias("i", "m")).select("label", "period", F.col("i").cast("long").alias("i"), F.round("m", 8).alias("m"))
+
+
+@query("positional_join", "WITH p AS (SELECT l_partkey AS k, count(*) AS n FROM lineitem GROUP BY l_partkey) SELECT count(vec_id) AS found, count(*) - count(vec_id) AS missing, CAST(sum(CASE WHEN vec_id IS NOT NULL THEN n END) AS BIGINT) AS rows FROM p LEFT JOIN embeddings ON vec_id = k")
+def positional_join(spark, d):
+    """Keys to vectors; those without one are left out and counted."""
+    p = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("k")).agg(F.count("*").alias("n"))
+    j = p.join(_emb(spark, d).select(F.col("vec_id").alias("k"), F.lit(True).alias("has")), "k", "left")
+    return j.agg(F.count("has").alias("found"), F.count_if(F.col("has").isNull()).alias("missing"), F.sum(F.when(F.col("has"), F.col("n"))).alias("rows"))
+
+
+@query("cosine_histograms")
+def cosine_histograms(spark, d):
+    """Cosines of hash-drawn pairs before and after whitening: counts in 20 bins, and the medians."""
+    e = _emb(spark, d)
+    white = S.apply_matrix(e, "embedding", S.fit_whitening(e, "embedding"), "white")
+    both = S.cosine_histogram(e, "vec_id", "embedding", 20_000).withColumn("stage", F.lit("before")).unionByName(S.cosine_histogram(white, "vec_id", "white", 20_000).withColumn("stage", F.lit("after")))
+    return both.select("stage", "bin", "n", F.round("median", 6).alias("median"))
