@@ -6,8 +6,8 @@ hex (32 or more lower-case hex digits). In each kind matches are leftmost and do
 dropped after matching.
 
 The worklist starts with the text. From each layer it unwraps percent escapes, \\uXXXX / \\xXX / &#...; escapes, base64
-runs (standard or URL alphabet, from each of the four places where a group may begin) and the gzip, zlib or bzip2 streams
-(all members) that base64 or escapes give, and adds what is new. Bytes that are no UTF-8 count as a character each. A layer that
+runs (standard or URL alphabet, also broken over lines, from each of the four places where a group may begin) and the gzip,
+zlib, bzip2 (all members) or bare deflate streams that base64 or escapes give, and adds what is new. Bytes that are no UTF-8 count as a character each. A layer that
 was seen before for this text (by digest of its characters and their places) is not visited again, so chains end even where a stream
 unpacks to itself. Every character of a layer keeps the range of the original text that it comes from: escapes map to
 their own characters, base64 to its groups, compressed data to its whole run. Found spans are given in the original text;
@@ -52,6 +52,9 @@ _ESCAPE_BYTE = re.compile(r"(?:\\x|\\u00|\\U000000|&#[xX](?=[0-9A-Fa-f]{1,2};))(
 _VISIBLE, _LINE = re.compile(r"[!-~]+"), re.compile(r"[ -~\x80-\xff]+")
 _SHORT = {"a": 7, "b": 8, "f": 12, "n": 10, "r": 13, "t": 9, "v": 11, "0": 0}
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: The same over several lines: all but the last are of 16 characters or more; the breaks may be written as \n.
+_WRAPPED = re.compile(r"(?:[A-Za-z0-9+/_-]{16,}(?:\r?\n|(?:\\r)?\\n)[\x20\t]*)+[A-Za-z0-9+/_-]+={0,2}")
+_WRAP = re.compile(r"(?:\r?\n|(?:\\r)?\\n)[\x20\t]*")
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -67,24 +70,32 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 class Layer:
-    """A text whose character i comes from [start[i], stop[i]) of the original; None: it is the original."""
+    """A text whose character i comes from [start[i], stop[i]) of the original; None: it is the original; numbers: all of it comes from [start, stop)."""
 
-    def __init__(self, text: str, start: np.ndarray | None = None, stop: np.ndarray | None = None):
+    def __init__(self, text: str, start: np.ndarray | int | None = None, stop: np.ndarray | int | None = None):
         self.text, self.start, self.stop = text, start, stop
 
     def place(self, i: int, j: int) -> tuple[int, int]:
         """Where [i, j) comes from."""
-        return (i, j) if self.start is None else (int(self.start[i:j].min()), int(self.stop[i:j].max()))
+        if self.start is None:
+            return i, j
+        if isinstance(self.start, int):
+            return self.start, self.stop
+        return int(self.start[i:j].min()), int(self.stop[i:j].max())
 
     def places(self, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
         if self.start is None:
             at = np.arange(i, j)
             return at, at + 1
+        if isinstance(self.start, int):
+            return np.full(j - i, self.start), np.full(j - i, self.stop)
         return self.start[i:j], self.stop[i:j]
 
     def digest(self) -> bytes:
         h = hashlib.blake2b(self.text.encode("utf-8", "surrogatepass"), digest_size=16)
-        if self.start is not None:
+        if isinstance(self.start, int):
+            h.update(b"%d:%d" % (self.start, self.stop))
+        elif self.start is not None:
             h.update(self.start.tobytes())
             h.update(self.stop.tobytes())
         return h.digest()
@@ -104,6 +115,9 @@ def _characters(data: bytes) -> tuple[str, list[int]] | None:
 
 def _replaced(layer: Layer, pattern: re.Pattern, unwrap) -> Layer | None:
     """The whole layer with each run of escapes unwrapped. unwrap gives (text, [(from, to) in the run]) or None to leave it."""
+    if isinstance(layer.start, int):
+        new = pattern.sub(lambda m: m[0] if (got := unwrap(m[0])) is None else got[0], layer.text)
+        return Layer(new, layer.start, layer.stop) if new != layer.text else None
     parts, starts, stops, at, changed = [], [], [], 0, False
     for m in pattern.finditer(layer.text):
         got = unwrap(m[0])
@@ -242,10 +256,17 @@ def _byte_layers(data: bytes, starts: np.ndarray, stops: np.ndarray, last: int,
         oversize += [(first, end)] * long
         for got in map(_characters, inner):
             if got is not None:
-                out.append(Layer(got[0], np.full(len(got[0]), first), np.full(len(got[0]), end)))
+                out.append(Layer(got[0], first, end))
         for x in inner:  # a stream further on in what a stream holds
             if any(m.start() for m in _MAGIC.finditer(x)):
                 out += _byte_layers(x, np.full(len(x), first), np.full(len(x), end), end, most, oversize, every, done, head=False)
+    if head and not out and len(data) > 8 and not data.isascii():
+        text, kinds, long = _bare(data, most)
+        first = int(starts.min())
+        if text is not None:
+            out.append(Layer(text, first, last))
+        every |= {(first, k, last) for k in kinds}
+        oversize += [(first, last)] * long
     got = _characters(data)
     if got is not None:
         ends = np.cumsum(got[1])
@@ -253,20 +274,60 @@ def _byte_layers(data: bytes, starts: np.ndarray, stops: np.ndarray, last: int,
     return out
 
 
+def _bare(data: bytes, most: int) -> tuple[str | None, set[int], int]:
+    """The text of a deflate stream without a header, if data is a whole one that holds text; beyond most bytes the kinds found in it, and 1."""
+    work = zlib.decompressobj(-15)
+
+    def pieces() -> Iterator[bytes]:
+        rest = data
+        while rest and not work.eof:
+            try:
+                out = work.decompress(rest, _PIECE)
+            except zlib.error:
+                return
+            if not out:
+                return
+            yield out
+            rest = work.unconsumed_tail
+
+    parts, size, chunks = [], 0, pieces()
+    for part in chunks:
+        parts.append(part)
+        size += len(part)
+        if size > most:
+            return None, _stream_kinds(itertools.chain(parts, chunks), most), 1
+    if not work.eof or len(work.unused_data) > 4:
+        return None, set(), 0
+    got = _characters(b"".join(parts))
+    return (None if got is None else got[0]), set(), 0
+
+
 def _base64_layers(layer: Layer, most: int, oversize: list, every: set, done: set) -> list[Layer]:
-    """What the base64 runs hold, read from each of the four places where a group of characters may begin."""
+    """What the base64 runs hold, in one line or several, read from each of the four places where a group of characters may begin."""
     out = []
     for m in _BASE64.finditer(layer.text):
-        run = m[0].rstrip("=").translate({45: 43, 95: 47})
         a, b = layer.places(m.start(), m.end())
-        for skip in range(4):
-            body = run[skip:]
-            body = body[: len(body) // 4 * 4] if len(body) % 4 == 1 else body
-            data = base64.b64decode(body + "=" * (-len(body) % 4))
-            if not (_packed(data) or _MAGIC.search(data) or _STRETCH.search(data)):
-                continue
-            at, top = np.arange(len(data)), skip + len(body) - 1
-            out += _byte_layers(data, a[np.minimum(skip + at * 4 // 3, top)], b[np.minimum(skip + (at * 4 + 6) // 3 - 1, top)], int(b.max()), most, oversize, every, done)
+        out += _decoded(m[0], a, b, most, oversize, every, done)
+    for m in _WRAPPED.finditer(layer.text) if "\n" in layer.text or "\\n" in layer.text else ():
+        keep = np.ones(len(m[0]), bool)
+        for x in _WRAP.finditer(m[0]):
+            keep[x.start() : x.end()] = False
+        a, b = layer.places(m.start(), m.end())
+        out += _decoded(_WRAP.sub("", m[0]), a[keep], b[keep], most, oversize, every, done)
+    return out
+
+
+def _decoded(run: str, a: np.ndarray, b: np.ndarray, most: int, oversize: list, every: set, done: set) -> list[Layer]:
+    out = []
+    run = run.rstrip("=").translate({45: 43, 95: 47})
+    for skip in range(4):
+        body = run[skip:]
+        body = body[: len(body) // 4 * 4] if len(body) % 4 == 1 else body
+        data = base64.b64decode(body + "=" * (-len(body) % 4))
+        if data.isascii() and not (_packed(data) or _MAGIC.search(data) or _STRETCH.search(data)):
+            continue
+        at, top = np.arange(len(data)), skip + len(body) - 1
+        out += _byte_layers(data, a[np.minimum(skip + at * 4 // 3, top)], b[np.minimum(skip + (at * 4 + 6) // 3 - 1, top)], int(b.max()), most, oversize, every, done)
     return out
 
 

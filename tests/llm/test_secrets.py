@@ -79,6 +79,34 @@ def test_long_streams_are_searched_whole():
     assert S.all_spans(base64.b64encode(deep).decode())[1]
 
 
+def test_wrapped_lines_and_bare_deflate():
+    def bare(d):
+        work = zlib.compressobj(9, zlib.DEFLATED, -15)
+        return work.compress(d) + work.flush()
+
+    filler = b" and more words of this kind to fill some lines, so that there are several of them, none of which is secret"
+    lines = lambda d, sep: sep.join(re.findall(".{1,64}", base64.b64encode(d).decode()))
+    packs = [lambda d: d, gzip.compress, zlib.compress, bare]
+    wraps = [lines(p(filler + PLAIN.encode() + filler), sep) for p in packs for sep in ("\n", "\r\n", "\n    ", "\\n")]
+    wraps += [base64.b64encode(bare(PLAIN.encode() * 3)).decode(), urllib.parse.quote(base64.b64encode(bare(filler + PLAIN.encode())).decode(), safe="")]
+    for w in wraps:
+        _, every, _ = S.all_spans("é before " + w + " after")
+        assert every and all(9 <= i < j <= 9 + len(w) for i, k, j in every), w
+    log = base64.b64encode(bare(b"a log line\n" * 40_000 + PLAIN.encode())).decode()
+    assert (2, 0, 2 + len(log)) in S.all_spans("x " + log, max_unpacked=100_000)[1]
+
+
+def test_packed_layers_take_no_memory_a_character():
+    import tracemalloc
+
+    run = base64.b64encode(gzip.compress(b"a log line of some length\n" * 500_000 + PLAIN.encode())).decode()
+    tracemalloc.start()
+    assert (0, 0, len(run)) in S.all_spans(run)[1]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 160e6  # 13 MB unpacked: some copies, but no table of places (16 bytes a character)
+
+
 def test_frames(spark):
     rows = [(1, f"x {PLAIN} y", "c"), (None, None, "c"), (2, "", "c"), (1, f"x {PLAIN} y", "c"), (3, base64.b64encode(PLAIN.encode()).decode(), "c")]
     df = spark.createDataFrame(rows, "doc_id long, text string, spans string")
