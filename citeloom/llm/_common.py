@@ -20,17 +20,18 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 WORD = r"[^\x20\x09-\x0D]+"
 _SHIPPED: set[str] = set()
 _OWN_SHARED: dict[str, str] = {}
-#: While a table is written: small batches between Spark and Python, so that rows of whole sets and texts stay within memory;
-#: and the shuffle files of the write go when it has ended, not when the driver happens to collect its garbage.
-_WRITING = {
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
-    "spark.sql.execution.arrow.maxBytesPerBatch": str(1 << 24),
-    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
-}
+#: Batches between Spark and Python, where the session says nothing about them: small, as whole texts and sets of unknown
+#: length pass, which are held several times over on both sides.
+_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(1 << 24)}
+#: While a table is written, the shuffle files of the write go when it has ended, not when the driver happens to collect its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, so that workers can import it from any folder."""
+    """Send this package to the executors once per application, so that workers can import it from any folder; and hold the session's Arrow batches small."""
+    for key, small in _BATCHES.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, small)
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
@@ -61,14 +62,12 @@ def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: it survives lost executors and cuts lineage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    kept = {k: spark.conf.get(k, None) for k in _WRITING}
+    kept = spark.conf.get(_CLEANUP, None)
     try:
-        for k, v in _WRITING.items():
-            spark.conf.set(k, v)
+        spark.conf.set(_CLEANUP, "true")
         df.write.option("compression", codec).parquet(path)
     finally:
-        for k, v in kept.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+        spark.conf.unset(_CLEANUP) if kept is None else spark.conf.set(_CLEANUP, kept)
     return spark.read.schema(df.schema).parquet(path)
 
 

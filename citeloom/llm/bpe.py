@@ -33,7 +33,7 @@ class Encoder:
         for token, i in vocabulary.ids.items():
             self.matches.add_word(token, (len(token), i))
         self.matches.make_automaton()
-        self.fits = Memo(self._fits, most=300_000)
+        self.fits = Memo(self._fits, most=100_000)
         self.memo = Memo(self.encode_piece)
 
     def _fits(self, pair: tuple[int, ...]) -> bool:

@@ -48,7 +48,7 @@ class Shingler:
 
     def __init__(self, words: int):
         self.words = words
-        self.memo = Memo(lambda w: int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little"), most=100_000)
+        self.memo = Memo(lambda w: int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little"))
 
     def __call__(self, text: str | None) -> np.ndarray:
         """A-Z are lowered; words are separated by space and bytes 9 to 13; a text of fewer words is one shingle."""
@@ -378,6 +378,7 @@ def unsettled(lists: DataFrame, label: DataFrame | None) -> DataFrame:
     rest = materialize(rest, "rest")
     state = {"size": F.count("*"), "weight": F.sum("n"), "low": F.min("root"), "high": F.max("root")}
     mixed = rest.groupBy("v").agg(*[x.alias(name) for name, x in state.items()]).where("low <> high").select("v", "size", "weight")
+    mixed = materialize(mixed, "mixed")  # apart, so that a long list can be split in the join
     return materialize(rest.join(mixed, "v").select("v", "key", "n", "root", "size", "weight"), "lists")
 
 

@@ -110,16 +110,24 @@ def default_path() -> str:
 
 
 class Memo(dict):
-    """piece -> value; computed when missing, kept while short and few, so that memory stays bounded."""
+    """key -> value; computed when missing and kept while the key is short.
 
-    def __init__(self, compute, most: int = 100_000, longest: int = 64):
+    At most entries the older generation goes and this one takes its place; what is asked for again comes back, so that
+    frequent keys stay and memory stays bounded by twice most entries.
+    """
+
+    def __init__(self, compute, most: int = 60_000, longest: int = 64):
         super().__init__()
         self.compute, self.most, self.longest = compute, most, longest
+        self.old: dict = {}
 
-    def __missing__(self, piece):
-        value = self.compute(piece)
-        if len(piece) <= self.longest:
+    def __missing__(self, key):
+        value = self.old.pop(key, None)
+        if value is None:
+            value = self.compute(key)
+        if len(key) <= self.longest:
             if len(self) >= self.most:
+                self.old = dict(self)
                 self.clear()
-            self[piece] = value
+            self[key] = value
         return value
