@@ -54,12 +54,30 @@ def _unmarked() -> tuple[str, str]:
 _MARKED, _PLAIN = _unmarked()
 
 
+# Greek and Cyrillic letters and what they are written as in Latin ones.
+GREEK = {
+    "α": "a", "β": "b", "γ": "g", "δ": "d", "ε": "e", "ζ": "z", "η": "e", "θ": "th", "ι": "i", "κ": "k", "λ": "l", "μ": "m", "ν": "n", "ξ": "x",
+    "ο": "o", "π": "p", "ρ": "r", "σ": "s", "ς": "s", "τ": "t", "υ": "u", "φ": "ph", "χ": "kh", "ψ": "ps", "ω": "o",
+}
+CYRILLIC = {
+    "а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e", "ё": "io", "ж": "zh", "з": "z", "и": "i", "й": "i", "к": "k", "л": "l", "м": "m",
+    "н": "n", "о": "o", "п": "p", "р": "r", "с": "s", "т": "t", "у": "u", "ф": "f", "х": "kh", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "shch",
+    "ъ": "'", "ы": "y", "ь": "'", "э": "e", "ю": "iu", "я": "ia", "є": "ie", "і": "i", "ї": "yi", "ґ": "g",
+}
+_TWO = {k: v for k, v in {**PLAIN_LETTERS, **GREEK, **CYRILLIC}.items() if len(v) > 1}
+_ONE = {k: v for k, v in {**PLAIN_LETTERS, **GREEK, **CYRILLIC}.items() if len(v) == 1} | {c: GREEK[b] for c, b in zip("άέήίόύώϊϋΐΰ", "αεηιουωιυιυ", strict=True)}
+_FROM, _TO = _MARKED + "".join(_ONE), _PLAIN + "".join(_ONE.values())
+_LONG = "[" + "".join(_TWO) + "]"
+
+
 def unaccent(text: Column) -> Column:
-    """Lower-case text with Latin letters made plain; combining marks go."""
+    """Lower-case text in plain Latin letters: those with marks, Greek and Cyrillic ones are written out; combining marks go. Other scripts stay as they are."""
     out = F.lower(text)
-    for letter, two in PLAIN_LETTERS.items():
-        out = F.replace(out, F.lit(letter), F.lit(two))
-    return F.regexp_replace(F.translate(out, _MARKED, _PLAIN), r"\p{Mn}+", "")
+    long = out
+    for letter, two in _TWO.items():
+        long = F.replace(long, F.lit(letter), F.lit(two))
+    out = F.when(out.rlike(_LONG), long).otherwise(out)  # few texts need the replacements one by one
+    return F.regexp_replace(F.translate(out, _FROM, _TO), r"\p{Mn}+", "")
 
 
 def norm_title(title: Column) -> Column:

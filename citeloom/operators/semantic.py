@@ -250,3 +250,11 @@ def cosine_histogram(rows: DataFrame, key: str, vector: str, pairs: int, seed: i
     c = materialize(tries.join(u.select("at", F.col("u").alias("y")), "at").where("at <> a").select(V.dot(F.col("x"), F.col("y")).alias("c")).withColumn("one", F.lit(1)), "cosines")
     counts = c.groupBy(F.least(F.lit(bins - 1), F.floor((F.col("c") + 1) / 2 * bins)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
     return counts.join(F.broadcast(group_quantiles(c, ["one"], "c", {"median": 0.5}).select("median")))  # one row
+
+
+def movers(points: DataFrame, key: str, period: str, x: str, y: str, stay: float = 15.0, short: float = 5.0) -> DataFrame:
+    """key, mover and mover_source: Stayer or Mover by the path of three points or more (shape), else by that of two (bins), else Stayer (none)."""
+    g = trajectories(points, key, period, x, y, least=1, stay=stay)
+    kind = lambda limit: F.when(F.col("path") < limit, "Stayer").otherwise("Mover")
+    one, two = F.when(F.col("bins") >= 3, kind(stay)), F.when(F.col("bins") == 2, kind(short))
+    return g.select(key, F.coalesce(one, two, F.lit("Stayer")).alias("mover"), F.when(one.isNotNull(), "shape").when(two.isNotNull(), "bins").otherwise("none").alias("mover_source"))

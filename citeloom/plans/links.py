@@ -61,3 +61,37 @@ def key_audit(spark, d):
     n = members(spark, d, "l_partkey").groupBy(F.col("member").alias("key")).agg(F.count("*").alias("n"))
     k = n.join(table(spark, d, "part"), F.col("key") == F.col("p_partkey")).select("key", F.col("p_brand").alias("surname"), F.split("p_name", " ").alias("given"), "n", "p_size")
     return L.split_suspects(k.where("p_size % 10 < 5"), k.where("p_size % 10 >= 5"))
+
+
+@query("doi_split", "SELECT c_custkey % 3 <> 0 AS has_doi, count(*) AS n FROM customer GROUP BY 1")
+def doi_split(spark, d):
+    """Records with and without an identifier."""
+    doi = T.norm_doi(F.when(F.col("c_custkey") % 3 != 0, F.concat(F.lit("https://doi.org/10.7/"), F.col("c_custkey").cast("string"))).otherwise("nan"))
+    return table(spark, d, "customer").groupBy(doi.isNotNull().alias("has_doi")).agg(F.count("*").alias("n"))
+
+
+@query(
+    "records_by_doi",
+    """WITH r AS (SELECT o_orderkey AS seq, 'doi:10.1/x' || o_custkey AS paper_id, CASE WHEN o_orderkey % 4 <> 0 THEN CAST(floor(o_totalprice / 1000) AS BIGINT) END AS c, o_orderkey % 2 AS src FROM orders)
+SELECT paper_id, arg_min(c, src * 10000000000 + seq) FILTER (WHERE c IS NOT NULL) AS cited_by_count, count(*) AS records FROM r GROUP BY paper_id""",
+)
+def records_by_doi(spark, d):
+    """Raw records to papers: one a DOI, counts filled from later records, and how many records each has."""
+    o = table(spark, d, "orders")
+    k = F.col("o_custkey").cast("string")
+    author = F.struct(F.concat(F.lit("A"), k).alias("id"), F.concat(F.lit("Writer Number"), F.translate(k, "0123456789", "abcdefghij")).alias("name"), F.lit(None).cast("string").alias("orcid"), F.lit(None).cast("string").alias("position"), F.array().cast("array<string>").alias("institutions"))
+    raw = o.select(
+        F.col("o_orderkey").alias("seq"),
+        F.when(F.col("o_orderkey") % 2 == 0, "one").otherwise("two").alias("_source"),
+        F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("10.1/X"), k)).otherwise(F.concat(F.lit("10.1/x"), k)).alias("doi"),
+        F.concat(F.lit("A study of customer "), k).alias("title"),
+        F.year("o_orderdate").alias("year"),
+        F.col("o_orderpriority").alias("venue_slug"),
+        F.when(F.col("o_orderkey") % 4 != 0, F.floor(F.col("o_totalprice") / 1000)).alias("cited_by_count"),
+        F.lit(None).cast("string").alias("abstract"),
+        F.array(author).alias("authors"),
+        F.array().cast("array<string>").alias("concepts"),
+    )
+    papers = L.dedupe_records(raw, F.when(F.col("_source") == "one", 0).otherwise(1))["papers"]
+    n = raw.groupBy(F.concat(F.lit("doi:"), F.lower("doi")).alias("id")).agg(F.count("*").alias("records"))
+    return papers.select(F.lower("paper_id").alias("paper_id"), "cited_by_count").join(n, F.col("paper_id") == F.col("id")).drop("id")

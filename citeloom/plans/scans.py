@@ -84,3 +84,21 @@ def quantised_table(spark, d):
     s = V.scale(F.col("embedding"))
     back = V.from_int8(V.to_int8(F.col("embedding")), s)
     return e.select("vec_id", F.round(F.aggregate(F.zip_with(back, "embedding", lambda a, b: F.abs(a - b.cast("double"))), F.lit(0.0), lambda t, x: t + x), 6).alias("error"))
+
+
+@query("written_and_read", "SELECT n_nationkey, n_name, CASE WHEN n_nationkey % 2 = 0 THEN n_regionkey END AS region FROM nation")
+def written_and_read(spark, d):
+    """A column list as Parquet, then as JSON records with their nulls, and back."""
+    at = f"{shared_folder(spark)}/written-{uuid.uuid4().hex}"
+    n = table(spark, d, "nation").select("n_nationkey", "n_name", F.when(F.col("n_nationkey") % 2 == 0, F.col("n_regionkey")).alias("region"), F.lit("x").alias("left_out"))
+    writers.write_columns(n, f"{at}/columns", ["n_name", "region", "n_nationkey", "not_there"])
+    writers.write_records(spark.read.parquet(f"{at}/columns"), f"{at}/records")
+    return spark.read.schema("n_nationkey int, n_name string, region int").json(f"{at}/records")
+
+
+@query("enabled_entries", "SELECT 's' || n_nationkey AS slug, n_name AS name FROM nation WHERE n_nationkey % 4 <> 1")
+def enabled_entries(spark, d):
+    """Entries of a configuration, without those that are switched off."""
+    rows = table(spark, d, "nation").select("n_nationkey", "n_name").limit(1000).collect()  # a configuration, 1000 entries at most
+    entries = [{"slug": f"s{r['n_nationkey']}", "name": r["n_name"], **({"enabled": r["n_nationkey"] % 4 != 1} if r["n_nationkey"] % 2 else {})} for r in rows]
+    return readers.config_rows(spark, entries, "slug string, name string")

@@ -97,6 +97,34 @@ def reviewer_rank(spark, d):
     return S.rank_reviewers(_emb(spark, d), "vec_id", "embedding", [1.0] + [0.0] * 63, None).select("vec_id", F.round("score", 6).alias("score"))
 
 
+_DOT = "list_sum(list_transform(range(1, 65), lambda i: {0}[i] * {1}[i]))"
+
+
+@query(
+    "reviewer_rank_references",
+    f"""WITH r AS (SELECT list(m ORDER BY i) AS m FROM (SELECT i, avg(CAST(x AS DOUBLE)) AS m FROM (SELECT unnest(embedding) AS x, unnest(range(0, 64)) AS i FROM embeddings WHERE vec_id IN (3, 11, 12)) GROUP BY i)),
+ru AS (SELECT list_transform(m, lambda x: x / (sqrt({_DOT.format("m", "m")}) + 1e-8)) AS r FROM r), b AS (SELECT list_transform(range(1, 65), lambda i: 0.7 * (CASE WHEN i = 1 THEN 1.0 / (1.0 + 1e-8) ELSE 0.0 END) + 0.3 * r[i]) AS b FROM ru),
+q AS (SELECT list_transform(b, lambda x: x / (sqrt({_DOT.format("b", "b")}) + 1e-8)) AS q FROM b), v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings WHERE vec_id NOT IN (3, 11, 12, 20))
+SELECT vec_id, round({_DOT.format("v", "q")}, 6) AS score FROM v, q ORDER BY {_DOT.format("v", "q")} DESC, vec_id LIMIT 10""",
+)
+def reviewer_rank_references(spark, d):
+    """A query blended with reference works; their authors and a conflict are left out."""
+    e = _emb(spark, d)
+    refs = e.where(F.col("vec_id").isin(3, 11, 12))
+    free = e.where(~F.col("vec_id").isin(3, 11, 12, 20))
+    return S.rank_reviewers(free, "vec_id", "embedding", [1.0] + [0.0] * 63, refs).select("vec_id", F.round("score", 6).alias("score"))
+
+
+@query("group_centres", "WITH d AS (SELECT s_suppkey, s_nationkey, s_acctbal AS x, s_acctbal * 2 - s_suppkey AS y, greatest(1, count(l_orderkey)) AS w FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey AND l_quantity >= 50 GROUP BY ALL) SELECT s_nationkey, round(sum(x * w) / sum(w), 6) AS x, round(sum(y * w) / sum(w), 6) AS y, count(*) AS n FROM d GROUP BY s_nationkey")
+def group_centres(spark, d):
+    """Places of groups on a map: their members' places, weighted by degree, 1 at least."""
+    w = table(spark, d, "lineitem").where("l_quantity >= 50").groupBy("l_suppkey").agg(F.count("*").alias("w"))
+    s = table(spark, d, "supplier").join(w, F.col("s_suppkey") == F.col("l_suppkey"), "left")
+    at = s.select("s_nationkey", F.array(F.col("s_acctbal"), F.col("s_acctbal") * 2 - F.col("s_suppkey")).alias("at"), "w")
+    c = S.centroids(at, ["s_nationkey"], "at", F.greatest(F.lit(1), F.coalesce("w", F.lit(1))))
+    return c.select("s_nationkey", F.round(F.get("centroid", F.lit(0)), 6).alias("x"), F.round(F.get("centroid", F.lit(1)), 6).alias("y"), "n")
+
+
 _BINS = "p AS (SELECT user_id, CAST(floor((day(ts) - 1) / 5) AS INTEGER) AS period, avg(value) AS x, count(*) AS y FROM events GROUP BY 1, 2)"
 
 
@@ -280,3 +308,34 @@ def cosine_histograms(spark, d):
     white = S.apply_matrix(e, "embedding", S.fit_whitening(e, "embedding"), "white")
     both = S.cosine_histogram(e, "vec_id", "embedding", 20_000).withColumn("stage", F.lit("before")).unionByName(S.cosine_histogram(white, "vec_id", "white", 20_000).withColumn("stage", F.lit("after")))
     return both.select("stage", "bin", "n", F.round("median", 6).alias("median"))
+
+
+@query("feature_ablation")
+def feature_ablation(spark, d):
+    """Whole vectors, whitened ones and their first half against one set of draws."""
+    e = _emb(spark, d)
+    white = S.apply_matrix(e, "embedding", S.fit_whitening(e, "embedding"), "white")
+    near = lambda df, v: S.neighbours(df, "vec_id", v, 10)
+    configs = {"whole": near(e, "embedding"), "white": near(white, "white"), "half": near(e.withColumn("half", F.slice("embedding", 1, 32)), "half")}
+    met = _partners(spark, d, (1900, 1998))
+    later = _partners(spark, d, (1999, 2100)).join(met, ["x", "y"], "left_anti")
+    return E.ablation(configs, met, later, (5,)).select("method", "k", "hits", "predictions", F.round("micro", 6).alias("micro"), F.round("lift", 6).alias("lift"))
+
+
+@query("stays_until", f"WITH p AS (SELECT user_id, CAST(floor((day(ts) - 1) / 5) AS INTEGER) AS period FROM events), d AS (SELECT DISTINCT user_id, period FROM p WHERE period <= 3) SELECT user_id, count(*) AS bins, count(*) >= 3 AS rich FROM d GROUP BY user_id HAVING count(*) >= 2")
+def stays_until(spark, d):
+    """Periods up to a last one: members with two or more, and whether three are there for a shape."""
+    p = table(spark, d, "events").select("user_id", F.floor((F.dayofmonth("ts") - 1) / 5).cast("int").alias("period")).where("period <= 3").distinct()
+    return p.groupBy("user_id").agg(F.count("*").alias("bins")).where("bins >= 2").withColumn("rich", F.col("bins") >= 3)
+
+
+@query(
+    "typology",
+    f"""WITH {_BINS}, s AS (SELECT *, sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)) AS seg FROM p WINDOW w AS (PARTITION BY user_id ORDER BY period)), g AS (SELECT user_id, count(*) AS bins, coalesce(sum(seg), 0) AS path FROM s GROUP BY user_id),
+m AS (SELECT user_id, bins, path, CASE WHEN bins >= 3 THEN CASE WHEN path < 15 THEN 'Stayer' ELSE 'Mover' END END AS one, CASE WHEN bins = 2 THEN CASE WHEN path < 5 THEN 'Stayer' ELSE 'Mover' END END AS two FROM g)
+SELECT user_id, coalesce(one, two, 'Stayer') AS mover, CASE WHEN one IS NOT NULL THEN 'shape' WHEN two IS NOT NULL THEN 'bins' ELSE 'none' END AS mover_source FROM m""",
+)
+def typology(spark, d):
+    """Mover or stayer: by the whole path, else by two bins, else a stayer; with where it came from."""
+    p = table(spark, d, "events").groupBy("user_id", F.floor((F.dayofmonth("ts") - 1) / 5).cast("int").alias("period")).agg(F.avg("value").alias("x"), F.count("*").alias("y"))
+    return S.movers(p, "user_id", "period", "x", "y").select("user_id", "mover", "mover_source")

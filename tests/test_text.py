@@ -15,6 +15,12 @@ def test_names(spark):
     assert one(spark, "Çağla-Ünal O'Dwyer", "string", T.norm_name) == "cagla-unal o dwyer"
 
 
+def test_names_in_other_alphabets(spark):
+    rows = [("Пётр Щукин", "shchukin, piotr"), ("Анна Васильева", "eva, anna vasil"), ("Θάλεια Ψυχάρη", "psukhare, thaleia"), ("Юлія Їжак", "yizhak, iuliia")]
+    got = spark.createDataFrame([(n,) for n, _ in rows], "n string").select(T.last_first(F.col("n")).alias("k")).collect()
+    assert [r["k"] for r in got] == [k for _, k in rows]
+
+
 def test_identifiers(spark):
     assert one(spark, "https://orcid.org/0000-0001-2345-678x", "string", T.orcid) == "0000-0001-2345-678X"
     assert one(spark, "not-an-orcid", "string", T.orcid) is None
