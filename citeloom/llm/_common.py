@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import gc
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -37,7 +39,9 @@ def ship(spark: SparkSession) -> None:
         return
     top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     package = os.path.basename(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    path = os.path.join(tempfile.mkdtemp(), f"{package}.zip")  # the driver's file server hands it out
+    folder = tempfile.mkdtemp()
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, f"{package}.zip")  # the driver's file server hands it out as long as the driver runs
     with zipfile.ZipFile(path, "w") as z:
         for folder, _, names in os.walk(os.path.join(top, package)):
             for name in sorted(names):
@@ -49,11 +53,13 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where that is unset (tests), one of this process."""
+    """The folder of spark.checkpoint.dir; only in local mode (tests), where that is unset, one of this process: on a cluster no executor would see it."""
     conf = spark.sparkContext.getConf()
     folder = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     app = spark.sparkContext.applicationId
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = _OWN_SHARED.setdefault(app, tempfile.mkdtemp(prefix="citeloom-"))
     return f"{folder.rstrip('/')}/citeloom/{app}"
 

@@ -33,34 +33,77 @@ class Encoder:
         for token, i in vocabulary.ids.items():
             self.matches.add_word(token, (len(token), i))
         self.matches.make_automaton()
-        self.fits = Memo(self._fits, most=100_000)
+        #: What each token was merged from, and the rank of that merge; a lone symbol has none.
+        self.made = {a + b: (a, b, r) for (a, b), r in sorted(vocabulary.ranks.items(), key=lambda x: -x[1])}
+        rank = lambda t: self.made[t][2] if t in self.made else -1
+        if any(r <= max(rank(a), rank(b)) for a, b, r in self.made.values()):
+            raise ValueError("a merge stands before those that make its parts")
+        self.alone: dict[int, bool] = {}  # by token: its symbols merge into itself
+        self.pairs: dict[int, bool] = {}  # by last << 32 | token
         self.memo = Memo(self.encode_piece)
 
-    def _fits(self, pair: tuple[int, ...]) -> bool:
-        """Do the symbols of these tokens merge into just these tokens? Only a pair that crosses the border between them, or an inner order of merges that it upsets, can say no."""
-        tokens = [self.names[i] for i in pair]
-        parts = list("".join(tokens))
-        ranks = self.v.ranks
-        while len(parts) > 1:
-            best = min(((r, i) for i in range(len(parts) - 1) if (r := ranks.get((parts[i], parts[i + 1]))) is not None), default=None)
-            if best is None:
+    def stands(self, token: int) -> bool:
+        """Do the symbols of this token merge into itself?"""
+        known = self.alone.get(token)
+        if known is None:
+            known = self.alone[token] = merged(list(self.names[token]), self.v.ranks) == [self.names[token]]
+        return known
+
+    def fits(self, last: int, token: int) -> bool:
+        """Do the symbols of both, side by side, merge into just these two tokens? Each stands by itself.
+
+        Only a merge across the border could upset them: of what ends the first at some time and what starts the second
+        then, if its rank comes before the merges that take these two in (of equal ranks the leftmost goes first). Walked
+        back in time, from the whole tokens to the two symbols at the border.
+        """
+        key = last << 32 | token
+        known = self.pairs.get(key)
+        if known is not None:
+            return known
+        x, y, made, ranks = self.names[last], self.names[token], self.made, self.v.ranks
+        taken_x = taken_y = 1 << 62
+        left, right = made.get(x), made.get(y)
+        good = True
+        while True:
+            r = ranks.get((x, y))
+            if r is not None and r < taken_x and r <= taken_y:
+                good = False
                 break
-            parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
-        return parts == tokens
+            if left is None and right is None:
+                break
+            if right is None or (left is not None and left[2] > right[2]):
+                x, taken_x = left[1], left[2]
+                left = made.get(x)
+            else:
+                y, taken_y = right[0], right[2]
+                right = made.get(y)
+        if len(self.pairs) > 200_000:
+            self.pairs.clear()
+        self.pairs[key] = good
+        return good
 
     def encode_piece(self, piece: str) -> list[int]:
         symbols = self.v.symbols(piece)
-        last = [-1] * (len(symbols) + 1)  # the last token of each prefix
-        back = [0] * (len(symbols) + 1)  # where that token starts
-        fits = self.fits
-        for end, found in self.matches.iter(symbols):  # in order of their ends, longest first
-            if last[end + 1] >= 0:
+        size = len(symbols)
+        last = [-1] * (size + 1)  # the last token of each prefix
+        back = [0] * (size + 1)  # where that token starts
+        stands, fits, alone, pairs = self.stands, self.fits, self.alone, self.pairs
+        for end, (length, token) in self.matches.iter(symbols):  # in order of their ends, longest first
+            end += 1
+            if last[end] >= 0:
                 continue
-            size, token = found
-            start = end + 1 - size
-            if fits[(token,)] if start == 0 else last[start] >= 0 and fits[(last[start], token)]:
-                last[end + 1], back[end + 1] = token, start
-        ids, at = [], len(symbols)
+            start = end - length
+            if start:
+                before = last[start]
+                if before < 0:
+                    continue
+                good = pairs.get(before << 32 | token)
+                if not (fits(before, token) if good is None else good):
+                    continue
+            good = alone.get(token)
+            if stands(token) if good is None else good:
+                last[end], back[end] = token, start
+        ids, at = [], size
         while at > 0:
             ids.append(last[at])
             at = back[at]
@@ -81,21 +124,42 @@ class Encoder:
         return " ".join([self.v.shown[i] for i in ids or [] if i in self.v.shown])
 
 
+def merged(parts: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
+    """The symbols after all merges, one by one."""
+    while len(parts) > 1:
+        best = min(((r, i) for i in range(len(parts) - 1) if (r := ranks.get((parts[i], parts[i + 1]))) is not None), default=None)
+        if best is None:
+            break
+        parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
+    return parts
+
+
 class Digester:
     """Encodes a text and gives ids and decoded text as strings, put together from those of its distinct pieces."""
 
     def __init__(self, encoder: Encoder):
         self.encoder = encoder
-        self.ids = Memo(lambda p: " ".join(map(str, encoder.encode_piece(p))))
-        self.words = Memo(lambda ids: encoder.decode([int(i) for i in ids.split(" ")]), longest=400)
+        self.pieces = Memo(self._piece, most=120_000)
+
+    def _piece(self, piece: str) -> tuple[str, str]:
+        ids = self.encoder.encode_piece(piece)
+        return " ".join(map(str, ids)), self.encoder.decode(ids)
 
     def __call__(self, text: str | None) -> tuple[int, str, str]:
-        ids: list[str] = []
+        found: list[tuple[str, str]] = []
         for part, special in self.encoder.v.segments(text or ""):
-            ids += [str(self.encoder.v.special[part])] if special else map(self.ids.__getitem__, self.encoder.v.pieces(part))
-        joined = " ".join(ids)
-        decoded = " ".join(map(self.words.__getitem__, ids))
-        return joined.count(" ") + 1 if ids else 0, joined, decoded
+            if special:
+                i = self.encoder.v.special[part]
+                found.append((str(i), self.encoder.decode([i])))
+            else:
+                found += map(self.pieces.__getitem__, self.encoder.v.pieces(part))
+        ids = " ".join([x[0] for x in found])
+        return ids.count(" ") + 1 if found else 0, ids, " ".join([x[1] for x in found])
+
+
+def digester(spec: str) -> Digester:
+    """One per worker process, for as long as its tasks are those of this operator."""
+    return held(("digester", hash(spec)), lambda: Digester(encoder(spec)))
 
 
 def encoder(spec: str) -> Encoder:
@@ -129,7 +193,7 @@ def encode_with_digests(docs: DataFrame, text_col: str = "text", vocabulary: str
     spec = shared(docs.sparkSession, vocabulary)
 
     def make():
-        digest = Digester(encoder(spec.value))
+        digest = digester(spec.value)
 
         def work(texts):
             ids, rows = [], []
@@ -163,7 +227,7 @@ def encode_digests(docs: DataFrame, text_col: str = "text", vocabulary: str | No
     spec = shared(docs.sparkSession, vocabulary)
 
     def make():
-        digest = Digester(encoder(spec.value))
+        digest = digester(spec.value)
 
         def work(texts):
             rows = [(n, _sha(ids), _sha(words)) for n, ids, words in map(digest, texts)]

@@ -14,7 +14,7 @@ import heapq
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ._common import arrow_map, table
+from ._common import arrow_map, held, table
 from .vocabulary import Memo, Vocabulary, loaded, shared
 
 
@@ -51,7 +51,7 @@ class Counter:
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
-        self.memo = Memo(lambda p: len(s := vocabulary.symbols(p)) - count_merges(s, vocabulary.ranks))
+        self.memo = Memo(lambda p: len(s := vocabulary.symbols(p)) - count_merges(s, vocabulary.ranks), most=120_000)
 
     def __call__(self, text: str | None) -> int:
         if not text:
@@ -65,7 +65,7 @@ def token_counts(docs: DataFrame, text_col: str = "text", limit: int = 2048, voc
     spec = shared(docs.sparkSession, vocabulary)
 
     def make():
-        count = Counter(loaded(spec.value))
+        count = held(("counter", hash(spec.value)), lambda: Counter(loaded(spec.value)))
 
         def work(texts):
             tokens = [count(t) for t in texts]

@@ -9,7 +9,8 @@ candidates from sorted lists. Below it, it is pruned by length: only vectors wit
 part of the bucket. What is left is verified by its full integer product. First bounds come from the seed_rows longest
 vectors.
 
-Queries are a stated set; they go through in blocks of block_queries, each broadcast (a bounded size) against all rows.
+Queries are a stated set; they go through in blocks of block_queries, each broadcast (a bounded size) against all rows. The
+cost is one pass over the rows a block, and k rows a query and partition of the rows: made for few queries against many rows.
 
 Vectors are floor(scale * x) in integers; products are exact (Python integers where 2^53 could be passed). Ties go to the
 smaller id. Rows with a null id, a null vector, or a null or non-finite component take no part. Only vectors of a query's

@@ -49,7 +49,8 @@ class Vocabulary:
         kinds = [n["type"] for n in spec["normalizer"]["normalizers"]]
         if kinds != ["NFC", "Replace", "Lowercase"] or model["end_of_word_suffix"] != "</w>" or split["behavior"] != "Removed":
             raise ValueError("this reads vocabularies of lower-case words with a word-end mark")
-        self.split, self.other_split = regex.compile(split["pattern"]["Regex"]), _splitter(split["pattern"]["Regex"])
+        pattern = split["pattern"]["Regex"]
+        self.split, self.other_split = regex.compile(pattern), _splitter(pattern)
         self.alike: set[str] = set()  # characters met that both splitters class alike, and the others
         self.odd: set[str] = set()
         blank = spec["normalizer"]["normalizers"][1]

@@ -64,6 +64,49 @@ def test_components_equal_brute_force(spark):
         assert all(r["kept"] == (r["doc_id"] is None or r["doc_id"] == r["component_id"]) for r in got)
 
 
+def test_other_thresholds(spark):
+    rows = corpus(5, 60)
+    df = spark.createDataFrame([(d, t) for d, t in rows], "doc_id long, text string")
+    key = lambda x: (str(x[0]), x[1], str(x[2]))
+    for words, percent in ((3, 60), (5, 95)):
+        got = neardup.near_duplicates(df, words=words, percent=percent, hot_list=20, small_list=10).collect()
+        assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=key) == sorted(brute(rows, words, percent), key=key)
+
+
+def test_clashing_class_numbers_take_the_other_half(spark, monkeypatch):
+    rows = corpus(6, 20)
+    df = spark.createDataFrame([(d, t) for d, t in rows], "doc_id long, text string")
+    whole = neardup.set_key
+    monkeypatch.setattr(neardup, "set_key", lambda h: b"\x00" * 7 + bytes([whole(h)[0] % 8]) + whole(h)[8:])  # eight numbers for all
+    signed = [(i, len(s), neardup.set_key(s), s[: neardup.SKETCH].tobytes()) for i, s in ((d, neardup.Shingler(4)(t)) for d, t in rows)]
+    frame = spark.createDataFrame([(d, n, bytearray(k), bytearray(x)) for d, n, k, x in signed], "doc_id long, n_shingles long, set_key binary, sketch binary")
+    monkeypatch.setattr(neardup, "signatures", lambda *a, **k: frame)
+    clash = neardup.number_of(signed[0][2], set())
+    assert neardup.number_of(signed[0][2], {clash}) == int.from_bytes(signed[0][2][8:], "big", signed=True)
+    got = {r["k"] for r in frame.select(neardup._number([clash]).alias("k")).collect()}
+    assert got == {neardup.number_of(k, {clash}) for _, _, k, _ in signed}
+
+
+def test_hubs_of_many_pairs_are_dealt_out(spark):
+    star = spark.createDataFrame([(1, n) for n in range(2, 60)] + [(100, 101), (101, 102)], "a long, b long")
+    got = {r["key"]: r["root"] for r in neardup.components(star, spread=7).collect()}
+    assert got == {n: 1 for n in range(1, 60)} | {100: 100, 101: 100, 102: 100}
+    sets = spark.createDataFrame([(n, bytearray(np.arange(n, n + 3, dtype=np.uint64).tobytes())) for n in [*range(1, 60), 100, 101, 102]], "key long, set binary")
+    pairs = neardup.paired(star, sets, spread=7).collect()
+    assert sorted((r["a"], r["b"]) for r in pairs) == sorted((r["a"], r["b"]) for r in star.collect())
+    assert all(np.frombuffer(r["x"], np.uint64)[0] == r["a"] and np.frombuffer(r["y"], np.uint64)[0] == r["b"] for r in pairs)
+
+
+def test_without_bit_tables_all_pass(spark):
+    rows = spark.range(50).selectExpr("id", "xxhash64(id) AS h")
+    half = rows.where("id < 25").select("h")
+    few = neardup.KeyBits.of(half)
+    assert few is not None and neardup.KeyBits.of(half, most=10) is None
+    kept = {r["id"] for r in neardup.may_be(rows, "h", half).collect()}
+    rest = {r["id"] for r in neardup.may_be(rows, "h", half, among=False).collect()}
+    assert set(range(25)) <= kept and kept | rest == set(range(50)) and not kept & rest
+
+
 def test_one_of_each_group_stays(spark):
     rows = corpus(3, 30)
     df = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, kept string")

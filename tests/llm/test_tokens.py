@@ -50,6 +50,21 @@ def test_every_code_point_alone_in_a_word_and_side_by_side(library):
             assert e.decode(want.ids) == library.decode(want.ids, skip_special_tokens=False)
 
 
+def test_pairs_fit_as_merging_says():
+    with open(default_path(), encoding="utf-8") as f:
+        e = bpe.encoder(f.read())
+    random.seed(9)
+    ids = [i for i in random.sample(sorted(e.names), 6000) if e.stands(i)]
+    short = [i for i in e.names if len(e.names[i]) <= 3 and e.stands(i)]
+    seen = set()
+    for _ in range(60_000):
+        a, b = random.choice(random.choice([ids, short])), random.choice(random.choice([ids, short]))
+        good = bpe.merged(list(e.names[a] + e.names[b]), e.v.ranks) == [e.names[a], e.names[b]]
+        assert e.fits(a, b) == good, (e.names[a], e.names[b])
+        seen.add(good)
+    assert seen == {True, False}
+
+
 def test_frames(spark, library):
     df = spark.createDataFrame([(1, t, "z") for t in texts()] + [(None, None, "z"), (1, "twice", "z"), (1, "twice", "z")], "doc_id long, text string, n_tokens string")
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
