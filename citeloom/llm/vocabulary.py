@@ -3,13 +3,15 @@
 Each piece of text becomes a string with one character per symbol: bytes stand as the file's visible characters and the
 last symbol of a word is moved to a private range, so that tokens and pieces are ordinary strings.
 
-Texts beyond ASCII are normalised by the library's own normalisers, and split by its splitter where they hold a character
-that the library's tables class unlike Python's (each character that is met is put to both once).
+Texts beyond ASCII go through the library's own normalisers and splitter where they are not composed, or hold a character
+that the library's tables treat unlike Python's (each character that is met is put to both once).
 """
 
 from __future__ import annotations
 
 import json
+import re
+import unicodedata
 
 import regex
 
@@ -51,7 +53,8 @@ class Vocabulary:
             raise ValueError("this reads vocabularies of lower-case words with a word-end mark")
         pattern = split["pattern"]["Regex"]
         self.split, self.other_split = regex.compile(pattern), _splitter(pattern)
-        self.alike: set[str] = set()  # characters met that both splitters class alike, and the others
+        self.ascii_split = re.compile(pattern.replace(r"\p{L}", "A-Za-z").replace(r"\p{N}", "0-9"))
+        self.alike: set[str] = set()  # characters met that both treat alike, and the others
         self.odd: set[str] = set()
         blank = spec["normalizer"]["normalizers"][1]
         self.normal = normalizers.Sequence([normalizers.NFC(), normalizers.Replace(Regex(blank["pattern"]["Regex"]), blank["content"]), normalizers.Lowercase()])
@@ -77,17 +80,18 @@ class Vocabulary:
     def pieces(self, text: str) -> list[str]:
         """The words, digits and signs of a text without special tokens."""
         if text.isascii():
-            return self.split.findall(text.lower())
-        text = self.normal.normalize_str(text)
+            return self.ascii_split.findall(text.lower())
         met = set(text) - self.alike
-        if met and not all([self._is_alike(c) for c in met]):
-            return [piece for piece, _ in self.other_split.pre_tokenize_str(text)]
-        return self.split.findall(text)
+        if (not met or all([self._is_alike(c) for c in met])) and unicodedata.is_normalized("NFC", text):
+            return self.split.findall(text.replace("Σ", "σ").lower())  # the library lowers letter by letter, so a final sigma stays plain
+        return [piece for piece, _ in self.other_split.pre_tokenize_str(self.normal.normalize_str(text))]
 
     def _is_alike(self, c: str) -> bool:
         if c not in self.odd:
-            probe = f"a{c}{c}a"  # a letter makes one piece of it, a digit four, a sign three, a blank two
-            own = [m.span() for m in self.split.finditer(probe)] == [at for _, at in self.other_split.pre_tokenize_str(probe)]
+            low = f"A{c}b".replace("Σ", "σ").lower()
+            probe = f"a{low[1:-1]}{low[1:-1]}a"  # a letter makes one piece of it, a digit four, a sign three, a blank two
+            own = unicodedata.category(c) != "Cn" and (c.isspace() or self.normal.normalize_str(f"A{c}b") == unicodedata.normalize("NFC", low))
+            own = own and [m.span() for m in self.split.finditer(probe)] == [at for _, at in self.other_split.pre_tokenize_str(probe)]
             (self.alike if own else self.odd).add(c)
         return c in self.alike
 
