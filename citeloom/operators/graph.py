@@ -111,6 +111,22 @@ def path_lengths(edges: DataFrame, sources: DataFrame, limit: int | None = None)
     return distances(edges, sources, limit).groupBy("d").agg(F.count("*").alias("n"))
 
 
+def largest_component(edges: DataFrame) -> DataFrame:
+    """The edges of the component with most nodes (ties: smallest node)."""
+    label = materialize(connected_components(edges), "components")
+    best = label.groupBy("component").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "component").limit(1).select("component")
+    return edges.join(label.join(F.broadcast(best), "component").select(F.col("node").alias("a")), "a", "left_semi")  # one row
+
+
+def path_distribution(edges: DataFrame, sources: int = 2000, seed: int = 0) -> DataFrame:
+    """d, n and the mean distance in the largest component, from sources of its nodes (those of lowest hash)."""
+    inner = materialize(largest_component(edges), "giant")
+    start = both_ways(inner).select("x").distinct().orderBy(F.xxhash64("x", F.lit(seed)), "x").limit(sources)
+    n = materialize(path_lengths(inner, start), "path-lengths")
+    mean = n.agg((F.sum(F.col("d") * F.col("n")) / F.sum("n")).alias("mean"))
+    return n.join(F.broadcast(mean)).select("d", "n", "mean")  # one row
+
+
 def propagate_labels(edges: DataFrame, seeds: DataFrame, rounds: int = 20) -> DataFrame:
     """node and label: unlabelled nodes take the label of the largest weight among labelled neighbours (ties: smaller label), in synchronous rounds until nothing changes. Seeds keep theirs."""
     both = materialize(both_ways(edges, "w"), "edges")

@@ -84,3 +84,17 @@ def group_quantiles(rows: DataFrame, groups: Sequence[str], value: str, wanted:
         part = F.max(x - F.floor(x))
         out.append((low if name in lower else low + (high - low) * part).alias(name))
     return picked.groupBy(*groups).agg(*out)
+
+
+def group_row_number(rows: DataFrame, groups: Sequence[str], order: Sequence[Column], name: str = "row", first: int = 1) -> DataFrame:
+    """rows with their position inside their group in order, which should end in a unique column. No task holds a group: positions are counted inside ranges and shifted."""
+    parts = _ranged(rows, [*[F.col(c) for c in groups], *order])
+    size = parts.groupBy(*groups, "_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each range that a group reaches
+    size = size.withColumn("_before", before).drop("_n")
+    same = F.lit(True)
+    for i, c in enumerate([*groups, "_part"]):
+        size = size.withColumnRenamed(c, f"_k{i}")
+        same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    at = parts.withColumn(name, F.row_number().over(Window.partitionBy("_part", *groups).orderBy(*order)))
+    return at.join(size, same).withColumn(name, (F.col(name) + F.col("_before") + (first - 1)).cast("long")).drop("_part", "_before", *[f"_k{i}" for i in range(len(groups) + 1)])

@@ -226,3 +226,9 @@ def community_heads(spark, d):
 
     j = G.degrees(_edges(spark, d)).join(_labels(spark, d), "node").select(F.col("label").cast("long").alias("label"), "node", "strength")
     return top_per_group(j, ["label"], [F.desc("strength"), F.col("node")], 5)
+
+
+@query("giant_paths")
+def giant_paths(spark, d):
+    """Distances in the largest component from up to 50 of its nodes, to the end."""
+    return G.path_distribution(_edges(spark, d), 50).select("d", "n", F.round("mean", 6).alias("mean"))

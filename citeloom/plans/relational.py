@@ -297,10 +297,14 @@ def percentiles(spark, d):
     return q.select("o_orderpriority", *[F.round(c, 4).alias(c) for c in ("p02", "p98", "lower_median")])
 
 
-@query("inverted_lookup", "SELECT c_mktsegment, max(c_custkey) AS last, md5(array_to_string(list_sort(list(c_custkey)), ',')) AS ids_md5 FROM customer GROUP BY c_mktsegment")
+@query("inverted_lookup", "SELECT c_mktsegment, c_custkey, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) - 1 AS place, max(c_custkey) OVER (PARTITION BY c_mktsegment) AS last FROM customer")
 def inverted_lookup(spark, d):
-    ids = F.concat_ws(",", F.transform(F.array_sort(F.collect_list("c_custkey")), lambda x: x.cast("string")))
-    return table(spark, d, "customer").groupBy("c_mktsegment").agg(F.max("c_custkey").alias("last"), F.md5(ids.cast("binary")).alias("ids_md5"))
+    """Names to their ids: a row an id with its place in the name's list, and the last id, which a single lookup gives."""
+    from ..operators.ordering import group_row_number
+
+    c = table(spark, d, "customer").select("c_mktsegment", "c_custkey")
+    last = c.groupBy("c_mktsegment").agg(F.max("c_custkey").alias("last"))
+    return group_row_number(c, ["c_mktsegment"], [F.col("c_custkey")], "place", 0).join(last, "c_mktsegment")
 
 
 @query("trained_before", "SELECT o_orderkey, CASE WHEN year(o_orderdate) <= 1998 THEN 'train' WHEN year(o_orderdate) BETWEEN 1999 AND 2001 THEN 'test' END AS part FROM orders WHERE year(o_orderdate) <= 2001")

@@ -339,3 +339,14 @@ def typology(spark, d):
     """Mover or stayer: by the whole path, else by two bins, else a stayer; with where it came from."""
     p = table(spark, d, "events").groupBy("user_id", F.floor((F.dayofmonth("ts") - 1) / 5).cast("int").alias("period")).agg(F.avg("value").alias("x"), F.count("*").alias("y"))
     return S.movers(p, "user_id", "period", "x", "y").select("user_id", "mover", "mover_source")
+
+
+@query(
+    "community_terms",
+    "WITH t AS (SELECT DISTINCT s_nationkey AS community, p_partkey, lower(p_name) AS title FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey), w AS (SELECT community, unnest(regexp_extract_all(title, '([A-Za-z][A-Za-z\\-]{2,})', 1)) AS term FROM t) SELECT community, term, count(*) AS tf FROM w WHERE term NOT IN (" + ", ".join(f"'{w}'" for w in M.STOP) + ") GROUP BY community, term",
+)
+def community_terms(spark, d):
+    """Terms of communities, where a title enters once a paper and community."""
+    j = table(spark, d, "lineitem").join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    once = j.select(F.col("s_nationkey").alias("community"), "p_partkey", "p_name").distinct()
+    return M.term_counts(once, "community", M.tokens(F.col("p_name")))

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -22,10 +23,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet and read it back, which cuts its lineage."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write df as Parquet and read it back, which cuts its lineage; the write's shuffle files go when it has ended."""
+    spark, path = df.sparkSession, f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    own = spark.conf.get(_CLEANUP, None)
+    try:
+        spark.conf.set(_CLEANUP, "true")
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if own is None else spark.conf.set(_CLEANUP, own)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:

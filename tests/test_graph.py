@@ -136,3 +136,16 @@ def test_rank_until_it_settles(spark):
     far = {r["node"]: r["rank"] for r in G.pagerank(e, iterations=200).collect()}
     got = {r["node"]: r["rank"] for r in G.pagerank(e, iterations=200, tolerance=1e-9).collect()}
     assert all(abs(far[k] - got[k]) < 1e-6 for k in far)
+
+
+def test_paths_of_the_largest_component(spark):
+    e = edges(spark, [(1, 2), (2, 3), (3, 4), (10, 11), (11, 12)])
+    got = G.path_distribution(e, 10).collect()
+    assert {r["d"]: r["n"] for r in got} == {1: 6, 2: 4, 3: 2} and abs(got[0]["mean"] - (6 + 8 + 6) / 12) < 1e-9
+
+
+def test_alignment_is_greedy(spark):
+    from citeloom.operators.profiles import greedy_alignment
+
+    rows = [("r1", "c1", 9), ("r1", "c2", 8), ("r2", "c1", 7), ("r2", "c2", 1), ("r3", "c3", 1)]
+    assert greedy_alignment(spark.createDataFrame(rows, "r string, c string, n int"), "r", "c", "n") == [("r1", "c1"), ("r2", "c2"), ("r3", "c3")]
