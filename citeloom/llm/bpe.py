@@ -28,9 +28,9 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
-        self.names = {i: t for t, i in vocabulary.ids.items()}
+        self.names = vocabulary.names
         self.matches = ahocorasick.Automaton()
-        for token, i in vocabulary.ids.items():
+        for i, token in self.names.items():
             self.matches.add_word(token, (len(token), i))
         self.matches.make_automaton()
         #: What each token was merged from, and the rank of that merge; a lone symbol has none.
@@ -77,7 +77,7 @@ class Encoder:
             else:
                 y, taken_y = right[0], right[2]
                 right = made.get(y)
-        if len(self.pairs) > 200_000:
+        if len(self.pairs) > 100_000:
             self.pairs.clear()
         self.pairs[key] = good
         return good
@@ -137,9 +137,9 @@ def merged(parts: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
 class Digester:
     """Encodes a text and gives ids and decoded text as strings, put together from those of its distinct pieces."""
 
-    def __init__(self, encoder: Encoder):
+    def __init__(self, encoder: Encoder, remembered: int = 120_000):
         self.encoder = encoder
-        self.pieces = Memo(self._piece, most=120_000)
+        self.pieces = Memo(self._piece, most=remembered)
 
     def _piece(self, piece: str) -> tuple[str, str]:
         ids = self.encoder.encode_piece(piece)
@@ -157,9 +157,9 @@ class Digester:
         return ids.count(" ") + 1 if found else 0, ids, " ".join([x[1] for x in found])
 
 
-def digester(spec: str) -> Digester:
-    """One per worker process, for as long as its tasks are those of this operator."""
-    return held(("digester", hash(spec)), lambda: Digester(encoder(spec)))
+def digester(spec: str, remembered: int = 120_000) -> Digester:
+    """One per worker process, for as long as its tasks are those of this operator. remembered: pieces of a generation of its memo, some 300 bytes each."""
+    return held(("digester", hash(spec), remembered), lambda: Digester(encoder(spec), remembered))
 
 
 def encoder(spec: str) -> Encoder:
@@ -188,12 +188,12 @@ def id_lists(ids: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32), pa.int32()))
 
 
-def encode_with_digests(docs: DataFrame, text_col: str = "text", vocabulary: str | None = None, keep: list[str] | None = None) -> DataFrame:
+def encode_with_digests(docs: DataFrame, text_col: str = "text", vocabulary: str | None = None, keep: list[str] | None = None, remembered: int = 120_000) -> DataFrame:
     """docs with token_ids, n_tokens, ids_sha256 and decoded_sha256, in one pass."""
     spec = shared(docs.sparkSession, vocabulary)
 
     def make():
-        digest = digester(spec.value)
+        digest = digester(spec.value, remembered)
 
         def work(texts):
             ids, rows = [], []

@@ -33,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from ._common import arrow_map, arrow_stream, enter, materialize, pieces_of, ship, table
 from .vocabulary import Memo
@@ -194,9 +195,9 @@ class KeyBits:
         return (bit(one) & bit(two)).astype(bool)
 
 
-def may_be(rows: DataFrame, hash_col: str, hashes: DataFrame, among: bool = True) -> DataFrame:
-    """The rows whose hash_col (64-bit hash) may be among hashes (column h), so that a join moves hardly any other; or, with among=False, the rest. All rows if a bit table would be too large."""
-    bits = KeyBits.of(hashes)
+def may_be(rows: DataFrame, hash_col: str, hashes: DataFrame, among: bool = True, bits: KeyBits | None = None) -> DataFrame:
+    """The rows whose hash_col (64-bit hash) may be among hashes (column h), so that a join moves hardly any other; or, with among=False, the rest. All rows if a bit table would be too large. bits: their table, if it is made already."""
+    bits = KeyBits.of(hashes) if bits is None else bits
     if bits is None:
         return rows if among else rows.limit(0)
     sent = rows.sparkSession.sparkContext.broadcast(bits)  # 16 MB at most
@@ -524,8 +525,20 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     hashes = touched.select(_id_hash("id").alias("h")).distinct()
     marked = docs.withColumn(mark, F.coalesce(_id_hash(id_col), F.lit(0)))
     whole = [F.col(f"`{c}`") for c in docs.columns]
-    stay = may_be(marked, mark, hashes, among=False).select(*whole)
-    keyed = arrow_map(may_be(marked, mark, hashes), [text_col], f"`{key}` binary", lambda: (lambda s: lambda texts: [[set_key(s(t)) for t in texts]])(Shingler(words)))
+    bits = KeyBits.of(hashes)
+    sent = docs.sparkSession.sparkContext.broadcast(bits)  # 16 MB at most
+    stay = may_be(marked, mark, hashes, among=False, bits=bits).select(*whole)
+
+    def keyed_ones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle, places = Shingler(words), None
+        for batch in pieces_of(batches):
+            if sent.value is not None:
+                batch = batch.filter(pa.array(sent.value.among(batch.column(mark).to_numpy()), pa.bool_()))
+            places = places or [i for i, c in enumerate(batch.schema.names) if c != mark]
+            keys = pa.array([set_key(shingle(t)) for t in batch.column(text_col).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in places], keys], names=[*[batch.schema.names[i] for i in places], key])
+
+    keyed = arrow_stream(marked, keyed_ones, StructType([*docs.schema.fields, StructField(key, BinaryType())]))
     gone = found.where(~F.col("kept")).select(F.col(id_col).alias("gone_id"), F.col("set_key").alias("gone_key")).distinct()
     d = keyed.alias("d")
     rest = d.join(gone, (F.col(f"d.`{id_col}`") == F.col("gone_id")) & (F.col(f"d.`{key}`") == F.col("gone_key")), "left_anti")

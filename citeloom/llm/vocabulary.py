@@ -61,7 +61,7 @@ class Vocabulary:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.visible = visible_bytes()
-        self.ids = {self._inner(t): i for t, i in model["vocab"].items()}
+        self.names = {i: self._inner(t) for t, i in model["vocab"].items()}
         self.shown = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in self.special.items()}
         self.ranks = {(self._inner(a, whole=False), self._inner(b)): r for r, (a, b) in enumerate(m if isinstance(m, list) else m.split(" ") for m in model["merges"])}
 
