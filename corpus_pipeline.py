@@ -59,9 +59,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, token_ids and the hashes of the ids and of the decoded text, a row for each row.
 
-    Null and empty texts have no tokens and the hashes of the empty string.
+    Null and empty texts have no tokens and the hashes of the empty string. Workers come here from four other stages, so
+    they remember fewer pieces than the operator would.
     """
-    ids = bpe.encode_with_digests(docs.select("doc_id", "lang", "source", "text"))
+    ids = bpe.encode_with_digests(docs.select("doc_id", "lang", "source", "text"), remembered=40_000)
     return ids.select("doc_id", "lang", "source", "n_tokens", "token_ids", "ids_sha256", "decoded_sha256")
 
 
