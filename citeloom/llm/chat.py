@@ -7,12 +7,12 @@ their end mark, which a loss would cover.
 A dialogue comes in one row a participant. Inside, its turns are gathered in stretches of stretch_turns consecutive turn
 numbers, rendered one by one and put together in order, so that no group grows with the length of a dialogue; only a
 dialogue of more than part_chars characters comes in several rows: part numbers them, and the masks of all its parts count
-from the dialogue's start, so that the parts joined make the whole rendering with its whole mask.
+from the dialogue's start, so that the parts joined make the whole rendering with its whole mask. Whether any dialogue has
+more than one stretch is looked up first, by turn numbers alone.
 
 Null text renders as empty, a null speaker as 'unknown'; turns that tie are ordered by speaker, then text, and repeated
-rows are all rendered. Rows with a null turn come first. Rows with a null dialogue id
-belong to no dialogue and give nothing, nor does a dialogue in which only context roles speak. Control marks inside a text
-are broken up ('<|' becomes '< |'). Extra columns are ignored, whatever their names. An empty table gives an empty result.
+rows are all rendered. Rows with a null turn come first. Rows with a null dialogue id belong to no dialogue and give
+nothing, nor does a dialogue in which only context roles speak. Control marks inside a text are broken up ('<|' becomes '< |'). Extra columns are ignored, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -56,7 +56,6 @@ def rotate_perspectives(turns: DataFrame, conv_col: str = "conv_id", turn_col: s
         span = F.array(F.struct(begin.cast("long").alias("start"), stop.cast("long").alias("stop")))
         return F.struct((stop + 1).cast("long").alias("at"), F.when(x["own"], F.concat(state["mask"], span)).otherwise(state["mask"]).alias("mask"))
 
-    one = parts.groupBy("conv_id").agg((F.count("*") == 1).alias("single"))
     shown = parts.join(speakers, "conv_id").select("conv_id", "perspective", "stretch", F.transform("said", rendered).alias("shown"))
     stretches = shown.select(
         "conv_id",
@@ -65,10 +64,15 @@ def rotate_perspectives(turns: DataFrame, conv_col: str = "conv_id", turn_col: s
         F.size("shown").cast("long").alias("n_turns"),
         F.concat_ws("", F.transform("shown", lambda x: F.concat(x["head"], x["tail"], F.lit("\n")))).alias("text"),
         F.aggregate("shown", start, step, lambda s: s["mask"]).alias("mask"),
-    ).join(one, "conv_id")
-    whole = stretches.where("single").select("conv_id", "perspective", F.lit(0).cast("long").alias("part"), "n_turns", "text", "mask")
+    )
+    first = F.coalesce("stretch", F.lit(-(1 << 62)))
+    broken = said.groupBy("conv_id").agg(F.min(first).alias("low"), F.max(first).alias("high")).where("low <> high").select("conv_id")
+    as_whole = [F.lit(0).cast("long").alias("part"), "n_turns", "text", "mask"]
+    if broken.isEmpty():  # a pass over the turn numbers; nearly always so
+        return stretches.select("conv_id", "perspective", *as_whole)
+    whole = stretches.join(broken, "conv_id", "left_anti").select("conv_id", "perspective", *as_whole)
     # stretches of longer dialogues: their places from their lengths alone, then together by part
-    several = stretches.where("not single")
+    several = stretches.join(broken, "conv_id", "left_semi")
     before = F.sum("size").over(Window.partitionBy("conv_id", "perspective").orderBy(F.asc_nulls_first("stretch")).rowsBetween(Window.unboundedPreceding, -1))
     places = several.select("conv_id", "perspective", "stretch", F.length("text").cast("long").alias("size")).withColumn("at", F.coalesce(before, F.lit(0)))
     places = places.select(F.col("conv_id").alias("c"), F.col("perspective").alias("p"), F.col("stretch").alias("s"), "at")
