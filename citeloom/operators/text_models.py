@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import materialize
+
 TOKEN = r"([A-Za-z][A-Za-z\-]{2,})"
 #: A short list of function words; callers give their own field's words.
 STOP = ("the", "and", "for", "with", "from", "this", "that", "are", "was", "were", "has", "have", "not", "its", "our", "their", "into", "between", "using", "based")
@@ -32,9 +34,10 @@ def term_counts(rows: DataFrame, doc: str, terms: Column) -> DataFrame:
 
 def tfidf(counts: DataFrame, docs: int, doc: str, least: int = 3, share: float = 0.5, sublinear: bool = False) -> DataFrame:
     """doc, term, weight: tf (or 1 + ln tf) times ln((1 + n) / (1 + df)) + 1, of unit length per document. Terms in fewer than least documents or more than share of them go."""
+    counts = materialize(counts, "term-counts")
     df = counts.groupBy("term").agg(F.count("*").alias("df")).where((F.col("df") >= least) & (F.col("df") <= share * docs))
     tf = F.lit(1.0) + F.log(F.col("tf").cast("double")) if sublinear else F.col("tf").cast("double")
-    raw = counts.join(df, "term").withColumn("_w", tf * (F.log(F.lit(1.0 + docs) / (F.col("df") + 1)) + 1))
+    raw = materialize(counts.join(df, "term").withColumn("_w", tf * (F.log(F.lit(1.0 + docs) / (F.col("df") + 1)) + 1)), "term-weights")
     length = raw.groupBy(doc).agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_l"))
     return raw.join(length, doc).select(doc, "term", (F.col("_w") / F.col("_l")).alias("weight"))
 
