@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..sources.tables import materialize
 from .graph import connected_components
+from .pairs import chunked, expanded, sharing
 
 
 def common_length(a: str, b: str) -> int:
@@ -66,11 +67,18 @@ def greedy_clusters(rows: DataFrame, block: Sequence[str], key: str, title: str,
 
 
 def similar_titles(rows: DataFrame, block: Sequence[str], key: str, title: str, distance: int) -> DataFrame:
-    """Pairs within a block whose edit distance is at most distance: the lossless filter before the ratio."""
-    a = rows.select(*block, F.col(key).alias("a"), F.col(title).alias("ta"))
-    b = rows.select(*block, F.col(key).alias("b"), F.col(title).alias("tb"))
-    near = F.levenshtein("ta", "tb", distance)
-    return a.join(b, list(block)).where("a < b").where(F.abs(F.length("ta") - F.length("tb")) <= distance).withColumn("distance", near).where("distance >= 0").select("a", "b", "distance")
+    """Pairs within a block whose edit distance is at most distance: the lossless filter before the ratio. Titles of a block are compared once, however many rows have them."""
+    t = rows.select(*block, F.col(title).alias("_t"), key)
+    titles = chunked(t.select(*block, "_t").distinct(), block, "_t")
+    a, b = titles.select(*block, F.col("_chunk").alias("_i"), F.col("_keys").alias("_left")), titles.select(*block, F.col("_chunk").alias("_j"), F.col("_keys").alias("_right"))
+    kinds = expanded(a.join(b, list(block)).where("_i <= _j").select(*block, "_i", "_j", "_left", "_right"), "_left", "_right", "ta", "tb").where("_i < _j OR ta <= tb")
+    kinds = kinds.where(F.abs(F.length("ta") - F.length("tb")) <= distance).withColumn("distance", F.levenshtein("ta", "tb", distance)).where("distance >= 0")
+    kinds = materialize(kinds.select(*block, "ta", "tb", "distance"), "near-titles")
+    keys = chunked(t, [*block, "_t"], key)
+    lists = kinds.join(keys.select(*block, F.col("_t").alias("ta"), F.col("_keys").alias("_left")), [*block, "ta"]).join(keys.select(*block, F.col("_t").alias("tb"), F.col("_keys").alias("_right")), [*block, "tb"])
+    out = expanded(lists.select("distance", (F.col("ta") == F.col("tb")).alias("_same"), "_left", "_right"), "_left", "_right", "_p", "_q")
+    # a title's rows meet one another in both orders, the rows of two titles in one
+    return out.where("_p <> _q AND (NOT _same OR _p < _q)").select(F.least("_p", "_q").alias("a"), F.greatest("_p", "_q").alias("b"), "distance")
 
 
 def authorship(papers: DataFrame, paper: str = "paper_id", authors: str = "authors") -> DataFrame:
