@@ -35,3 +35,11 @@ def test_one_title_is_spread(spark):
     df = spark.range(1500).select("id", F.lit(1).alias("block"), F.lit("a title").alias("title"))
     n, most = spread(L.similar_titles(df, ["block"], "id", "title", 2))
     assert n == 1500 * 1499 // 2 and most < 0.6
+
+
+def test_audit_spreads_and_gives_each_pair_once(spark):
+    k = spark.range(800).select((F.col("id") % 400).alias("key"), F.lit("s").alias("surname"), F.when(F.col("id") < 400, F.array(F.lit("ada"), F.lit("eve"), F.lit("x"))).otherwise(F.array(F.lit("eve"), F.lit("ona"), F.lit("x"))).alias("given"), F.lit(3).alias("n"))
+    out = L.split_suspects(k, k.where("id >= 400"))
+    n, most = spread(out)
+    assert n == out.distinct().count() == 400 * 400 and most < 0.6
+    assert "name_key" not in " ".join(x for x in out._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Aggregate" in x)
