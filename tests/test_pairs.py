@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from citeloom.operators import evaluation as E
 from citeloom.operators import linkage as L
 
 
@@ -43,3 +44,14 @@ def test_audit_spreads_and_gives_each_pair_once(spark):
     n, most = spread(out)
     assert n == out.distinct().count() == 400 * 400 and most < 0.6
     assert "name_key" not in " ".join(x for x in out._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Aggregate" in x)
+
+
+def test_pool_of_a_large_group_is_spread_and_leaves_out_what_is_near(spark):
+    random.seed(6)
+    groups = [(n, 1) for n in range(900)] + [(n, 2) for n in range(0, 900, 300)] + [(2000, 3), (2001, 3), (2002, None)]
+    near = [(random.randrange(900), random.randrange(900)) for _ in range(3000)] * 2 + [(2001, 2000), (5, 2000)]
+    out = E.shared_group_pool(spark.createDataFrame(groups, "node long, group long"), spark.createDataFrame(near, "x long, y long").repartition(8))
+    want = {(a, b) for a in range(900) for b in range(900) if a != b} | {(2000, 2001), (2001, 2000)}
+    got = out.collect()
+    assert len(got) == len(set(got)) and set(map(tuple, got)) == want - set(near)
+    assert spread(out)[1] < 0.6
