@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -49,15 +50,10 @@ def class_medians(rows: DataFrame, label: str, measures: Sequence[str], labels:
 
 def cells(rows: DataFrame, axes: Mapping[str, Sequence[str]]) -> DataFrame:
     """A row for each combination of the axes' values, in the order given (place), with its number of rows, 0 included."""
-    spark, frame = rows.sparkSession, None
-    for at, (axis, values) in enumerate(axes.items()):
-        one = spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"_p{at} int, {axis} string")
-        frame = one if frame is None else frame.crossJoin(one)  # the values of the axes, a handful each
-    place = F.lit(0)
-    for at, values in enumerate(axes.values()):
-        place = place * len(values) + F.col(f"_p{at}")
+    every = [(i, *values) for i, values in enumerate(itertools.product(*axes.values()))]  # the values of the axes, a handful each
+    frame = rows.sparkSession.createDataFrame(every, ", ".join(["place int", *[f"{axis} string" for axis in axes]]))
     counts = rows.groupBy(*axes).agg(F.count("*").alias("n"))
-    return frame.select(place.alias("place"), *axes).join(counts, list(axes), "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return frame.join(counts, list(axes), "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 def page(rows: DataFrame, order: Sequence[Column], number: int, size: int = 25) -> DataFrame:
