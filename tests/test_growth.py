@@ -11,3 +11,10 @@ def test_cells_are_not_a_product_of_partitions(spark):
     assert "CartesianProduct" not in out._jdf.queryExecution().executedPlan().toString()
     got = {tuple(r[c] for c in "uvwx"): (r["place"], r["n"]) for r in out.collect()}
     assert len(got) == 16 and got[("a", "a", "a", "a")] == (15, 1) and got[("b", "b", "b", "a")][0] == 1 and sum(n for _, n in got.values()) == 40
+
+
+def test_edges_are_counted_once(spark):
+    from citeloom.plans import graphs
+
+    plan = graphs._edges(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
