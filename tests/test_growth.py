@@ -18,3 +18,17 @@ def test_edges_are_counted_once(spark):
 
     plan = graphs._edges(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "Aggregate" not in plan
+
+
+def test_evaluations_count_who_met_once(spark, monkeypatch):
+    from citeloom.operators import evaluation as E
+
+    pairs = spark.range(400).select((F.col("id") % 20).alias("x"), F.floor(F.col("id") / 20).alias("y")).where("x <> y")
+    shared = lambda n: pairs.where(F.col("y") % 3 == n).groupBy("x", "y").agg(F.count("*").alias("n")).where("n > 0").select("x", "y")
+    near = pairs.withColumn("s", F.rand(1)).withColumn("rank", F.lit(1))
+    seen = []
+    draws = E.draws
+    monkeypatch.setattr(E, "draws", lambda anchors, draw, met, k, *a, **kw: (seen.append(met), draws(anchors, draw, met, k, *a, **kw))[1])
+    out = E.phantom_evaluation(near, shared(0), shared(1), (1, 2))
+    plans = [t._jdf.queryExecution().optimizedPlan().toString() for t in [*seen, out]]
+    assert seen and all("Range (0, 400" not in p for p in plans)
