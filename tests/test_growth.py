@@ -32,3 +32,16 @@ def test_evaluations_count_who_met_once(spark, monkeypatch):
     out = E.phantom_evaluation(near, shared(0), shared(1), (1, 2))
     plans = [t._jdf.queryExecution().optimizedPlan().toString() for t in [*seen, out]]
     assert seen and all("Range (0, 400" not in p for p in plans)
+
+
+def test_ablation_counts_who_met_once(spark):
+    from citeloom.operators import evaluation as E
+
+    pairs = spark.range(400).select((F.col("id") % 20).alias("x"), F.floor(F.col("id") / 20).alias("y")).where("x <> y")
+    near = spark.createDataFrame([(x, (x + 3) % 20, 0.5) for x in range(20)], "x long, y long, s double")
+    shared = lambda n: pairs.where(F.col("y") % 3 == n).groupBy("x", "y").agg(F.count("*").alias("n")).select("x", "y")
+    out = E.ablation({"a": near, "b": near}, shared(0), shared(1), (1,))
+    assert "Range (0, 400" not in out._jdf.queryExecution().optimizedPlan().toString()
+    rows = {r["method"]: (r["hits"], r["predictions"]) for r in out.collect()}
+    unmet = [y for y in ((x + 3) % 20 for x in range(20)) if y % 3]
+    assert set(rows) == {"a", "b", "uniform"} and rows["a"] == rows["b"] == (sum(y % 3 == 1 for y in unmet), len(unmet))
