@@ -1,5 +1,7 @@
 """What must not grow with the input or the cores: tasks, repeated work."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from citeloom.operators import profiles as P
@@ -45,3 +47,27 @@ def test_ablation_counts_who_met_once(spark):
     rows = {r["method"]: (r["hits"], r["predictions"]) for r in out.collect()}
     unmet = [y for y in ((x + 3) % 20 for x in range(20)) if y % 3]
     assert set(rows) == {"a", "b", "uniform"} and rows["a"] == rows["b"] == (sum(y % 3 == 1 for y in unmet), len(unmet))
+
+
+def test_pairs_lie_in_as_many_tasks_as_the_input_is_large(spark, monkeypatch):
+    from citeloom.operators import graph as G
+
+    monkeypatch.setattr(G, "shuffle_parts", lambda df: 7, raising=False)
+    random.seed(2)
+    rows = [(random.choice([None, *range(30)]), random.choice([None, *range(12)]), random.choice([None, 1990, 1991])) for _ in range(300)]
+    m = spark.createDataFrame(rows, "item long, member long, year int")
+    out = G.pair_weights(m, year="year")
+    assert out.rdd.getNumPartitions() == 28
+    sets, w = {}, {}
+    for item, member, year in set(rows):
+        if item is not None:
+            sets.setdefault(item, []).append((member, year))
+    for team in sets.values():
+        for a, year in team:
+            for b, _ in team:
+                if a is not None and b is not None and a < b:
+                    one = w.setdefault((a, b), [0, 0.0, []])
+                    one[0], one[1] = one[0] + 1, one[1] + 1 / (len(team) - 1)
+                    one[2] += [] if year is None else [year]
+    got = {(r["a"], r["b"]): (r["w"], round(r["wn"], 9), r["years"]) for r in out.collect()}
+    assert got == {k: (n, round(x, 9), sorted(years)) for k, (n, x, years) in w.items()}
