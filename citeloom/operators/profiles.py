@@ -8,6 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import shuffle_parts
 from .ordering import global_row_number, group_quantiles
 
 
@@ -18,11 +19,17 @@ def longest_name(rows: DataFrame, key: str, name: str, order: str) -> DataFrame:
 
 def member_counters(rows: DataFrame, item: str, member: str, year: str, count: str) -> DataFrame:
     """For each member: entries (repeated rows of an item included), last year, sum of counts over entries; over distinct items the sum of counts of items with several members, and the number of items with one."""
-    teams = rows.select(item, member).distinct().groupBy(item).agg(F.count("*").alias("_team"))
-    every = rows.groupBy(member).agg(F.count("*").alias("entries"), F.max(year).alias("last_year"), F.sum(F.coalesce(F.col(count), F.lit(0))).alias("count_all"))
-    once = rows.select(item, member, count).distinct().join(teams, item)
-    several = once.groupBy(member).agg(F.sum(F.when(F.col("_team") > 1, F.coalesce(F.col(count), F.lit(0))).otherwise(0)).alias("count_shared"), F.count_if(F.col("_team") == 1).alias("alone"))
-    return every.join(several, member)
+    n, c, known = F.col("_entries"), F.coalesce(F.col(count), F.lit(0)), F.col(item).isNotNull()
+    rows = rows.repartition(shuffle_parts(rows), item)  # one exchange for all, in as many tasks as the input is large
+    once = rows.groupBy(item, member, count).agg(F.count("*").alias("_entries"), F.max(year).alias("_year"))
+    team = Window.partitionBy(item)
+    lone = F.min(member).over(team).eqNullSafe(F.max(member).over(team)) & (F.count(member).over(team).isin(0, F.count("*").over(team)))  # one member, or none that is named
+    once = once.withColumn("_lone", lone)
+    out = once.groupBy(member).agg(
+        F.sum("_entries").alias("entries"), F.max("_year").alias("last_year"), F.sum(n * c).alias("count_all"),
+        F.sum(F.when(known & ~F.col("_lone"), c).otherwise(0)).alias("count_shared"), F.count_if(known & F.col("_lone")).alias("alone"), F.count_if(known).alias("_items"),
+    )
+    return out.where(F.col(member).isNotNull() & (F.col("_items") > 0)).drop("_items")
 
 
 def team_sizes(members: DataFrame, entries: DataFrame, item: str, member: str) -> DataFrame:

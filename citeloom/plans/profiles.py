@@ -8,6 +8,7 @@ from ..functions import records as C
 from ..functions import text as T
 from ..operators import profiles as P
 from ..operators import relational as R
+from ..sources.tables import shuffle_parts
 from .base import ITEMS, MEMBERS, items, members, query, table
 
 
@@ -22,7 +23,8 @@ _ENTRIES = ITEMS + ", entries AS (SELECT l_orderkey AS item, l_suppkey AS member
 
 def _entries(spark, d):
     li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("item"), F.col("l_suppkey").alias("member"))
-    return li.join(items(spark, d).select("item", "year", "cites"), "item")
+    o = items(spark, d).select("item", "year", "cites")
+    return li.repartition(shuffle_parts(li.join(o, "item")), "item").join(o, "item")  # lies by item, as the counters want it
 
 
 @query(

@@ -71,3 +71,22 @@ def test_pairs_lie_in_as_many_tasks_as_the_input_is_large(spark, monkeypatch):
                     one[2] += [] if year is None else [year]
     got = {(r["a"], r["b"]): (r["w"], round(r["wn"], 9), r["years"]) for r in out.collect()}
     assert got == {k: (n, round(x, 9), sorted(years)) for k, (n, x, years) in w.items()}
+
+
+def test_counters_move_entries_once(spark, monkeypatch):
+    monkeypatch.setattr(P, "shuffle_parts", lambda df: 7, raising=False)
+    random.seed(3)
+    rows = [(random.choice([None, *range(25)]), random.choice([None, *range(6)]), random.choice([None, 1990, 1991]), random.choice([None, 2, 3])) for _ in range(120)]
+    rows += [(90, 77, 1990, 5), (91, None, 1990, 5), (92, 78, 1991, 4), (92, None, 1991, 4), (None, 79, 1992, 1)]
+    out = P.member_counters(spark.createDataFrame(rows, "item long, member long, year int, count long"), "item", "member", "year", "count")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 2
+    want = {}
+    for m in {r[1] for r in rows} - {None}:
+        mine = [r for r in rows if r[1] == m]
+        once = {(i, c) for i, _, _, c in mine if i is not None}
+        if once:
+            team = {i: len({r[1] for r in rows if r[0] == i}) for i, _ in once}
+            years = [r[2] for r in mine if r[2] is not None]
+            want[m] = (len(mine), max(years, default=None), sum(r[3] or 0 for r in mine), sum(c or 0 for i, c in once if team[i] > 1), sum(team[i] == 1 for i, c in once))
+    assert {r["member"]: tuple(r)[1:] for r in out.collect()} == want and 77 in want and 79 not in want
