@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 from .text import norm_doi, tail
 
 #: The fields of a source's work that records are made from.
+AUTHORS = "array<struct<author:struct<id:string,display_name:string,orcid:string>,author_position:string,institutions:array<struct<display_name:string>>>>"
+CONCEPTS = "array<struct<display_name:string,level:int,score:double>>"
 WORK = (
     "id string, doi string, title string, display_name string, publication_year int, publication_date string, type string, cited_by_count bigint, "
-    "authorships array<struct<author:struct<id:string,display_name:string,orcid:string>,author_position:string,institutions:array<struct<display_name:string>>>>, "
-    "concepts array<struct<display_name:string,level:int,score:double>>"
+    f"authorships {AUTHORS}, concepts {CONCEPTS}"
 )
 
 
@@ -25,7 +26,6 @@ def compact_record(doc: Column, venue: Column, concepts: int = 8) -> Column:
     Identifiers lose what stands before their last slash; the title falls back to the display name; a missing count is 0,
     missing lists are empty; authors without a name go; of the concepts the first ones stay.
     """
-    w = F.from_json(doc, WORK)
     author = lambda a: F.struct(
         tail(a["author"]["id"]).alias("id"),
         a["author"]["display_name"].alias("name"),
@@ -33,9 +33,10 @@ def compact_record(doc: Column, venue: Column, concepts: int = 8) -> Column:
         a["author_position"].alias("position"),
         F.filter(F.transform(F.coalesce(a["institutions"], F.array().cast("array<struct<display_name:string>>")), lambda i: i["display_name"]), lambda x: x.isNotNull()).alias("institutions"),
     )
-    named = F.filter(F.coalesce(w["authorships"], F.from_json(F.lit("[]"), "array<struct<author:struct<id:string,display_name:string,orcid:string>,author_position:string,institutions:array<struct<display_name:string>>>>")), lambda a: a["author"]["display_name"].isNotNull())
-    kept = F.slice(F.coalesce(w["concepts"], F.from_json(F.lit("[]"), "array<struct<display_name:string,level:int,score:double>>")), 1, concepts)
-    return F.struct(
+    no_authors, no_concepts = (F.array().cast(t) for t in (AUTHORS, CONCEPTS))
+    named = lambda w: F.filter(F.coalesce(w["authorships"], no_authors), lambda a: a["author"]["display_name"].isNotNull())
+    kept = lambda w: F.slice(F.coalesce(w["concepts"], no_concepts), 1, concepts)
+    record = lambda w: F.struct(
         tail(w["id"]).alias("id"),
         norm_doi(w["doi"]).alias("doi"),
         F.coalesce(w["title"], w["display_name"], F.lit("")).alias("title"),
@@ -44,9 +45,10 @@ def compact_record(doc: Column, venue: Column, concepts: int = 8) -> Column:
         venue.alias("venue"),
         w["type"].alias("type"),
         F.coalesce(w["cited_by_count"], F.lit(0)).alias("cited_by_count"),
-        F.transform(named, author).alias("authors"),
-        F.transform(kept, lambda c: F.struct(c["display_name"].alias("name"), c["level"].alias("level"), c["score"].alias("score"))).alias("concepts"),
+        F.transform(named(w), author).alias("authors"),
+        F.transform(kept(w), lambda c: F.struct(c["display_name"].alias("name"), c["level"].alias("level"), c["score"].alias("score"))).alias("concepts"),
     )
+    return F.get(F.transform(F.array(F.from_json(doc, WORK)), record), F.lit(0))  # a bound variable: parsed once, not once for each field
 
 
 def link_of_filter(state: Mapping) -> str:

@@ -224,7 +224,8 @@ def compact_records(spark, d):
     """Nested source documents to flat records: names changed, defaults filled, concepts cut to eight."""
     o, li = table(spark, d, "orders"), table(spark, d, "lineitem")
     order = F.struct("l_linenumber", "l_partkey", "l_suppkey")
-    lists = li.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(order)), lambda x: F.struct(F.concat(F.lit("C"), x["l_partkey"].cast("string")).alias("display_name"), F.lit(2).alias("level"), F.lit(0.5).alias("score"))).alias("concepts"))
+    by_order = li.repartition(shuffle_parts(o.join(li, F.col("o_orderkey") == F.col("l_orderkey"))), "l_orderkey")
+    lists = by_order.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(order)), lambda x: F.struct(F.concat(F.lit("C"), x["l_partkey"].cast("string")).alias("display_name"), F.lit(2).alias("level"), F.lit(0.5).alias("score"))).alias("concepts"))
     j = o.join(lists, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     k = F.col("o_custkey").cast("string")
     doc = F.to_json(

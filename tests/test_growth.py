@@ -90,3 +90,13 @@ def test_counters_move_entries_once(spark, monkeypatch):
             years = [r[2] for r in mine if r[2] is not None]
             want[m] = (len(mine), max(years, default=None), sum(r[3] or 0 for r in mine), sum(c or 0 for i, c in once if team[i] > 1), sum(team[i] == 1 for i, c in once))
     assert {r["member"]: tuple(r)[1:] for r in out.collect()} == want and 77 in want and 79 not in want
+
+
+def test_documents_are_parsed_once(spark):
+    from citeloom.functions import records
+
+    docs = spark.createDataFrame([('{"id": "https://w/W1", "display_name": "t", "authorships": [{"author": {"display_name": "n"}}], "concepts": [{"display_name": "c"}]}',), ("{broken",), (None,)], "doc string")
+    out = docs.select(records.compact_record(F.col("doc"), F.lit("v")).alias("r")).select("r.*")
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
+    got = [r for r in out.select("id", "title", "venue", "cited_by_count", F.col("authors.name").alias("names"), F.col("concepts.name").alias("concepts")).collect()]
+    assert tuple(got[0]) == ("W1", "t", "v", 0, ["n"], ["c"]) and [tuple(r) for r in got[1:]] == [(None, "", "v", 0, [], [])] * 2
