@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..sources.tables import materialize
 
@@ -32,6 +36,39 @@ def term_counts(rows: DataFrame, doc: str, terms: Column) -> DataFrame:
     return rows.select(doc, F.explode(terms).alias("term")).groupBy(doc, "term").agg(F.count("*").alias("tf"))
 
 
+def one_and_two_counts(rows: DataFrame, doc: str, words: Column, at_once: int = 1 << 22) -> DataFrame:
+    """term_counts of one_and_two(words), which holds no nulls. Words are numbered and counted at_once by at_once (a longer row whole) before they are moved, pairs by their two numbers, so that only distinct terms are made and hashed as strings."""
+    given = rows.select(doc, words.alias("_w"))  # no filter of empty ones: it would find the words twice
+    kinds = StructType([given.schema[doc], StructField("term", StringType()), StructField("_n", LongType())])
+    arrow = to_arrow_schema(kinds)
+
+    def counted(docs: pa.Array, lists: pa.Array) -> Iterator[pa.RecordBatch]:
+        named, flat = docs.dictionary_encode(null_encoding="encode"), lists.flatten().dictionary_encode()
+        row = np.repeat(np.arange(len(docs)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+        d, w, n = named.indices.to_numpy(zero_copy_only=False).astype(np.int64)[row], flat.indices.to_numpy(zero_copy_only=False).astype(np.int64), len(flat.dictionary)
+        inside = row[1:] == row[:-1]  # the next word is of the same row
+        for of_two in (False, True):
+            key = ((d[:-1] * n + w[:-1]) * n + w[1:])[inside] if of_two else d * n + w
+            found, times = np.unique(key, return_counts=True)
+            term = flat.dictionary.take(pa.array(found % n))
+            if of_two:
+                found = found // n
+                term = pc.binary_join_element_wise(flat.dictionary.take(pa.array(found % n)), term, " ")
+            columns = named.dictionary.take(pa.array(found // n)), term, pa.array(times)
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            upto = np.cumsum(pc.fill_null(pc.list_value_length(b.column(1)), 0).to_numpy(zero_copy_only=False))
+            at = 0
+            while at < len(b):
+                end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + at_once, "right")))
+                yield from counted(b.column(0).slice(at, end - at), b.column(1).slice(at, end - at))
+                at = end
+
+    return given.mapInArrow(run, kinds).groupBy(doc, "term").agg(F.sum("_n").alias("tf"))
+
+
 def tfidf(counts: DataFrame, docs: int, doc: str, least: int = 3, share: float = 0.5, sublinear: bool = False) -> DataFrame:
     """doc, term, weight: tf (or 1 + ln tf) times ln((1 + n) / (1 + df)) + 1, of unit length per document. Terms in fewer than least documents or more than share of them go."""
     counts = materialize(counts, "term-counts")

@@ -212,7 +212,7 @@ _TOK = "t AS (SELECT lang, list_filter(regexp_extract_all(lower(text), '([A-Za-z
 
 def _counts(spark, d):
     docs = table(spark, d, "documents").where(F.col("lang").isNotNull())
-    return M.term_counts(docs.withColumn("_w", M.tokens(F.col("text"))), "lang", M.one_and_two(F.col("_w")))
+    return M.one_and_two_counts(docs, "lang", M.tokens(F.col("text")))
 
 
 @query("tfidf_terms", f"WITH {_TOK}, df AS (SELECT term, count(*) AS df FROM c GROUP BY term HAVING count(*) >= 2 AND count(*) <= 3), r AS (SELECT c.lang, c.term, tf * (ln(5.0 / (df + 1)) + 1) AS w FROM c JOIN df ON c.term = df.term), l AS (SELECT lang, sqrt(sum(w * w)) AS l FROM r GROUP BY lang), k AS (SELECT r.lang, term, w / l AS weight, row_number() OVER (PARTITION BY r.lang ORDER BY round(w / l, 9) DESC, term) AS rank FROM r JOIN l ON r.lang = l.lang) SELECT lang, term, round(weight, 8) AS weight FROM k WHERE rank <= 24")

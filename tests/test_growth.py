@@ -100,3 +100,17 @@ def test_documents_are_parsed_once(spark):
     assert out._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
     got = [r for r in out.select("id", "title", "venue", "cited_by_count", F.col("authors.name").alias("names"), F.col("concepts.name").alias("concepts")).collect()]
     assert tuple(got[0]) == ("W1", "t", "v", 0, ["n"], ["c"]) and [tuple(r) for r in got[1:]] == [(None, "", "v", 0, [], [])] * 2
+
+
+def test_terms_are_counted_before_they_are_strings(spark):
+    from citeloom.operators import text_models as M
+    from citeloom.plans import semantics
+
+    random.seed(5)
+    rows = [(random.choice([None, "a", "b"]), random.choice([None, "", *[" ".join(random.choices(["one", "two", "x", "the", "sea-side", "été"], k=n)) for n in (1, 2, 9, 40)]])) for _ in range(60)]
+    docs = spark.createDataFrame(rows, "lang string, text string")
+    words = M.tokens(F.col("text"))
+    want = sorted(map(tuple, M.term_counts(docs.withColumn("_w", words), "lang", M.one_and_two(F.col("_w"))).collect()), key=str)
+    for at_once in (1, 7, 1 << 20):
+        assert sorted(map(tuple, M.one_and_two_counts(docs, "lang", words, at_once).collect()), key=str) == want and want
+    assert "Generate" not in semantics._counts(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
