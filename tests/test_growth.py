@@ -49,6 +49,38 @@ def test_ablation_counts_who_met_once(spark):
     assert set(rows) == {"a", "b", "uniform"} and rows["a"] == rows["b"] == (sum(y % 3 == 1 for y in unmet), len(unmet))
 
 
+def test_search_reads_its_rows_once_and_looks_into_few_tiles(spark, monkeypatch):
+    import numpy as np
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from citeloom.operators import semantic as S
+
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(700, 8))
+    v[40:45] = v[3]  # copies, and one of them without a key
+    v[60:64] = -v[3] * [[1], [2], [4], [8]]
+    names = rng.permutation(700).tolist()
+    names[3] = None
+    rows = spark.createDataFrame(list(zip(names, v.tolist(), strict=True)), "id long, v array<double>")
+    monkeypatch.setattr(DataFrame, "toPandas", lambda self: 1 / 0)
+    got = {}
+    for r in S.neighbours(rows, "id", "v", 2, block=100).collect():
+        got.setdefault(r["x"], []).append((r["rank"], r["y"], round(r["s"], 9)))
+    unit = v / np.sqrt((v * v).sum(1))[:, None]
+    s = np.round(unit @ unit.T, 12)
+    known = [i for i in range(700) if names[i] is not None]
+    want = {names[i]: [(r + 1, y, round(-c, 9)) for r, (c, y) in enumerate(sorted((-s[i, j], names[j]) for j in known if i != j)[:2])] for i in known}
+    assert {x: sorted(r) for x, r in got.items()} == want
+
+    looked = []
+    real = S.np.nonzero
+    monkeypatch.setattr(S.np, "nonzero", lambda a: (looked.append(np.size(a)), real(a))[1])
+    blocks = [type("Block", (), {"value": (np.arange(a, a + 100), unit[a : a + 100])}) for a in range(0, 700, 100)]
+    i, y, c = S._nearest(np.arange(50), unit[:50], blocks, 2, tile=50, piece=16)
+    assert 0 < sum(looked) < 0.8 * 50 * 700
+    assert [y[i == r].tolist() for r in range(50)] == [[j for _, j in sorted((-s[r, j], j) for j in range(700) if j != r)[:2]] for r in range(50)]
+
+
 def test_pairs_lie_in_as_many_tasks_as_the_input_is_large(spark, monkeypatch):
     from citeloom.operators import graph as G
 
